@@ -297,15 +297,15 @@ def on_edge(e: str, px: str, py: str) -> str:
 
 
 def _ring_is_sound(ring: str) -> str:
-    test = (
-        "CASE WHEN size(u_) < 4 OR get(u_, 0) <> element_at(u_, -1) THEN false "
-        f"ELSE {let('o_', 'get(u_, 0)', _moments('u_', 'o_'))}.a <> 0 END"
-    )
+    """Closed, at least four vertices, and not all of them on one line."""
+    bent = turn(("o_.x", "o_.y"), ("s_.x1", "s_.y1"), ("s_.x2", "s_.y2"))
+    spread = let("w_", fixed_path("u_"), let("o_", "get(w_, 0)", f"exists({segments('w_')}, s_ -> ({bent}) <> 0)"))
+    test = f"CASE WHEN size(u_) < 4 OR get(u_, 0) <> element_at(u_, -1) THEN false ELSE {spread} END"
     return f"coalesce({let('u_', ring, test)}, false)"
 
 
 def structure_ok(geom: str) -> str:
-    """Rings closed, at least four vertices, non-zero area; lines not degenerate."""
+    """Rings closed, at least four vertices, not flat; lines not degenerate."""
     return (
         f"CASE WHEN {geom}.gtype IN ('Point', 'MultiPoint') THEN true "
         f"WHEN {is_area(geom)} THEN forall({rings(geom)}, ring_ -> {_ring_is_sound('ring_')}) "

@@ -78,7 +78,7 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("x0", F.expr("2600 + (k * 2411) % 12000 - CASE WHEN k % 19 = 0 THEN 30000 ELSE 0 END"))
         .withColumn("y0", F.expr("4100 + (k * 1907) % 9000"))
         .withColumn(
-            "w", F.expr("CASE WHEN k % 17 = 3 THEN 1 WHEN k % 13 = 2 THEN 2000 ELSE 200 + (k * 37) % 500 END")
+            "w", F.expr("CASE WHEN k % 17 = 3 THEN 2 WHEN k % 13 = 2 THEN 2000 ELSE 200 + (k * 37) % 500 END")
         )
         .withColumn("h", F.expr("w div 2"))
     )

@@ -16,7 +16,7 @@ from areaweave.functions import geometry as g
 from areaweave.functions import text
 from areaweave.functions.projection import epsg_label, to_utm, to_wgs84, utm_srid
 from areaweave.operators import audit, boundary, clean, layers, report
-from areaweave.operators.rules import assign_layers, rules_frame, tag_matches
+from areaweave.operators.rules import assign_layers, layer_array, rules_frame, tag_matches, tag_reader
 from areaweave.operators.scale import compute_once
 from areaweave.operators.spatial import spatial_join
 from areaweave.plans import fixtures as fx
@@ -147,16 +147,12 @@ def layer_fanout(spark, d):
 @query
 def unmatched_features(spark, d):
     features = fx.features(spark, d).select("element_type", "osmid", "tags")
-    from areaweave.operators.rules import layer_array, tag_reader
-
     empty = F.size(layer_array(tag_reader(features), DEFAULT_RULES)) == 0
     return features.where(empty).select("element_type", "osmid")
 
 
 @query
 def multi_layer_features(spark, d):
-    from areaweave.operators.rules import layer_array, tag_reader
-
     features = fx.features(spark, d).select("element_type", "osmid", "tags")
     listed = features.withColumn("layers", layer_array(tag_reader(features), DEFAULT_RULES))
     return listed.where(F.size("layers") > 1).select(
@@ -221,7 +217,9 @@ def centroid_deg(spark, d):
 
 @query
 def centroid_utm(spark, d):
-    flat = compute_once(_shapes(spark, d), geom=to_utm("geom", "srid"))
+    """Metric centroids; crossing outlines are quarantined before this step."""
+    sound = _shapes(spark, d).where(f"NOT {g.self_crossing('geom')}")
+    flat = compute_once(sound, geom=to_utm("geom", "srid"))
     at = compute_once(flat, at=g.centroid("geom"))
     return at.select(
         "osmid", "geom.gtype", F.expr(whole("at.x", 1000)).alias("x"), F.expr(whole("at.y", 1000)).alias("y")
