@@ -9,7 +9,7 @@ import sys
 from datetime import datetime, timezone
 from importlib.metadata import PackageNotFoundError, version
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areaweave.functions import geometry as g
@@ -45,8 +45,7 @@ def layer_categories(counts: DataFrame) -> DataFrame:
 
 def skipped_layers(counts: DataFrame, boundaries: DataFrame, rules: dict | None = None) -> DataFrame:
     """Area and layer pairs without a row."""
-    present = counts.select("lga_id", "layer").distinct()
-    return areas_by_layers(boundaries, rules).join(present, ["lga_id", "layer"], "left_anti")
+    return areas_by_layers(boundaries, rules).join(counts, ["lga_id", "layer"], "left_anti")
 
 
 def export_manifest(
@@ -55,27 +54,28 @@ def export_manifest(
     """What is written where: one row per area, layer and category, and per skipped layer.
 
     A layer of one category is named after the layer, a split one also after the
-    category.
+    category.  ``counts`` is aggregated already, so the window holds a handful of
+    rows per layer.
     """
-    split = layer_categories(counts).select("lga_id", "layer", "is_split")
+    per_layer = Window.partitionBy("lga_id", "layer")
+    sized = counts.withColumn("parts", F.count(F.lit(1)).over(per_layer))
+    every = areas_by_layers(boundaries, rules).join(sized, ["lga_id", "layer"], "left")
+    written = F.col("n").isNotNull()
     folder = F.concat(F.lit(f"{path}/geojson/lga_id="), "lga_id", F.lit("/layer="), "layer")
-    parts = F.concat(
+    part = F.concat(
         F.lit(f"{path}/layers/lga_id="), "lga_id", F.lit("/layer="), "layer", F.lit("/geom_category="), "geom_category"
     )
-    written = counts.join(split, ["lga_id", "layer"]).select(
+    return every.select(
         "lga_id",
+        "position",
         "layer",
         "geom_category",
-        F.when(F.col("is_split"), F.concat_ws("_", "layer", "geom_category")).otherwise(F.col("layer")).alias("name"),
-        folder.alias("geojson_path"),
-        parts.alias("path"),
-        "n",
-        F.lit("exported").alias("status"),
+        F.when(F.col("parts") > 1, F.concat_ws("_", "layer", "geom_category")).otherwise(F.col("layer")).alias("name"),
+        F.when(written, folder).alias("geojson_path"),
+        F.when(written, part).alias("path"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
+        F.when(written, "exported").otherwise("skipped").alias("status"),
     )
-    skipped = skipped_layers(counts, boundaries, rules).select(
-        "lga_id", "layer", F.col("layer").alias("name"), F.lit(0).cast("bigint").alias("n"), F.lit("skipped").alias("status")
-    )
-    return written.unionByName(skipped, allowMissingColumns=True)
 
 
 def fold_warnings(boundaries: DataFrame, notes: DataFrame) -> DataFrame:
@@ -122,8 +122,7 @@ def run_records(
 ) -> DataFrame:
     """One record per area: what was asked, found, written, skipped and split."""
     rules = DEFAULT_RULES if rules is None else rules
-    order = F.expr(f"array_position(array({', '.join(repr(n) for n in rules)}), layer)")
-    entry = F.struct(order.alias("position"), "layer", "geom_category", "name", "geojson_path", "path", "status")
+    entry = F.struct("position", "layer", "geom_category", "name", "geojson_path", "path", "status")
     gathered = manifest.groupBy("lga_id").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
 
     exported = "filter(rows, r_ -> r_.status = 'exported')"

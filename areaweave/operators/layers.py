@@ -14,7 +14,7 @@ from areaweave.operators.rules import (
     split_rules,
     tag_reader,
 )
-from areaweave.operators.spatial import spatial_join
+from areaweave.operators.spatial import BOX_COLUMNS, spatial_join
 from areaweave.settings import DEFAULT_RULES
 
 
@@ -41,6 +41,7 @@ def extract_features(elements: DataFrame, boundaries: DataFrame, rules: dict | N
         F.element_at("tags", "name").alias("name"),
         "geom",
         layer_array(tag, good).alias("layers"),
+        *[c for c in BOX_COLUMNS if c in elements.columns],
     )
     inside = spatial_join(tagged, boundaries.select("lga_id", "target_srid", "geom"), **join)
     return inside.select(

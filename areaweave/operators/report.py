@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from areaweave.functions import geometry as g
@@ -46,13 +46,9 @@ def layer_extent(layers: DataFrame, rules: dict | None = None) -> DataFrame:
         F.max("maxy").alias("maxy"),
     )
     rank = F.when(F.col("layer") == "roads", 0).otherwise(order)
-    first = extent.groupBy("lga_id").agg(F.min_by("layer", rank).alias("frame"))
-    return (
-        extent.join(first, "lga_id")
-        .withColumn("title", text.title(F.col("layer")))
-        .withColumn("frames", F.col("layer") == F.col("frame"))
-        .drop("frame")
-    )
+    # The window holds one row per layer of an area.
+    place = F.row_number().over(Window.partitionBy("lga_id").orderBy(rank))
+    return extent.withColumn("title", text.title(F.col("layer"))).withColumn("frames", place == 1)
 
 
 def preview_feed(layers: DataFrame, check: bool = True) -> DataFrame:

@@ -31,6 +31,9 @@ from areaweave.settings import BROADCAST_BYTES, CELL_DEGREES, FIXED_POINT, SALTS
 _LEVEL_RATIO = 16
 _POINT_LEVEL = -1
 
+# Bounding box columns an element table may bring along (see write_elements).
+BOX_COLUMNS = ("box_x0", "box_y0", "box_x1", "box_y1")
+
 # Rough size of a row without its edges, and of one edge, in a broadcast table.
 _ROW_BYTES, _EDGE_BYTES = 200, 36
 
@@ -48,7 +51,11 @@ def _with_grid_key(features: DataFrame, sizes: list[int]) -> DataFrame:
     levels = " ".join(f"WHEN {extent} <= {size}L THEN {i}" for i, size in enumerate(sizes))
     sides = " ".join(f"WHEN {i} THEN {size}L" for i, size in enumerate(sizes) if i > 0)
     side = f"CASE _level {sides} ELSE {sizes[0]}L END"
-    boxed = compute_once(features, _box=g.fixed_bounds("geom"))
+    if set(BOX_COLUMNS) <= set(features.columns):
+        sides_of_box = ", ".join(f"'{c[4:]}', {c}" for c in BOX_COLUMNS)
+        boxed = features.withColumn("_box", F.expr(f"named_struct({sides_of_box})")).drop(*BOX_COLUMNS)
+    else:
+        boxed = compute_once(features, _box=g.fixed_bounds("geom"))
     levelled = compute_once(boxed, _level=f"CASE WHEN {extent} = 0 THEN {_POINT_LEVEL} {levels} END")
     return compute_once(levelled, _cx=f"floor(_box.x0 / {side})", _cy=f"floor(_box.y0 / {side})")
 

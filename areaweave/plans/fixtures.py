@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keys(spark: SparkSession, sf_dir: str, name: str, key: str, alias: str) -> DataFrame:
+    """The key column features are derived from.
+
+    The given files hold one row group each, so a small one would leave all but
+    one core idle; only then the bare keys are spread out.
+    """
+    column = table(spark, sf_dir, name).select(F.col(key).cast("bigint").alias(alias))
+    slots = spark.sparkContext.defaultParallelism
+    return column.repartition(slots) if column.rdd.getNumPartitions() < slots else column
+
+
 def with_geom(df: DataFrame, geom: str, *keep: str) -> DataFrame:
     """Selects columns and builds the geometry, as if it were read from a table."""
     return compute_once(df, geom=geom).select(*keep, "geom")
@@ -123,7 +134,7 @@ def boundary_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("osmid"))
+    base = keys(spark, sf_dir, "orders", "o_orderkey", "osmid")
     tags = F.expr(
         "CASE CAST(osmid % 8 AS INT) WHEN 0 THEN map('highway', 'traffic_signals') "
         "WHEN 1 THEN map('amenity', 'hospital') WHEN 2 THEN map('amenity', 'clinic') "
@@ -146,8 +157,7 @@ _LINE_TAGS = (
 
 def _line_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        table(spark, sf_dir, "part")
-        .select(F.col("p_partkey").cast("bigint").alias("osmid"))
+        keys(spark, sf_dir, "part", "p_partkey", "osmid")
         .withColumn("bx", F.expr("2500 + (osmid * 7919) % 12400"))
         .withColumn("bz", F.expr("4000 + (osmid * 4729) % 9900"))
     )
@@ -163,8 +173,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = (
-        table(spark, sf_dir, "customer")
-        .select(F.col("c_custkey").cast("bigint").alias("osmid"))
+        keys(spark, sf_dir, "customer", "c_custkey", "osmid")
         .withColumn("d", F.expr("CASE WHEN osmid % 40 = 39 THEN osmid - 1 ELSE osmid END"))
         .withColumn("bx", F.expr("2500 + (d * 7919) % 12400"))
         .withColumn("bz", F.expr("4000 + (d * 4729) % 9900"))

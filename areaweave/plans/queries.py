@@ -17,7 +17,7 @@ from areaweave.functions import text
 from areaweave.functions.projection import epsg_label, to_utm, to_wgs84, utm_srid
 from areaweave.operators import audit, boundary, clean, layers, report
 from areaweave.operators.rules import assign_layers, layer_array, rules_frame, tag_matches, tag_reader
-from areaweave.operators.scale import compute_once
+from areaweave.operators.scale import compute_once, through_table
 from areaweave.operators.spatial import spatial_join
 from areaweave.plans import fixtures as fx
 from areaweave.plans.pipeline import extract_lgas
@@ -58,7 +58,7 @@ def accepted(spark: SparkSession, d: str) -> DataFrame:
     """The places that pass the checks, as extract_layers expects them."""
     places = fx.boundaries(spark, d).withColumn("boundary_source", F.lit("places"))
     judged = boundary.hard_checks(places).where("reason_code IS NULL")
-    return judged.select(
+    found = judged.select(
         text.lga_id(F.col("lga_name"), F.col("state_name")).alias("lga_id"),
         "lga_name",
         "state_name",
@@ -67,14 +67,12 @@ def accepted(spark: SparkSession, d: str) -> DataFrame:
         F.col("boundary_source"),
         text.name_notes(F.col("display_name"), F.lit("Lga x"), F.col("state_name")).alias("validation_warnings"),
     )
+    return through_table(found)
 
 
-def raw_layers(spark: SparkSession, d: str, rules: dict | None = None) -> DataFrame:
-    return layers.extract_features(fx.features(spark, d), accepted(spark, d), rules)
-
-
-def cleaned(spark: SparkSession, d: str) -> clean.Cleaned:
-    return clean.clean_layers(raw_layers(spark, d))
+def cleaned(spark: SparkSession, d: str, found: DataFrame | None = None) -> clean.Cleaned:
+    found = accepted(spark, d) if found is None else found
+    return clean.clean_layers(layers.extract_features(fx.features(spark, d), found))
 
 
 # --- tag rules ---------------------------------------------------------------
@@ -384,8 +382,8 @@ def quarantined_features(spark, d):
 # --- export and audit --------------------------------------------------------
 
 
-def _counts(spark, d):
-    return audit.category_counts(cleaned(spark, d).layers)
+def _counts(spark, d, found=None):
+    return audit.category_counts(cleaned(spark, d, found).layers)
 
 
 @query
@@ -396,12 +394,14 @@ def split_categories(spark, d):
 
 @query
 def skipped_layers(spark, d):
-    return audit.skipped_layers(_counts(spark, d), accepted(spark, d)).select("lga_id", "layer", "position")
+    found = accepted(spark, d)
+    return audit.skipped_layers(_counts(spark, d, found), found).select("lga_id", "layer", "position")
 
 
 @query
 def export_manifest(spark, d):
-    return audit.export_manifest(_counts(spark, d), accepted(spark, d), "out").select(
+    found = accepted(spark, d)
+    return audit.export_manifest(_counts(spark, d, found), found, "out").select(
         "lga_id", "layer", "geom_category", "name", "geojson_path", "path", "n", "status"
     )
 
@@ -426,7 +426,7 @@ def first_failure(spark, d):
 @query
 def run_records(spark, d):
     found = accepted(spark, d)
-    raw = layers.extract_features(fx.features(spark, d), found)
+    raw = through_table(layers.extract_features(fx.features(spark, d), found))
     notes = layers.layer_notes(layers.layer_counts(raw, found))
     counts = audit.category_counts(clean.clean_layers(raw).layers)
     manifest = audit.export_manifest(counts, found, "out")
