@@ -20,11 +20,11 @@ those y values ("flips") are kept instead of the edges.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaweave.functions import geometry as g
-from areaweave.operators.scale import compute_once
+from areaweave.operators.scale import compute_once, through_table
 from areaweave.settings import BROADCAST_BYTES, CELL_DEGREES, FIXED_POINT, SALTS
 
 # Each grid level is this much coarser than the one before.
@@ -34,8 +34,8 @@ _POINT_LEVEL = -1
 # Bounding box columns an element table may bring along (see write_elements).
 BOX_COLUMNS = ("box_x0", "box_y0", "box_x1", "box_y1")
 
-# Rough size of a row without its edges, and of one edge, in a broadcast table.
-_ROW_BYTES, _EDGE_BYTES = 200, 36
+# Rough size of a row without its edges, and of one edge with its flip, when broadcast.
+_ROW_BYTES, _EDGE_BYTES = 200, 44
 
 
 def _sizes(cell_degrees: float) -> list[int]:
@@ -84,25 +84,49 @@ def prepare_boundaries(boundaries: DataFrame) -> DataFrame:
     ).drop("geom")
 
 
+def _levels(sizes: list[int]) -> list[tuple[int, int, int]]:
+    """(level, cell side, cells per block side); points need no wider block."""
+    return [(_POINT_LEVEL, sizes[0], 1)] + [(i, size, 2) for i, size in enumerate(sizes)]
+
+
+def _cell_range(axis: str, size: str, span: str) -> tuple[str, str]:
+    """First and last cell whose block reaches the boundary's box."""
+    return (
+        f"CAST(floor(_bbox.{axis}0 / {size}) AS BIGINT) - {span} + 1",
+        f"CAST(floor(_bbox.{axis}1 / {size}) AS BIGINT)",
+    )
+
+
+def _size_bounds(prepared: DataFrame, sizes: list[int]) -> tuple[int, int]:
+    """Upper bounds in bytes of the block index and of the boundaries themselves."""
+    counts = []
+    for _, size, span in _levels(sizes):
+        (x0, x1), (y0, y1) = (_cell_range(axis, f"{size}L", f"{span}L") for axis in "xy")
+        counts.append(f"({x1} - ({x0}) + 1D) * ({y1} - ({y0}) + 1D)")
+    row = f"({_ROW_BYTES} + {_EDGE_BYTES} * size(_edges))"
+    blocks, whole = prepared.selectExpr(
+        f"coalesce(sum({row} * ({' + '.join(counts)})), 0D)", f"coalesce(sum({row}), 0)"
+    ).head()
+    return int(blocks), int(whole)
+
+
 def _block_index(prepared: DataFrame, sizes: list[int]) -> DataFrame:
     """One row per boundary and block it reaches, per level.
 
     Only the finest levels carry edges; features too large for them are rare and
     fetch the whole boundary instead (see spatial_join).
     """
-    listed = [(_POINT_LEVEL, sizes[0], 1)] + [(i, size, 2) for i, size in enumerate(sizes)]
     levels = ", ".join(
-        f"named_struct('level', {level}, 'size', {size}L, 'span', {span}L)" for level, size, span in listed
+        f"named_struct('level', {level}, 'size', {size}L, 'span', {span}L)" for level, size, span in _levels(sizes)
     )
 
-    def cells(low: str, high: str) -> Column:
-        first = f"CAST(floor({low} / _lv.size) AS BIGINT) - _lv.span + 1"
-        return F.expr(f"explode(sequence({first}, CAST(floor({high} / _lv.size) AS BIGINT)))")
+    def cells(axis: str) -> Column:
+        return F.expr(f"explode(sequence({', '.join(_cell_range(axis, '_lv.size', '_lv.span'))}))")
 
     blocks = (
         prepared.withColumn("_lv", F.expr(f"explode(array({levels}))"))
-        .withColumn("_cx", cells("_bbox.x0", "_bbox.x1"))
-        .withColumn("_cy", cells("_bbox.y0", "_bbox.y1"))
+        .withColumn("_cx", cells("x"))
+        .withColumn("_cy", cells("y"))
     )
     placed = compute_once(
         blocks,
@@ -166,12 +190,18 @@ def _touches() -> str:
     return g.let("es_", "coalesce(_local, _whole)", test)
 
 
+def _salts(spark: SparkSession) -> int:
+    """No salts while adaptive execution splits skewed join partitions itself."""
+    switches = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return 1 if all(spark.conf.get(s, "true").lower() == "true" for s in switches) else SALTS
+
+
 def spatial_join(
     features: DataFrame,
     boundaries: DataFrame,
     cell_degrees: float = CELL_DEGREES,
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Features (WGS84 ``geom``) with the columns of each boundary they intersect.
 
@@ -179,8 +209,9 @@ def spatial_join(
     them named like a feature column.  Sharing an edge or a vertex counts.
 
     The boundary side is broadcast when its measured size allows, and then the
-    features are neither shuffled nor sorted.  Otherwise the join shuffles, with
-    the boundary index replicated over salts so one crowded cell is spread out.
+    features are neither shuffled nor sorted.  Otherwise the join shuffles by cell.
+    A crowded cell is then split by adaptive execution, or, where the session has
+    that turned off, by ``salts`` replicas of the index.
     """
     sizes = _sizes(cell_degrees)
     prepared = prepare_boundaries(boundaries)
@@ -188,17 +219,17 @@ def spatial_join(
     index = _block_index(prepared, sizes)
     whole = prepared.select(F.col("lga_id").alias("_whole_id"), F.expr(_PLAIN.format("_edges")).alias("_whole"))
 
-    def measured(df: DataFrame, edges: str) -> DataFrame:
-        row = f"{_ROW_BYTES}L + {_EDGE_BYTES} * coalesce(size({edges}), 0)"
-        return df.select(F.expr(f"coalesce(sum({row}), 0L)").alias("n"))
-
-    sized = measured(index, "_local").unionAll(measured(whole, "_whole"))
-    index_bytes, whole_bytes = (row["n"] for row in sized.collect())
+    index_bytes, whole_bytes = _size_bounds(prepared, sizes)
+    if index_bytes > broadcast_bytes:
+        # The bound counts every edge in every block; see what it really takes.
+        index = through_table(index)
+        row = f"{_ROW_BYTES}L + {_EDGE_BYTES} * coalesce(size(_local), 0)"
+        index_bytes = index.selectExpr(f"coalesce(sum({row}), 0L)").head()[0]
 
     keys = ["_level", "_cx", "_cy"]
     if index_bytes <= broadcast_bytes:
         index = F.broadcast(index)
-    else:
+    elif (salts := _salts(features.sparkSession) if salts is None else salts) > 1:
         salt = F.pmod(F.xxhash64("geom") + F.spark_partition_id(), F.lit(salts)).cast("int")
         keyed = keyed.withColumn("_salt", salt)
         index = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
