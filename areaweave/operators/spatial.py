@@ -36,6 +36,7 @@ BOX_COLUMNS = ("box_x0", "box_y0", "box_x1", "box_y1")
 
 # Rough size of a row without its edges, and of one edge with its flip, when broadcast.
 _ROW_BYTES, _EDGE_BYTES = 200, 44
+_BYTES_PER_TASK = 16 * 1024 * 1024
 
 
 def _sizes(cell_degrees: float) -> list[int]:
@@ -183,11 +184,10 @@ def _touches() -> str:
     crosses = f"exists(near_, b_ -> exists(own_, a_ -> {g.edges_touch('a_', 'b_')}))"
     holds_part = f"{g.is_area('geom')} AND exists(_anchors, w_ -> {_inside('w_.x', 'w_.y', 'own_', '', '0')})"
     by_edges = g.let("own_", g.fixed_edges("geom"), f"{g.let('near_', near, crosses)} OR ({holds_part})")
-    test = (
-        f"CASE WHEN _level = {_POINT_LEVEL} THEN {_inside('_box.x0', '_box.y0', 'es_', '_flips', '_base')} "
-        f"WHEN size(es_) = 0 THEN _base = 1 ELSE {vertex_in} OR {by_edges} END"
-    )
-    return g.let("es_", "coalesce(_local, _whole)", test)
+    of_shape = g.let("es_", "coalesce(_local, _whole)", f"{vertex_in} OR {by_edges}")
+    of_point = _inside("_box.x0", "_box.y0", "_local", "_flips", "_base")
+    # A block without edges is all inside, so most pairs end at the first case.
+    return f"CASE WHEN size(_local) = 0 THEN true WHEN _level = {_POINT_LEVEL} THEN {of_point} ELSE {of_shape} END"
 
 
 def _salts(spark: SparkSession) -> int:
@@ -216,13 +216,15 @@ def spatial_join(
     sizes = _sizes(cell_degrees)
     prepared = prepare_boundaries(boundaries)
     keyed = _with_grid_key(features.where(g.usable("geom")), sizes)
-    index = _block_index(prepared, sizes)
     whole = prepared.select(F.col("lga_id").alias("_whole_id"), F.expr(_PLAIN.format("_edges")).alias("_whole"))
 
     index_bytes, whole_bytes = _size_bounds(prepared, sizes)
+    index = _block_index(prepared, sizes)
     if index_bytes > broadcast_bytes:
         # The bound counts every edge in every block; see what it really takes.
-        index = through_table(index)
+        # Boundaries often sit in one small file, so they are spread out first.
+        tasks = max(1, index_bytes // _BYTES_PER_TASK)
+        index = through_table(_block_index(prepared.repartition(int(tasks), "lga_id"), sizes))
         row = f"{_ROW_BYTES}L + {_EDGE_BYTES} * coalesce(size(_local), 0)"
         index_bytes = index.selectExpr(f"coalesce(sum({row}), 0L)").head()[0]
 
