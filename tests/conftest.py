@@ -25,6 +25,14 @@ def spark():
     session.stop()
 
 
+@pytest.fixture
+def no_auto_broadcast(spark):
+    """Spark's own size check off, so that a join without a hint really shuffles."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def box(x0, y0, x1, y1):
     return [[[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]]]
 

@@ -86,7 +86,7 @@ def world(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_join_equals_brute_force_on_every_path(spark, seed):
+def test_join_equals_brute_force_on_every_path(spark, seed, no_auto_broadcast):
     areas, features = world(seed)
     want = {(fid, aid) for fid, kind, geom in features for aid, area in areas if intersects(kind, geom, area)}
     assert len(want) > 300
@@ -130,7 +130,7 @@ def test_feature_around_a_whole_boundary_and_inside_a_hole(spark):
     }
 
 
-def test_crowded_cell_and_copies_are_kept_whole(spark):
+def test_crowded_cell_and_copies_are_kept_whole(spark, no_auto_broadcast):
     same = spark.range(0, 3000).select(F.lit("x").alias("name"), F.expr("named_struct('gtype', 'Point', 'srid', 4326, 'parts', array(array(array(named_struct('x', 1.05D, 'y', 1.05D)))))").alias("geom"))
     areas = frame(spark, [("tiny", polygon(box(1.0, 1.0, 1.1, 1.1)))], "lga_id STRING")
     for options in ({}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "salts": 4}):
