@@ -20,6 +20,8 @@ those y values ("flips") are kept instead of the edges.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,17 +100,38 @@ def _cell_range(axis: str, size: str, span: str) -> tuple[str, str]:
     )
 
 
-def _size_bounds(prepared: DataFrame, sizes: list[int]) -> tuple[int, int]:
-    """Upper bounds in bytes of the block index and of the boundaries themselves."""
+@dataclass(frozen=True)
+class _Measured:
+    """Upper bounds in bytes of the block index and of the boundaries, and their common box."""
+
+    index_bytes: int
+    whole_bytes: int
+    extent: tuple[int, int, int, int] | None
+
+
+def _measure(prepared: DataFrame, sizes: list[int]) -> _Measured:
     counts = []
     for _, size, span in _levels(sizes):
         (x0, x1), (y0, y1) = (_cell_range(axis, f"{size}L", f"{span}L") for axis in "xy")
         counts.append(f"({x1} - ({x0}) + 1D) * ({y1} - ({y0}) + 1D)")
     row = f"({_ROW_BYTES} + {_EDGE_BYTES} * size(_edges))"
-    blocks, whole = prepared.selectExpr(
-        f"coalesce(sum({row} * ({' + '.join(counts)})), 0D)", f"coalesce(sum({row}), 0)"
+    blocks, whole, *extent = prepared.selectExpr(
+        f"coalesce(sum({row} * ({' + '.join(counts)})), 0D)",
+        f"coalesce(sum({row}), 0)",
+        "min(_bbox.x0)",
+        "min(_bbox.y0)",
+        "max(_bbox.x1)",
+        "max(_bbox.y1)",
     ).head()
-    return int(blocks), int(whole)
+    return _Measured(int(blocks), int(whole), None if extent[0] is None else tuple(extent))
+
+
+def within_extent(features: DataFrame, extent: tuple[int, int, int, int] | None) -> DataFrame:
+    """Features whose stored box meets ``extent`` (fixed point); the filter reaches the scan."""
+    if extent is None or not set(BOX_COLUMNS) <= set(features.columns):
+        return features
+    x0, y0, x1, y1 = extent
+    return features.where(f"box_x0 <= {x1}L AND box_x1 >= {x0}L AND box_y0 <= {y1}L AND box_y1 >= {y0}L")
 
 
 def _block_index(prepared: DataFrame, sizes: list[int]) -> DataFrame:
@@ -215,11 +238,12 @@ def spatial_join(
     """
     sizes = _sizes(cell_degrees)
     prepared = prepare_boundaries(boundaries)
-    keyed = _with_grid_key(features.where(g.usable("geom")), sizes)
+    found = _measure(prepared, sizes)
+    nearby = within_extent(features, found.extent).where(g.usable("geom"))
+    keyed = _with_grid_key(nearby, sizes)
     whole = prepared.select(F.col("lga_id").alias("_whole_id"), F.expr(_PLAIN.format("_edges")).alias("_whole"))
 
-    index_bytes, whole_bytes = _size_bounds(prepared, sizes)
-    index = _block_index(prepared, sizes)
+    index, index_bytes = _block_index(prepared, sizes), found.index_bytes
     if index_bytes > broadcast_bytes:
         # The bound counts every edge in every block; see what it really takes.
         # Boundaries often sit in one small file, so they are spread out first.
@@ -241,7 +265,7 @@ def spatial_join(
         "_box.x0 <= _bbox.x1 AND _box.x1 >= _bbox.x0 AND _box.y0 <= _bbox.y1 AND _box.y1 >= _bbox.y0"
     )
     fetch = "CASE WHEN _level > 0 THEN lga_id END"
-    if whole_bytes <= broadcast_bytes:
+    if found.whole_bytes <= broadcast_bytes:
         whole = F.broadcast(whole)
     else:
         # Rows that need no fetch get scattered keys that match nothing, so the

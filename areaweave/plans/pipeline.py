@@ -48,15 +48,20 @@ def extract_lgas(
     strict: bool = False,
     write: bool = True,
     timestamp: datetime | None = None,
+    finished: DataFrame | None = None,
 ) -> Run:
     """Resolve, extract, clean, export and log every requested area.
 
     Three results are read more than once and therefore written to intermediate
     tables: the boundaries, the raw features and the cleaned layers.  ``strict``
     raises on a bad rule or an unresolved area before anything is exported.
+    Areas with a record in ``finished`` (see read_runs) under the same rules are
+    left out.
     """
     if strict:
         check_strict(rules)
+    if finished is not None:
+        requests = audit.pending_requests(requests, finished, rules)
     resolution = resolve_boundaries(requests, gazetteer, manual, strict=strict)
     boundaries = through_table(resolution.accepted)
     raw = through_table(extract_features(elements, boundaries, rules))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaweave.functions import geometry as g
-from areaweave.operators.scale import compute_once
 from areaweave.operators.rules import any_layer, split_rules, tag_reader
+from areaweave.operators.scale import compute_once
+from areaweave.operators.spatial import within_extent
 from areaweave.settings import DEFAULT_RULES
 
 # A closed way with one of these keys is an area, unless tagged area=no.
@@ -29,7 +30,8 @@ def write_elements(elements: DataFrame, path: str, keys: Iterable[str] | None =
     and by area; neither works on a map or a nested geometry.
     """
     keys = rule_keys(DEFAULT_RULES) if keys is None else list(keys)
-    wide = compute_once(elements, box=g.fixed_bounds("geom")).select(
+    wide = compute_once(elements, box=g.fixed_bounds("geom"))
+    wide = wide.select(
         *elements.columns,
         *[F.element_at("tags", key).alias(f"tag_{key}") for key in keys],
         *[F.col(f"box.{side}").alias(f"box_{side}") for side in ("x0", "y0", "x1", "y1")],
@@ -54,15 +56,6 @@ def read_elements(
     return within_extent(found, extent)
 
 
-def within_extent(elements: DataFrame, extent: tuple[int, int, int, int] | None) -> DataFrame:
-    if extent is None or "box_x0" not in elements.columns:
-        return elements
-    x0, y0, x1, y1 = extent
-    return elements.where(
-        (F.col("box_x0") <= x1) & (F.col("box_x1") >= x0) & (F.col("box_y0") <= y1) & (F.col("box_y1") >= y0)
-    )
-
-
 def is_area_way(tags: Column) -> Column:
     tagged = F.lit(False)
     for key in AREA_KEYS:

@@ -110,6 +110,13 @@ def test_run_log(spark, run):
     assert other.count() == 1
 
 
+def test_finished_areas_are_left_out(spark, run, gazetteer, elements):
+    path, _ = run
+    asked = requests(spark, ("West Area", "Ondo"), ("Mid Area", "Abuja"))
+    again = extract_lgas(asked, gazetteer, elements, write=False, finished=read_runs(spark, path))
+    assert [r["state_name"] for r in again.boundaries.collect()] == ["Abuja"]
+
+
 def test_rerun_replaces_only_its_own_areas(spark, run, tmp_path):
     _, result = run
     path = str(tmp_path)
@@ -152,6 +159,9 @@ def test_stored_boxes_give_the_same_join(spark, elements, run, tmp_path):
     _, result = run
     write_elements(elements, str(tmp_path / "elements"))
     stored = extract_features(read_elements(spark, str(tmp_path / "elements")), result.boundaries)
+    assert stored.columns == ["lga_id", "layer", "element_type", "osmid", "name", "geom", "target_srid"]
+    scan = next(l for l in plan_of(stored).splitlines() if "PushedFilters" in l and "box_x0" in l)
+    assert "LessThanOrEqual(box_x0,76000000)" in scan and "GreaterThanOrEqual(box_x1,51500000)" in scan
     direct = extract_features(elements, result.boundaries)
     keys = ["lga_id", "layer", "element_type", "osmid"]
     assert sorted(map(tuple, stored.select(keys).collect())) == sorted(map(tuple, direct.select(keys).collect()))
