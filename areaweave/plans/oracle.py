@@ -746,7 +746,7 @@ ORACLES["way_closed_to_polygon"] = sql(
 )
 ORACLES["relation_assembly"] = (
     "SELECT r AS relation_id, reason, CASE WHEN reason IS NULL THEN 2 END AS n_parts, CASE WHEN reason IS NULL THEN 3 END AS n_rings, "
-    "CASE WHEN reason IS NULL THEN 475 END AS area_millideg2 FROM (SELECT s_suppkey::BIGINT AS r, "
+    "CASE WHEN reason IS NULL THEN 475::BIGINT END AS area_millideg2 FROM (SELECT s_suppkey::BIGINT AS r, "
     "CASE WHEN s_suppkey % 7 = 3 THEN 'no_members' WHEN s_suppkey % 5 = 1 THEN 'member_missing' "
     "WHEN s_suppkey % 5 = 2 THEN 'member_not_closed' END AS reason FROM supplier)"
 )
