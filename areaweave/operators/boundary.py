@@ -41,7 +41,7 @@ def normalise_requests(requests: DataFrame) -> DataFrame:
     """Trimmed names, blank state as null, one row per area.
 
     Needs lga_name and state_name; manual_path is optional.  Repeats of an area
-    are folded, as one run answers them all.
+    are folded, as one run answers them all; one with a manual file goes first.
     """
     manual = F.col("manual_path") if "manual_path" in requests.columns else F.lit(None).cast("string")
     clean = requests.select(
@@ -49,7 +49,8 @@ def normalise_requests(requests: DataFrame) -> DataFrame:
         text.blank_to_null(F.col("state_name")).alias("state_name"),
         text.blank_to_null(manual).alias("manual_path"),
     ).withColumn("lga_id", text.lga_id(F.coalesce("lga_name", F.lit("")), F.col("state_name")))
-    one = F.min(F.struct("lga_name", "state_name", "manual_path"))
+    row = F.struct("lga_name", "state_name", "manual_path")
+    one = F.min_by(row, F.struct(F.col("manual_path").isNull(), row))
     return clean.groupBy("lga_id").agg(one.alias("r")).select("lga_id", "r.*")
 
 

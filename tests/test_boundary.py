@@ -158,5 +158,8 @@ def test_manual_files(spark, gazetteer, tmp_path):
         "paris area": "outside",
         "lost": "no_file",
     }
+    both = [("North", "West", None), ("north ", "West", files["projected"])]
+    chosen = resolve(spark, gazetteer, both, manual=manual).accepted.collect()
+    assert [r["boundary_source"] for r in chosen] == [f"manual:{files['projected']}"]
     only = read_boundary_files(spark, files["bare"])
     assert one(only, "problem") is None
