@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from areaweave.llm import substrings
+from areaweave.llm import substrings, tokenfiles
 
 QUERIES = {
+    "op10_token_files": tokenfiles.op10_token_files,
     "op2_substring_dedup": substrings.op2_substring_dedup,
 }
 
