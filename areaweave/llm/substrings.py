@@ -28,11 +28,13 @@ from areaweave.llm.common import table, text_bytes
 
 WIDTH = 20
 #: Windows whose repeats a task finds by itself; 24 bytes of memory each.
-UNIT = 2_000_000
+UNIT = 1_000_000
 #: Bytes of text for each bucket: about 1.5 million windows.
 BUCKET_BYTES = 10 << 20
-_BLOCKS = "bucket INT, rows INT, runs INT, hashes BINARY, ids BINARY, sizes BINARY, places BINARY"
-_MARKS = "_id BIGINT, _copy BIGINT, n INT, places BINARY"
+_BLOCKS = (
+    "bucket INT, rows INT, runs INT, hashes BINARY, ids BINARY, copies BINARY, sizes BINARY, places BINARY"
+)
+_MARKS = "_id BIGINT, _copy INT, n INT, places BINARY"
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -71,20 +73,29 @@ def _batches(columns: list[list], names: str, most: int = 4096) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(fields))
 
 
-def _not_first(order: np.ndarray, key: np.ndarray, identity: np.ndarray) -> np.ndarray:
-    """Which windows have a key that an earlier one has too; ``order`` sorts them earliest first.
+def _not_first(key: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """Which windows have a key that one at a smaller spot has too.
 
-    identity: columns that tell windows apart; rows of the table that are equal in document
-    and text are one, so they do not remove each other.
+    Windows at one spot are of rows that are equal in document and text; these are one
+    document, so they do not remove each other.
     """
-    ordered = key[order]
-    _, first, group = np.unique(ordered, return_index=True, return_inverse=True)
-    head = order[first][group]
-    later = np.zeros(len(key), bool)
-    later[order] = np.any(identity[:, order] != identity[:, head], axis=0)
+    order = np.lexsort((spot, key))
+    sorted_key, sorted_spot = key[order], spot[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = sorted_key[1:] != sorted_key[:-1]
+    head = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+    later = np.empty(len(key), bool)
+    later[order] = sorted_spot != sorted_spot[head]
     return later
 
 
+def _ranks(ids: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct documents in order, and the rank among them of each given one."""
+    both = np.empty(len(ids), [("id", np.int64), ("copy", np.int32)])
+    both["id"], both["copy"] = ids, copies
+    return np.unique(both, return_inverse=True)
+
+
 def _hashed(width: int, buckets: int):
     """Documents to packed windows, as rows of _BLOCKS.
 
@@ -93,21 +104,19 @@ def _hashed(width: int, buckets: int):
 
     def emit(parts: list) -> Iterator[pa.RecordBatch]:
         ids, copies, docs, places, key, deal = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((places, copies[docs], ids[docs]))
-        ids, copies, docs, places = ids[docs[order]], copies[docs[order]], docs[order], places[order]
-        key, deal = key[order], deal[order]
-        later = _not_first(np.arange(len(key)), key ^ W.mix(deal), np.stack([ids, copies, places.astype(np.int64)]))
-        aside = -1 - int(W.mix(copies[:1].view(np.uint64))[0] % np.uint64(buckets))
+        own, rank = _ranks(ids, copies)
+        spot = rank[docs] << 32 | places
+        later = _not_first(key ^ W.mix(deal), spot)
+        aside = -1 - int(W.mix(key[:1])[0] % np.uint64(buckets))
         bucket = np.where(later, aside, (deal % np.uint64(buckets)).astype(np.int64))
-        order = np.argsort(bucket, kind="stable")
-        rows: list[list] = [[] for _ in range(7)]
+        order = np.lexsort((spot, bucket))
+        rows: list[list] = [[] for _ in range(8)]
         for run in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            at, sizes, steps = _by_document(docs[run], places[run])
-            owner = run[at]
+            at, sizes, steps = _by_document(spot[run] >> 32, spot[run] & 0xFFFFFFFF)
+            owner = own[spot[run[at]] >> 32]
             hashes = b"" if bucket[run[0]] < 0 else key[run].view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-            both = np.stack([ids[owner], copies[owner]])
-            made = (int(bucket[run[0]]), len(run), len(at), hashes, _packed(both), _packed(sizes), _packed(steps))
-            for column, value in zip(rows, made, strict=True):
+            arrays = map(_packed, (owner["id"], owner["copy"], sizes, steps))
+            for column, value in zip(rows, (int(bucket[run[0]]), len(run), len(at), hashes, *arrays), strict=True):
                 column.append(value)
         yield from _batches(rows, _BLOCKS, 64)
 
@@ -124,7 +133,7 @@ def _hashed(width: int, buckets: int):
                     batch.column("_id").to_numpy(),
                     batch.column("_copy").to_numpy(),
                     (text + base).astype(np.int64),
-                    (start - found.first[text]).astype(np.uint32),
+                    start - found.first[text],
                     W.window_hashes(hashes, width, W.ROLL_A)[start],
                     W.window_hashes(hashes, width, W.ROLL_B)[start],
                 )
@@ -139,16 +148,16 @@ def _hashed(width: int, buckets: int):
     return run
 
 
-def _opened(blocks: pa.Table | pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+def _opened(blocks: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
     """Document, copy, place and 7-byte hash of the windows in each row of _BLOCKS."""
     for row in blocks.to_pylist():
         n, runs = row["rows"], row["runs"]
         sizes = _unpacked(row["sizes"], np.uint32, runs)
-        both = _unpacked(row["ids"], np.int64, 2 * runs).reshape(2, -1)
+        ids, copies = _unpacked(row["ids"], np.int64, runs), _unpacked(row["copies"], np.int32, runs)
         places = _restored(sizes, _unpacked(row["places"], np.uint32, n))
         wide = np.zeros((n if row["hashes"] else 0, 8), np.uint8)
         wide[:, :7] = np.frombuffer(row["hashes"], np.uint8).reshape(-1, 7)
-        yield np.repeat(both[0], sizes), np.repeat(both[1], sizes), places, wide.view(np.uint64).ravel()
+        yield np.repeat(ids, sizes), np.repeat(copies, sizes), places, wide.view(np.uint64).ravel()
 
 
 def _marks(ids: np.ndarray, copies: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -165,7 +174,7 @@ def _marks(ids: np.ndarray, copies: np.ndarray, places: np.ndarray) -> Iterator[
 
 
 _MARK_SCHEMA = pa.schema(
-    [("_id", pa.int64()), ("_copy", pa.int64()), ("n", pa.int32()), ("places", pa.binary())]
+    [("_id", pa.int64()), ("_copy", pa.int32()), ("n", pa.int32()), ("places", pa.binary())]
 )
 
 
@@ -175,9 +184,11 @@ def _later(key: tuple, blocks: pa.Table) -> pa.Table:
         made = [b for ids, copies, places, _ in _opened(blocks) for b in _marks(ids, copies, places)]
     else:
         ids, copies, places, hashes = (np.concatenate(x) for x in zip(*_opened(blocks), strict=True))
-        order = np.lexsort((places, copies, ids))
-        later = order[_not_first(order, hashes, np.stack([ids, copies, places]))[order]]
-        made = list(_marks(ids[later], copies[later], places[later]))
+        own, rank = _ranks(ids, copies)
+        spot = rank << 32 | places
+        spot = np.sort(spot[_not_first(hashes, spot)])
+        owner = own[spot >> 32]
+        made = list(_marks(owner["id"], owner["copy"], spot & 0xFFFFFFFF))
     return pa.Table.from_batches(made, _MARK_SCHEMA)
 
 
@@ -230,7 +241,7 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = B
         "doc_id",
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id"),
-        F.xxhash64("text").alias("_copy"),
+        F.hash("text").alias("_copy"),
     )
     blocks = rows.select("_id", "_copy", "text").mapInArrow(_hashed(width, buckets), _BLOCKS)
     marks = blocks.groupBy("bucket").applyInArrow(_later, _MARKS)
