@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from areaweave.llm import substrings, tokenfiles
+from areaweave.llm import bpe, lines, secrets, substrings, tokenfiles
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op8_line_dedup": lines.op8_line_dedup,
+    "op3_bpe": bpe.op3_bpe,
     "op10_token_files": tokenfiles.op10_token_files,
     "op2_substring_dedup": substrings.op2_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_line_dedup": lines.ORACLE,
+}
