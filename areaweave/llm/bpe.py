@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,7 +128,7 @@ class WordBpe:
                 words = [bytes(map(self._byte.get, w)) for w, _ in self._cut(self._normal(piece))]
             for word in words:
                 out += self.word(word)
-        return np.array(out, np.uint32).tobytes()
+        return array("I", out).tobytes()
 
     def units(self, many: list[bytes]) -> list[bytes]:
         return [self.unit(u) for u in many]
@@ -167,7 +168,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(tokenizer)[1]
-        for batch in W.slices(batches):
+        for batch in W.slices(batches, most=1 << 20):
             ids, first = model.ids(batch.column("text"))
             data, cut = ids.astype("<u4").tobytes(), (4 * first).tolist()
             packed = [data[a:b] for a, b in zip(cut, cut[1:])]

@@ -24,6 +24,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,7 +156,7 @@ def library_encoder(path: str, whole: list[bytes] = (b"<|endoftext|>",)):
 
         def encode(units: list[bytes]) -> list[bytes]:
             found = model.encode_batch_fast([u.decode("utf-8") for u in units], add_special_tokens=False)
-            return [np.array(e.ids, np.uint32).tobytes() for e in found]
+            return [array("I", e.ids).tobytes() for e in found]
 
         _ENCODERS[path] = (Encoder(encode), encode)
     cached, encode = _ENCODERS[path]
@@ -186,7 +187,7 @@ def _write(tokenizer: str, end: int):
                 [pa.array([_segment(shard, docs, sizes, np.concatenate(parts))], pa.binary())], ["segment"]
             )
 
-        for batch in W.slices(batches):
+        for batch in W.slices(batches, most=1 << 20):
             ids, first = encode(batch.column("text"))
             shard = batch.column("shard")[0].as_py()
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):

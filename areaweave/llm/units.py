@@ -21,8 +21,8 @@ _TRIPLES = [(0xE1, 0x9A, 0x80), (0xE2, 0x81, 0x9F), (0xE3, 0x80, 0x80)] + [
 ]
 _ASCII = np.zeros(256, bool)
 _ASCII[[9, 10, 11, 12, 13, 32]] = True
-#: Units that a worker keeps with their ids; about 200 bytes each.
-CACHED = 400_000
+#: New units after which a worker forgets those not met since as many before; about 200 bytes each.
+CACHED = 300_000
 
 
 def _space(data: np.ndarray) -> np.ndarray:
@@ -75,6 +75,7 @@ class Encoder:
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]]):
         self._encode = encode
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where those of each text begin (one entry more than texts)."""
@@ -86,11 +87,13 @@ class Encoder:
         _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
         raw = data.tobytes()
         distinct = [raw[a:b] for a, b in zip(start[sample].tolist(), end[sample].tolist(), strict=True)]
-        if len(self._known) > CACHED:
-            self._known.clear()
-        new = [u for u in distinct if u not in self._known]
-        self._known.update(zip(new, self._encode(new), strict=True))
-        packed = [self._known[u] for u in distinct]
+        known, older = self._known, self._older
+        known.update((u, older[u]) for u in distinct if u not in known and u in older)
+        new = [u for u in distinct if u not in known]
+        known.update(zip(new, self._encode(new), strict=True))
+        packed = [known[u] for u in distinct]
+        if len(known) > CACHED:
+            self._known, self._older = {}, known
         size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         store = np.frombuffer(b"".join(packed), np.uint32)
         begin = (np.cumsum(size) - size)[which]
