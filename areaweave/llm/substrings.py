@@ -31,10 +31,13 @@ WIDTH = 20
 UNIT = 1_000_000
 #: Bytes of text for each bucket: about 1.5 million windows.
 BUCKET_BYTES = 10 << 20
+#: Fewer buckets than this would leave a cluster idle.
+LEAST_BUCKETS = 48
+_PRIME = 2**31 - 1
 _BLOCKS = (
     "bucket INT, rows INT, runs INT, hashes BINARY, ids BINARY, copies BINARY, sizes BINARY, places BINARY"
 )
-_MARKS = "_id BIGINT, _copy INT, n INT, places BINARY"
+_MARKS = "part BIGINT, rows INT, runs INT, ids BINARY, copies BINARY, sizes BINARY, places BINARY"
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -64,13 +67,17 @@ def _restored(sizes: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[at] - steps[at], sizes)
 
 
+def _schema(names: str) -> pa.Schema:
+    kinds = {"BIGINT": pa.int64(), "INT": pa.int32(), "BINARY": pa.binary()}
+    return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in names.split(", "))])
+
+
 def _batches(columns: list[list], names: str, most: int = 4096) -> Iterator[pa.RecordBatch]:
     """Lists of column values as record batches with the names and types of a schema string."""
-    kinds = {"BIGINT": pa.int64(), "INT": pa.int32(), "BINARY": pa.binary()}
-    fields = [pa.field(n, kinds[t]) for n, t in (f.split() for f in names.split(", "))]
+    fields = _schema(names)
     for i in range(0, len(columns[0]), most):
         arrays = [pa.array(c[i : i + most], f.type) for c, f in zip(columns, fields, strict=True)]
-        yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(fields))
+        yield pa.RecordBatch.from_arrays(arrays, schema=fields)
 
 
 def _not_first(key: np.ndarray, spot: np.ndarray) -> np.ndarray:
@@ -89,11 +96,26 @@ def _not_first(key: np.ndarray, spot: np.ndarray) -> np.ndarray:
     return later
 
 
-def _ranks(ids: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct documents in order, and the rank among them of each given one."""
-    both = np.empty(len(ids), [("id", np.int64), ("copy", np.int32)])
-    both["id"], both["copy"] = ids, copies
-    return np.unique(both, return_inverse=True)
+def _ranks(ids: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct documents in order (ids, copies), and the rank among them of each given one."""
+    order = np.lexsort((copies, ids))
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (np.diff(ids[order]) != 0) | (np.diff(copies[order]) != 0)
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.cumsum(fresh) - 1
+    first = order[fresh]
+    return ids[first], copies[first], rank
+
+
+def _part(ids: np.ndarray, copies: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the table in which a document meets its marks; ``_part_column`` says the same."""
+    mixed = (ids % _PRIME * 31 + copies) % _PRIME * 48271 % _PRIME
+    return mixed % parts
+
+
+def _part_column(parts: int):
+    mixed = F.pmod(F.pmod(F.pmod("_id", F.lit(_PRIME)) * 31 + F.col("_copy"), F.lit(_PRIME)) * 48271, F.lit(_PRIME))
+    return F.pmod(mixed, F.lit(parts))
 
 
 def _hashed(width: int, buckets: int):
@@ -104,7 +126,7 @@ def _hashed(width: int, buckets: int):
 
     def emit(parts: list) -> Iterator[pa.RecordBatch]:
         ids, copies, docs, places, key, deal = (np.concatenate(x) for x in zip(*parts, strict=True))
-        own, rank = _ranks(ids, copies)
+        own_ids, own_copies, rank = _ranks(ids, copies)
         spot = rank[docs] << 32 | places
         later = _not_first(key ^ W.mix(deal), spot)
         aside = -1 - int(W.mix(key[:1])[0] % np.uint64(buckets))
@@ -113,9 +135,9 @@ def _hashed(width: int, buckets: int):
         rows: list[list] = [[] for _ in range(8)]
         for run in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
             at, sizes, steps = _by_document(spot[run] >> 32, spot[run] & 0xFFFFFFFF)
-            owner = own[spot[run[at]] >> 32]
+            owner = spot[run[at]] >> 32
             hashes = b"" if bucket[run[0]] < 0 else key[run].view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-            arrays = map(_packed, (owner["id"], owner["copy"], sizes, steps))
+            arrays = map(_packed, (own_ids[owner], own_copies[owner], sizes, steps))
             for column, value in zip(rows, (int(bucket[run[0]]), len(run), len(at), hashes, *arrays), strict=True):
                 column.append(value)
         yield from _batches(rows, _BLOCKS, 64)
@@ -148,82 +170,93 @@ def _hashed(width: int, buckets: int):
     return run
 
 
-def _opened(blocks: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
-    """Document, copy, place and 7-byte hash of the windows in each row of _BLOCKS."""
-    for row in blocks.to_pylist():
-        n, runs = row["rows"], row["runs"]
-        sizes = _unpacked(row["sizes"], np.uint32, runs)
-        ids, copies = _unpacked(row["ids"], np.int64, runs), _unpacked(row["copies"], np.int32, runs)
-        places = _restored(sizes, _unpacked(row["places"], np.uint32, n))
-        wide = np.zeros((n if row["hashes"] else 0, 8), np.uint8)
-        wide[:, :7] = np.frombuffer(row["hashes"], np.uint8).reshape(-1, 7)
-        yield np.repeat(ids, sizes), np.repeat(copies, sizes), places, wide.view(np.uint64).ravel()
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents (ids, copies), their numbers of windows, and the windows' places, of a row of _BLOCKS or _MARKS."""
+    n, runs = row["rows"], row["runs"]
+    sizes = _unpacked(row["sizes"], np.uint32, runs)
+    places = _restored(sizes, _unpacked(row["places"], np.uint32, n))
+    return _unpacked(row["ids"], np.int64, runs), _unpacked(row["copies"], np.int32, runs), sizes, places
 
 
-def _marks(ids: np.ndarray, copies: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Windows to go, sorted by document, as one row of _MARKS a document."""
-    if not len(ids):
-        return
-    fresh = np.ones(len(ids), bool)
-    fresh[1:] = (ids[1:] != ids[:-1]) | (copies[1:] != copies[:-1])
-    at = np.flatnonzero(fresh)
-    stop = np.append(at[1:], len(ids))
-    data = places.astype(np.uint32)
-    packed = [data[a:b].tobytes() for a, b in zip(at, stop, strict=True)]
-    yield from _batches([ids[at].tolist(), copies[at].tolist(), (stop - at).tolist(), packed], _MARKS)
+def _marks(ids: np.ndarray, copies: np.ndarray, spot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Windows to go, at sorted spots of the ranked documents, as rows of _MARKS: one a part."""
+    part = _part(ids, copies, parts)[spot >> 32]
+    order = np.argsort(part, kind="stable")
+    rows: list[list] = [[] for _ in range(7)]
+    for run in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
+        at, sizes, steps = _by_document(spot[run] >> 32, spot[run] & 0xFFFFFFFF)
+        owner = spot[run[at]] >> 32
+        arrays = map(_packed, (ids[owner], copies[owner], sizes, steps))
+        for column, value in zip(rows, (int(part[run[0]]), len(run), len(at), *arrays), strict=True):
+            column.append(value)
+    yield from _batches(rows, _MARKS)
 
 
-_MARK_SCHEMA = pa.schema(
-    [("_id", pa.int64()), ("_copy", pa.int32()), ("n", pa.int32()), ("places", pa.binary())]
-)
+def _later(parts: int):
+    """Of a bucket, the windows whose hash an earlier one has, as rows of _MARKS."""
 
+    def run(key: tuple, blocks: pa.Table) -> pa.Table:
+        rows = blocks.to_pylist()
+        ids, copies, sizes, places = (np.concatenate(x) for x in zip(*map(_opened, rows), strict=True))
+        ids, copies, rank = _ranks(ids, copies)
+        spot = np.repeat(rank, sizes) << 32 | places
+        if key[0].as_py() >= 0:
+            wide = np.zeros((len(spot), 8), np.uint8)
+            wide[:, :7] = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint8).reshape(-1, 7)
+            spot = spot[_not_first(wide.view(np.uint64).ravel(), spot)]
+        return pa.Table.from_batches(list(_marks(ids, copies, np.unique(spot), parts)), _schema(_MARKS))
 
-def _later(key: tuple, blocks: pa.Table) -> pa.Table:
-    """Of a bucket, the windows whose hash an earlier one has, as rows of _MARKS."""
-    if key[0].as_py() < 0:
-        made = [b for ids, copies, places, _ in _opened(blocks) for b in _marks(ids, copies, places)]
-    else:
-        ids, copies, places, hashes = (np.concatenate(x) for x in zip(*_opened(blocks), strict=True))
-        own, rank = _ranks(ids, copies)
-        spot = rank << 32 | places
-        spot = np.sort(spot[_not_first(hashes, spot)])
-        owner = own[spot >> 32]
-        made = list(_marks(owner["id"], owner["copy"], spot & 0xFFFFFFFF))
-    return pa.Table.from_batches(made, _MARK_SCHEMA)
+    return run
 
 
 def _removed(width: int):
-    """Documents with their marks to documents without the covered words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches):
+    """A part's documents and their marks to documents without the covered words."""
+
+    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        rows = marks.to_pylist()
+        none = np.zeros(0, np.int64)
+        ids, copies, sizes, places = (
+            (np.concatenate(x) for x in zip(*map(_opened, rows), strict=True)) if rows else [none] * 4
+        )
+        owned: dict[tuple[int, int], list[np.ndarray]] = {}
+        stop = np.cumsum(sizes.astype(np.int64))
+        for i, c, a, b in zip(ids.tolist(), copies.tolist(), (stop - sizes).tolist(), stop.tolist(), strict=True):
+            owned.setdefault((i, c), []).append(places[a:b])
+        done = []
+        for batch in W.slices(iter(docs.to_batches())):
             found = W.split(batch.column("text"))
             kept, gone, total, spans = [], [], np.diff(found.first), []
-            for i, marks in enumerate(batch.column("_marks").to_pylist()):
+            keys = zip(batch.column("_id").to_pylist(), batch.column("_copy").to_pylist(), strict=True)
+            for i, key in enumerate(keys):
                 a, b = found.first[i], found.first[i + 1]
                 covered = np.zeros(b - a + 1, np.int32)
-                places = np.frombuffer(b"".join(marks or ()), np.uint32)
-                np.add.at(covered, places, 1)
-                np.add.at(covered, places + np.uint32(width), -1)
+                for some in owned.get(key, ()):
+                    np.add.at(covered, some, 1)
+                    np.add.at(covered, some + width, -1)
                 out = np.cumsum(covered)[: b - a] > 0
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
                 spans.append([{"start": int(s), "stop": int(e)} for s, e in turn.reshape(-1, 2)])
                 gone.append(int(out.sum()))
                 kept.append(b" ".join(found.text(j) for j in np.flatnonzero(~out) + a).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in batch.schema.names if c not in ("text", "_marks")),
-                    pa.array(kept, pa.string()),
-                    pa.array(total, pa.int64()),
-                    pa.array(gone, pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                ],
-                ["doc_id", "kept_text", "n_words", "n_removed", "removed"],
-            )
+            columns = [batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(total, pa.int64())]
+            columns += [pa.array(gone, pa.int64()), pa.array(spans, _DONE.field("removed").type)]
+            done.append(pa.RecordBatch.from_arrays(columns, schema=_DONE))
+        return pa.Table.from_batches(done, _DONE)
 
     return run
 
 
+_DONE = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("kept_text", pa.string()),
+        ("n_words", pa.int64()),
+        ("n_removed", pa.int64()),
+        ("removed", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+    ]
+)
+
+
 def remove_substrings(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Each document without the words that repeated windows cover.
 
@@ -236,7 +269,7 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = B
     Returns doc_id, kept_text (words joined by a space), n_words, n_removed and ``removed``:
     the maximal intervals of removed words (start, stop exclusive).
     """
-    buckets = max(1, -(-text_bytes(docs) // bucket_bytes))
+    buckets = max(LEAST_BUCKETS, -(-text_bytes(docs) // bucket_bytes))
     rows = docs.select(
         "doc_id",
         F.coalesce("text", F.lit("")).alias("text"),
@@ -244,13 +277,16 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = B
         F.hash("text").alias("_copy"),
     )
     blocks = rows.select("_id", "_copy", "text").mapInArrow(_hashed(width, buckets), _BLOCKS)
-    marks = blocks.groupBy("bucket").applyInArrow(_later, _MARKS)
-    by_document = marks.groupBy("_id", "_copy").agg(F.collect_list("places").alias("_marks"))
-    marked = rows.join(by_document, ["_id", "_copy"], "left").select("doc_id", "text", "_marks")
-    return marked.mapInArrow(
-        _removed(width),
-        "doc_id BIGINT, kept_text STRING, n_words BIGINT, n_removed BIGINT, "
-        "removed ARRAY<STRUCT<start: BIGINT, stop: BIGINT>>",
+    marks = blocks.groupBy("bucket").applyInArrow(_later(buckets), _MARKS)
+    dealt = rows.withColumn("part", _part_column(buckets))
+    return (
+        dealt.groupBy("part")
+        .cogroup(marks.groupBy("part"))
+        .applyInArrow(
+            _removed(width),
+            "doc_id BIGINT, kept_text STRING, n_words BIGINT, n_removed BIGINT, "
+            "removed ARRAY<STRUCT<start: BIGINT, stop: BIGINT>>",
+        )
     )
 
 
