@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from areaweave.operators.scale import shared_folder
@@ -45,3 +45,19 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -
     marked = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
     most = marked.filter("_hot IS NULL").drop("_hot").join(cool, keys)
     return most.unionByName(rows.join(F.broadcast(hot), keys).select(most.columns))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, grade: Column, most: int) -> DataFrame:
+    """Up to ``most`` labelled documents of each value of ``grade``: doc_id, text, grade.
+
+    The choice follows a hash of doc_id, so it is the same at any partitioning.  Rows of
+    ``labels`` with a null doc_id or grade do not count; of several for one document the
+    lowest grade does, and of several documents with one doc_id any one.
+    """
+    known = labels.select("doc_id", grade.cast("int").alias("grade")).dropna()
+    known = known.groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    rank = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # Spark keeps the first rows of each group before the shuffle.
+    chosen = known.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= most).drop("_rank")
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return text.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])

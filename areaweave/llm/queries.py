@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from areaweave.llm import bpe, lines, secrets, substrings, tokenfiles
+from areaweave.llm import bpe, lines, quality, secrets, substrings, tokenfiles, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op6_quality": quality.op6_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": lines.op8_line_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op10_token_files": tokenfiles.op10_token_files,
@@ -13,5 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_quality": quality.op6_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": lines.ORACLE,
 }
