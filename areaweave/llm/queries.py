@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from areaweave.llm import bpe, lines, quality, secrets, substrings, tokenfiles, toxicity
+from areaweave.llm import bpe, lines, quality, rules, secrets, substrings, tokenfiles, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op9_quality_rules": rules.op9_quality_rules,
     "op8_line_dedup": lines.op8_line_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op10_token_files": tokenfiles.op10_token_files,
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLES = {
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op9_quality_rules": rules.op9_quality_rules,
     "op8_line_dedup": lines.ORACLE,
 }
