@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from areaweave.llm import bpe, lines, quality, rules, secrets, substrings, tokenfiles, toxicity
+from areaweave.llm import bpe, lines, neardup, quality, rules, secrets, substrings, tokenfiles, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op4_near_duplicates": neardup.op4_near_duplicates,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_quality_rules": rules.op9_quality_rules,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_near_duplicates": neardup.op4_near_duplicates,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_quality_rules": rules.op9_quality_rules,
