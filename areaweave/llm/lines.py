@@ -33,7 +33,7 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
     return split.select("_id", "_copy", F.inline(found))
 
 
-def remove_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def remove_lines(docs: DataFrame, width: int = WIDTH, rest: tuple[str, ...] = ()) -> DataFrame:
     """Each document without the lines that a repeated run of ``width`` lines covers.
 
     A line goes if it lies in a run of ``width`` consecutive lines, one of them with a word,
@@ -42,9 +42,12 @@ def remove_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     comes last; rows that share a doc_id are ordered by a hash of their text, and rows equal
     in both share one verdict; other columns do not count.  Texts of fewer lines stay whole.
 
-    Returns doc_id, kept_text, n_lines, n_removed.
+    Returns doc_id, kept_text, n_lines, n_removed, and, if columns are named as ``rest``, a
+    struct ``rest`` that carries them along.
     """
+    carried = [F.struct(*[f"`{c}`" for c in rest]).alias("rest")] if rest else []
     rows = docs.select(
+        *carried,
         "doc_id",
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id"),
@@ -60,7 +63,7 @@ def remove_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     later = join_facts(windows, written(repeated), ["_a", "_b"], "_n").filter(place != F.col("_first"))
     # A document's places stay within one row; there are no more of them than it has lines.
     marks = later.groupBy("_id", "_copy").agg(F.collect_set("_at").alias("_marks"))
-    marked = rows.join(marks, ["_id", "_copy"], "left").select("doc_id", "text", "_marks")
+    marked = rows.join(marks, ["_id", "_copy"], "left").select(*(["rest"] if rest else []), "doc_id", "text", "_marks")
     split = compute_once(
         marked,
         _lines=r"split(text, '\n', -1)",
@@ -69,6 +72,7 @@ def remove_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
     return split.select(
+        *(["rest"] if rest else []),
         "doc_id",
         F.when(F.size("_gone") == 0, F.col("text")).otherwise(text).alias("kept_text"),
         F.size("_lines").cast("long").alias("n_lines"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from areaweave.llm import bpe, lines, neardup, quality, rules, secrets, substrings, tokenfiles, toxicity
+import corpus_pipeline
+from areaweave.llm import bpe, decontaminate, lines, neardup, quality, rules, secrets, substrings, tokenfiles, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_secrets": secrets.op1_secrets,
     "op4_near_duplicates": neardup.op4_near_duplicates,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_quality_rules": rules.op9_quality_rules,
@@ -18,6 +21,7 @@ QUERIES = {
 
 ORACLES = {
     "op4_near_duplicates": neardup.op4_near_duplicates,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_quality_rules": rules.op9_quality_rules,
