@@ -316,3 +316,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and verdict of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+sets AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS i FROM words WHERE len(w) > 0)
+),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+),
+links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 75 * (x.n + y.n - c)
+),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (
+  SELECT DISTINCT a AS node, a AS other FROM edges
+  UNION
+  SELECT r.node, e.b FROM reached r JOIN edges e ON e.a = r.other
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(min(r.other), d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(min(r.other), d.doc_id)) AS kept
+FROM words d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reached r ON r.node = d.doc_id
+GROUP BY d.doc_id, s.n
+"""

@@ -294,3 +294,25 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of the table without the words of passages that stand earlier."""
     done = remove_substrings(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 20), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS i FROM words WHERE len(w) >= 20)
+),
+later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM windows
+  ) WHERE nth > 1
+),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range(0, 20) AS t(k)),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM words)
+SELECT d.doc_id, count(e.i) AS n_words, count(g.i) AS n_removed,
+  sha256(coalesce(string_agg(CASE WHEN g.i IS NULL THEN e.word END, ' ' ORDER BY e.i), '')) AS kept_sha256
+FROM words d LEFT JOIN each e ON e.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i
+GROUP BY d.doc_id
+"""
