@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import types as T
 
-from areaweave.settings import FIXED_POINT, GEOMETRY_CATEGORY, WGS84
+from areaweave.settings import EXACT_EXTENT, FIXED_POINT, GEOMETRY_CATEGORY, METRIC_POINT, WGS84
 
 VERTEX = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 RING = T.ArrayType(VERTEX)
@@ -207,13 +207,34 @@ def collapse_area(geom: str) -> str:
 # --- fixed-point coordinates for exact predicates ----------------------------
 
 
-def fixed(value: str) -> str:
-    """Degrees as a whole number of 1e-7 degree."""
-    return f"floor({value} * {FIXED_POINT}D + 0.5D)"
+def fixed(value: str, scale: str = f"{FIXED_POINT}D") -> str:
+    """Coordinates as a whole number, of 1e-7 degree unless told otherwise."""
+    return f"floor({value} * {scale} + 0.5D)"
 
 
-def fixed_path(path: str) -> str:
-    return f"transform({path}, f_ -> named_struct('x', {fixed('f_.x')}, 'y', {fixed('f_.y')}))"
+def fixed_path(path: str, scale: str = f"{FIXED_POINT}D") -> str:
+    return f"transform({path}, f_ -> named_struct('x', {fixed('f_.x', scale)}, 'y', {fixed('f_.y', scale)}))"
+
+
+def scale_of(geom: str) -> str:
+    """Steps in a coordinate unit for exact tests: 1e-7 degree, or a millimetre in metric zones.
+
+    Coarser for an extent whose products of differences would not fit a BIGINT.
+    """
+    unit = f"CASE WHEN coalesce({geom}.srid, {WGS84}) = {WGS84} THEN {FIXED_POINT}D ELSE {METRIC_POINT}D END"
+    ranges = ", ".join(f"array_max(transform(vs_, v_ -> v_.{a})) - array_min(transform(vs_, v_ -> v_.{a}))" for a in "xy")
+    extent = let("vs_", vertices(geom), f"greatest({ranges})")
+    return let("ext_", extent, f"CASE WHEN ext_ * {unit} > {EXACT_EXTENT}D THEN {EXACT_EXTENT}D / ext_ ELSE {unit} END")
+
+
+def path_bounds(path: str) -> str:
+    """Bounding box of a path in fixed point, as struct<x0, y0, x1, y1>."""
+    sides = ", ".join(
+        f"'{a}{i}', {fixed(f'array_{pick}(transform({path}, b_ -> b_.{a}))')}"
+        for i, pick in ((0, "min"), (1, "max"))
+        for a in "xy"
+    )
+    return f"named_struct({sides})"
 
 
 def fixed_edges(geom: str) -> str:
@@ -296,19 +317,20 @@ def on_edge(e: str, px: str, py: str) -> str:
 # --- validity and structural repair ------------------------------------------
 
 
-def _ring_is_sound(ring: str) -> str:
+def _ring_is_sound(ring: str, scale: str) -> str:
     """Closed, at least four vertices, and not all of them on one line."""
     bent = turn(("o_.x", "o_.y"), ("s_.x1", "s_.y1"), ("s_.x2", "s_.y2"))
-    spread = let("w_", fixed_path("u_"), let("o_", "get(w_, 0)", f"exists({segments('w_')}, s_ -> ({bent}) <> 0)"))
+    spread = let("w_", fixed_path("u_", scale), let("o_", "get(w_, 0)", f"exists({segments('w_')}, s_ -> ({bent}) <> 0)"))
     test = f"CASE WHEN size(u_) < 4 OR get(u_, 0) <> element_at(u_, -1) THEN false ELSE {spread} END"
     return f"coalesce({let('u_', ring, test)}, false)"
 
 
 def structure_ok(geom: str) -> str:
     """Rings closed, at least four vertices, not flat; lines not degenerate."""
+    sound = let("sc_", scale_of(geom), f"forall({rings(geom)}, ring_ -> {_ring_is_sound('ring_', 'sc_')})")
     return (
         f"CASE WHEN {geom}.gtype IN ('Point', 'MultiPoint') THEN true "
-        f"WHEN {is_area(geom)} THEN forall({rings(geom)}, ring_ -> {_ring_is_sound('ring_')}) "
+        f"WHEN {is_area(geom)} THEN {sound} "
         f"ELSE forall({rings(geom)}, path_ -> size(array_distinct(path_)) >= 2) END"
     )
 
@@ -319,7 +341,7 @@ def self_crossing(geom: str) -> str:
     A sweep over edges ordered by their western end keeps only the edges that
     still overlap in x, so a long outline costs far less than all its pairs.
     """
-    real = f"filter({segments(fixed_path(closed('ring_')))}, z_ -> z_.x1 <> z_.x2 OR z_.y1 <> z_.y2)"
+    real = f"filter({segments(fixed_path(closed('ring_'), 'sc_'))}, z_ -> z_.x1 <> z_.x2 OR z_.y1 <> z_.y2)"
     listed = (
         "transform(es_, (e_, i_) -> named_struct('west', least(e_.x1, e_.x2), 'east', greatest(e_.x1, e_.x2), "
         "'ring', k_, 'i', i_, 'n', size(es_), 'x1', e_.x1, 'y1', e_.y1, 'x2', e_.x2, 'y2', e_.y2))"
@@ -351,7 +373,7 @@ def self_crossing(geom: str) -> str:
         f"sort_array({edges})",
         f"aggregate(all_, named_struct('active', slice(all_, 1, 0), 'hit', false), (t_, b_) -> {step}, t_ -> t_.hit)",
     )
-    return f"CASE WHEN {is_area(geom)} THEN {swept} ELSE false END"
+    return f"CASE WHEN {is_area(geom)} THEN {let('sc_', scale_of(geom), swept)} ELSE false END"
 
 
 def structural_repair(geom: str) -> str:
@@ -366,10 +388,10 @@ def structural_repair(geom: str) -> str:
     part = let(
         "rs_",
         f"transform(part_, ring_ -> {deduplicated(closed('ring_'))})",
-        f"CASE WHEN {_ring_is_sound('get(rs_, 0)')} THEN filter(rs_, ring_ -> {_ring_is_sound('ring_')}) "
+        f"CASE WHEN {_ring_is_sound('get(rs_, 0)', 'sc_')} THEN filter(rs_, ring_ -> {_ring_is_sound('ring_', 'sc_')}) "
         "ELSE slice(rs_, 1, 0) END",
     )
-    areas = f"transform({geom}.parts, part_ -> {part})"
+    areas = let("sc_", scale_of(geom), f"transform({geom}.parts, part_ -> {part})")
     paths = (
         f"transform({geom}.parts, part_ -> filter(transform(part_, path_ -> {deduplicated('path_')}), "
         "path_ -> size(array_distinct(path_)) >= 2))"

@@ -6,11 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from areaweave.functions import geometry as g
 from areaweave.functions.projection import to_utm
 from areaweave.operators.numbering import number_rows
-from areaweave.operators.scale import broadcast_checked, compute_once
+from areaweave.operators.scale import broadcast_checked, compute_once, through_table
 from areaweave.settings import FALLBACK_SRID, POINT_LAYERS
 
 LAYER_COLUMNS = ["lga_id", "layer", "element_type", "osmid", "name", "geom"]
@@ -18,10 +19,15 @@ LAYER_COLUMNS = ["lga_id", "layer", "element_type", "osmid", "name", "geom"]
 
 @dataclass(frozen=True)
 class Cleaned:
-    """``layers`` in the fixed schema; ``quarantined`` rows whose edges cross."""
+    """``layers`` in the fixed schema, and ``quarantined``: rows left out, with a reason.
+
+    Reasons: self_crossing (edges cross and are not guessed at) and emptied (repair left
+    nothing).  ``audit`` counts rows of each area and layer by what became of them.
+    """
 
     layers: DataFrame
     quarantined: DataFrame
+    audit: DataFrame
 
 
 def drop_unusable(layers: DataFrame) -> DataFrame:
@@ -49,21 +55,22 @@ def repair(layers: DataFrame) -> DataFrame:
     return compute_once(mended, repair_status=status).drop("_ok")
 
 
-def standardise_ids(layers: DataFrame, legacy_id: bool = False) -> DataFrame:
+#: Columns of this library whose names contain "id" without being one.
+_NOT_IDS = {"lga_id", "target_srid"}
+
+
+def standardise_ids(layers: DataFrame) -> DataFrame:
     """Makes sure there is an ``osmid``.
 
-    An ``osmid`` column stays; else ``id`` is taken; else rows are numbered from 0
-    within area and layer, in the order of their geometry and remaining columns.
-    ``legacy_id`` takes the first column whose name contains "id" instead.
+    An ``osmid`` column stays; else the first column is taken whose name contains "id";
+    else rows are numbered from 0 within area and layer, in the order of their geometry
+    and remaining columns.
     """
     if "osmid" in layers.columns:
         return layers
     keys = [c for c in ("lga_id", "layer") if c in layers.columns]
     others = [c for c in layers.columns if c not in keys]
-    if legacy_id:
-        source = next((c for c in others if "id" in c.lower()), None)
-    else:
-        source = "id" if "id" in layers.columns else None
+    source = next((c for c in others if "id" in c.lower() and c not in _NOT_IDS), None)
     if source is not None:
         return layers.withColumn("osmid", F.col(source).cast("bigint"))
     order = ["geom"] + [c for c in others if c not in ("geom", "tags")]
@@ -86,7 +93,10 @@ def dedupe_geometry(layers: DataFrame, keys: tuple[str, ...] = ("lga_id", "layer
     the sort compare a number first; the geometry itself decides.
     """
     rest = [c for c in layers.columns if c not in (*keys, "geom", "element_type", "osmid")]
-    first = F.min(F.struct("element_type", "osmid", *rest)).alias("first")
+    # Maps have no order, so they follow their row without deciding about it.
+    maps = {f.name for f in layers.schema if isinstance(f.dataType, MapType)}
+    order = F.struct("element_type", "osmid", *[c for c in rest if c not in maps])
+    first = F.min_by(F.struct("element_type", "osmid", *rest), order).alias("first")
     kept = layers.groupBy(*keys, F.xxhash64("geom").alias("_hash"), "geom").agg(
         first, F.count(F.lit(1)).alias("copies")
     )
@@ -106,7 +116,21 @@ def collapse_facilities(layers: DataFrame) -> DataFrame:
     )
 
 
-def clean_layers(layers: DataFrame, boundaries: DataFrame | None = None, legacy_id: bool = False) -> Cleaned:
+def _outcomes(repaired: DataFrame, final: DataFrame) -> DataFrame:
+    """(lga_id, layer, outcome, n): every row that came in is counted under one outcome."""
+    keys = [c for c in ("lga_id", "layer") if c in repaired.columns]
+    count = F.count(F.lit(1)).alias("n")
+    status = repaired.groupBy(*keys, F.col("repair_status").alias("outcome")).agg(count)
+    kept = final.groupBy(*keys).agg(count).withColumn("outcome", F.lit("kept"))
+    sound = status.where("outcome IN ('valid', 'repaired')").groupBy(*keys).agg(F.sum("n").alias("_in"))
+    copies = sound.join(kept.drop("outcome"), keys, "left").select(
+        *keys, F.lit("duplicate").alias("outcome"), (F.col("_in") - F.coalesce("n", F.lit(0))).alias("n")
+    )
+    out = status.where("outcome NOT IN ('valid', 'repaired')").unionByName(kept).unionByName(copies)
+    return out.where("n > 0").select(*keys, "outcome", "n")
+
+
+def clean_layers(layers: DataFrame, boundaries: DataFrame | None = None) -> Cleaned:
     """Clean all layers of all areas.
 
     The zone comes from a ``target_srid`` column (extract_layers adds it), else
@@ -123,11 +147,17 @@ def clean_layers(layers: DataFrame, boundaries: DataFrame | None = None, legacy_
     if "element_type" not in layers.columns:
         layers = layers.withColumn("element_type", F.lit(None).cast("string"))
 
-    repaired = repair(drop_unusable(layers))
-    sound = repaired.where("repair_status IN ('valid', 'repaired')").drop("repair_status")
-    ready = standardise_names(standardise_ids(sound, legacy_id)).select(*LAYER_COLUMNS, "target_srid")
+    # Read three times: what goes on, what is left out, and the counts.
+    judged = through_table(repair(layers.where(g.usable("geom"))))
+    absent = F.when(F.col("geom").isNull(), "null_geometry").otherwise("empty_geometry")
+    unusable = layers.where(f"NOT {g.usable('geom')}").withColumn("repair_status", absent)
+    keys = [c for c in ("lga_id", "layer") if c in layers.columns]
+    sound = judged.where("repair_status IN ('valid', 'repaired')").drop("repair_status")
+    ready = standardise_names(standardise_ids(sound)).select(*LAYER_COLUMNS, "target_srid")
     unique = dedupe_geometry(ready).drop("copies")
     final = collapse_facilities(project(unique)).select(*LAYER_COLUMNS)
-    crossing = repaired.where("repair_status = 'quarantined'").withColumn("reason", F.lit("self_crossing"))
-    return Cleaned(final, crossing.drop("repair_status", "target_srid"))
-
+    every = judged.select(*keys, "repair_status").unionByName(unusable.select(*keys, "repair_status"))
+    left_out = judged.where("repair_status IN ('quarantined', 'emptied')").withColumn(
+        "reason", F.when(F.col("repair_status") == "emptied", "emptied").otherwise("self_crossing")
+    )
+    return Cleaned(final, left_out.drop("repair_status", "target_srid"), _outcomes(every, unique))

@@ -47,10 +47,16 @@ WGS84 = 4326
 FALLBACK_SRID = 32631
 TOKEN_PATTERN = r"pk\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+"
 
+# Phrase that marks a layer without a feature in the warnings.
+EMPTY_LAYER = "returned no features"
+
 # --- Tuning parameters -------------------------------------------------------
 
 # Longitude/latitude are compared as integers in 1e-7 degree.
 FIXED_POINT = 10_000_000
+# Steps in a metre for the same purpose, and the steps across which products stay exact.
+METRIC_POINT = 1_000
+EXACT_EXTENT = 3_000_000_000
 
 # Side of the finest grid cell of the spatial join, in degrees.
 CELL_DEGREES = 0.125
