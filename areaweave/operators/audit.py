@@ -97,6 +97,18 @@ def fold_warnings(boundaries: DataFrame, notes: DataFrame) -> DataFrame:
     )
 
 
+def left_out_notes(outcomes: DataFrame, rules: dict | None = None) -> DataFrame:
+    """One warning per area, layer and reason for features that cleaning left out."""
+    positions = {layer: i for i, layer in enumerate(DEFAULT_RULES if rules is None else rules)}
+    pairs = [F.lit(x) for item in positions.items() for x in item]
+    position = F.element_at(F.create_map(*pairs), F.col("layer")) if pairs else F.lit(None).cast("int")
+    lost = outcomes.where("outcome IN ('quarantined', 'emptied', 'null_geometry', 'empty_geometry')")
+    message = F.format_string("Layer '%s': %d features left out (%s).", "layer", "n", "outcome")
+    return lost.select(
+        "lga_id", position.alias("position"), "layer", F.lit(False).alias("failed"), message.alias("message")
+    )
+
+
 def environment() -> Column:
     """Versions that matter for reproducing a run, as a struct literal."""
     versions = []

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from areaweave.functions import geometry as g
 from areaweave.functions import text
 from areaweave.functions.projection import to_utm, to_wgs84, utm_srid
-from areaweave.operators.scale import compute_once
+from areaweave.operators.scale import compute_once, through_table
+from areaweave.sources.geojson import path_key
 from areaweave.settings import (
     COUNTRY_BBOX,
     FALLBACK_SRID,
@@ -111,9 +112,10 @@ def hard_checks(places: DataFrame) -> DataFrame:
     cases = " ".join(f"WHEN '{c}' THEN format_string({t})" for c, t in texts.items())
     shaped = compute_once(places, geom=to_wgs84("geom"))
     centred = compute_once(shaped, centroid=g.centroid("geom"))
-    zoned = compute_once(
-        centred, target_srid=f"coalesce({utm_srid('centroid.x', 'centroid.y')}, {FALLBACK_SRID})"
-    )
+    zone = utm_srid("centroid.x", "centroid.y")
+    if "extent" in places.columns:  # a file of several outlines: all of them choose the zone
+        zone = f"coalesce({g.let('at_', g.centroid('extent'), utm_srid('at_.x', 'at_.y'))}, {zone})"
+    zoned = compute_once(centred, target_srid=f"coalesce({zone}, {FALLBACK_SRID})")
     square_metres = g.let("flat_", to_utm("geom", "target_srid"), g.area("flat_"))
     measured = compute_once(zoned, area_km2=f"{square_metres} / 1000000D")
     return compute_once(compute_once(measured, reason_code=code), message=f"CASE reason_code {cases} END")
@@ -135,14 +137,16 @@ def resolve_boundaries(
     asked = normalise_requests(requests)
     found = look_up(asked, gazetteer)
     if manual is not None:
+        extent = F.col("extent") if "extent" in manual.columns else F.lit(None).cast(g.GEOMETRY)
         files = manual.select(
-            "manual_path", F.struct("display_name", "geom", "problem").alias("file")
+            path_key(F.col("manual_path")).alias("_path"), F.struct("display_name", "geom", extent.alias("extent"), "problem").alias("file")
         )
-        found = found.join(files, "manual_path", "left")
+        found = found.withColumn("_path", path_key(F.col("manual_path"))).join(files, "_path", "left")
     else:
         nothing = F.struct(
             F.lit(None).cast("string").alias("display_name"),
             F.lit(None).cast(g.GEOMETRY).alias("geom"),
+            F.lit(None).cast(g.GEOMETRY).alias("extent"),
             F.lit(None).cast("string").alias("problem"),
         )
         found = found.withColumn("file", F.when(F.lit(False), nothing))
@@ -153,6 +157,7 @@ def resolve_boundaries(
         "state_name",
         "ambiguous",
         F.when(by_file, F.col("file.geom")).otherwise(F.col("place.geom")).alias("geom"),
+        F.when(by_file, F.col("file.extent")).alias("extent"),
         F.when(by_file, F.col("file.display_name")).otherwise(F.col("place.display_name")).alias("display_name"),
         F.when(by_file, F.concat(F.lit("manual:"), "manual_path"))
         .otherwise(F.concat(F.lit("osm_geocode:"), text.lookup_key(F.col("lga_name"), F.col("state_name"))))
@@ -163,7 +168,9 @@ def resolve_boundaries(
         .when(F.col("place").isNull(), "no_match")
         .alias("lookup_code"),
     )
+    # Read for the accepted and for the rejected, so it passes through a table.
     judged = compute_once(hard_checks(placed), reason_code=F.coalesce("lookup_code", "reason_code"))
+    judged = through_table(judged)
     lookup_message = F.when(F.col("lookup_code") == "blank_name", F.lit("Enter the name of an area.")).when(
         F.col("lookup_code").isNotNull(),
         F.format_string(

@@ -15,7 +15,7 @@ from areaweave.operators.rules import (
     tag_reader,
 )
 from areaweave.operators.spatial import BOX_COLUMNS, spatial_join
-from areaweave.settings import DEFAULT_RULES
+from areaweave.settings import DEFAULT_RULES, EMPTY_LAYER
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ def layer_notes(counts: DataFrame, rules: dict | None = None) -> DataFrame:
     for layer, problem in problems.items():
         failed = F.lit(f"Layer '{layer}' failed to extract: {problem}")
         cases = F.when(F.col("layer") == layer, failed).otherwise(cases)
-    empty = F.concat(F.lit("Layer '"), "layer", F.lit("' returned no features within the boundary."))
+    empty = F.concat(F.lit("Layer '"), "layer", F.lit(f"' {EMPTY_LAYER} in this area."))
     noted = counts.withColumn("failed", cases.isNotNull()).withColumn(
         "message", F.coalesce(cases, F.when(F.col("n") == 0, empty))
     )

@@ -320,3 +320,71 @@ def relation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     listed = f"CASE WHEN r % 5 = 1 THEN slice({ways_}, 1, 2) ELSE {ways_} END"
     return base.select(F.inline(F.expr(listed))).withColumn("missing", F.lit(0).cast("bigint"))
+
+
+def ragged_way_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The references of ``way_nodes`` with gaps: some ways have none, some one to a node that is absent."""
+    gap = F.when((F.col("way_id") % 13 == 5) & (F.col("pos") == 1), -F.col("way_id")).otherwise(F.col("node_id"))
+    return way_nodes(spark, sf_dir).where("way_id % 11 <> 3").withColumn("node_id", gap)
+
+
+def nested_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An island in a lake in an island for each supplier, a stray hole, and a label.
+
+    The outermost shell has a blank role or none by turns.
+    """
+    members = F.expr(
+        "array(struct(0 AS pos, r * 10 AS way_id, CASE WHEN r % 2 = 0 THEN '' END AS role),"
+        " struct(1 AS pos, r * 10 + 1 AS way_id, 'inner' AS role),"
+        " struct(2 AS pos, r * 10 + 2 AS way_id, 'outer' AS role),"
+        " struct(3 AS pos, r * 10 + 3 AS way_id, 'inner' AS role),"
+        " struct(4 AS pos, r * 10 + 4 AS way_id, 'inner' AS role),"
+        " struct(5 AS pos, r * 10 + 5 AS way_id, 'label' AS role))"
+    )
+    base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("r"))
+    return base.select(F.col("r").alias("relation_id"), F.inline(members))
+
+
+def nested_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Member ways of ``nested_members``: squares of 40, 30, 20 and 10, and one outside all of them."""
+    base = (
+        table(spark, sf_dir, "supplier")
+        .select(F.col("s_suppkey").cast("bigint").alias("r"))
+        .withColumn("bx", F.expr("2500 + (r * 7919) % 12400"))
+        .withColumn("bz", F.expr("4000 + (r * 4729) % 9900"))
+    )
+    squares = [("0", "40"), ("5", "30"), ("10", "20"), ("15", "10"), ("60", "4")]
+    paths = ", ".join(
+        f"struct(r * 10 + {i} AS way_id, {_square(f'(bx + {at})', f'(bz + {at})', side)} AS path)"
+        for i, (at, side) in enumerate(squares)
+    )
+    return base.select(F.inline(F.expr(f"array({paths})"))).withColumn("missing", F.lit(0).cast("bigint"))
+
+
+def mixed_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The broken polygons of three areas, every second one twice, and some null geometries."""
+    once = broken_polygons(spark, sf_dir).select(
+        F.expr("concat('a', osmid % 3)").alias("lga_id"), F.lit("landuse").alias("layer"), "element_type", "osmid", "geom"
+    )
+    again = once.where("osmid % 2 = 0").withColumn("osmid", F.col("osmid") + 1_000_000)
+    none = once.where("osmid % 10 = 0").withColumn("geom", F.lit(None).cast(g.GEOMETRY))
+    return once.unionByName(again).unionByName(none)
+
+
+def metric_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square of 1 to 1.5 km for each supplier, in metres of two zones."""
+    base = (
+        table(spark, sf_dir, "supplier")
+        .select(F.col("s_suppkey").cast("bigint").alias("osmid"))
+        .withColumn("e", F.expr("400000 + (osmid * 7919) % 200000"))
+        .withColumn("n", F.expr("800000 + (osmid * 4729) % 200000"))
+        .withColumn("s", F.expr("1000 + osmid % 500"))
+        .withColumn("srid", F.expr("CAST(32631 + osmid % 2 AS INT)"))
+    )
+    pairs = (("e", "n"), ("e + s", "n"), ("e + s", "n + s"), ("e", "n + s"), ("e", "n"))
+    ring = f"array({', '.join(g.vertex(x, y) for x, y in pairs)})"
+    keyed = base.select(
+        "*", F.lit("a").alias("lga_id"), F.lit("landuse").alias("layer"), F.lit("way").alias("element_type"),
+        F.col("srid").alias("target_srid"),
+    )
+    return with_geom(keyed, g.polygon(f"array({ring})", "srid"), "lga_id", "layer", "element_type", "osmid", "target_srid")

@@ -7,17 +7,39 @@ and measures as plain aggregates over vertex and edge tables.
 from __future__ import annotations
 
 
-from areaweave.functions.projection import (
-    ALPHA,
-    BETA,
-    DELTA,
-    ECC,
-    FALSE_EASTING,
-    SCALE,
-    SOUTH_NORTHING,
-)
 from areaweave.settings import DEFAULT_RULES
 
+# --- Fixed values: WGS84 and UTM, written out apart from the engine's -----------
+
+ECC = 0.08181919084262149
+SCALE = 6364902.166165086
+FALSE_EASTING = 500000.0
+SOUTH_NORTHING = 10000000.0
+ALPHA = (
+    0.0008377318206244698,
+    7.608527773572307e-07,
+    1.1976455033294527e-09,
+    2.4291706072013587e-12,
+    5.711757677865804e-15,
+    1.4911177312583895e-17,
+)
+BETA = (
+    0.0008377321640579488,
+    5.905870152220203e-08,
+    1.673482665283997e-10,
+    2.1647980400627056e-13,
+    3.787978046168605e-16,
+    7.2487488906941545e-19,
+)
+DELTA = (
+    0.003356551469132832,
+    6.571873198628443e-06,
+    1.7646404113085808e-08,
+    5.3877537842559224e-11,
+    1.7640074726322128e-13,
+    6.056073876794177e-16,
+)
+
 ORACLES: dict[str, str] = {}
 
 # --- shared tables -----------------------------------------------------------
@@ -634,9 +656,9 @@ _BROKEN = {
 cte(
     "notes",
     "grid rawcnt acc",
-    "SELECT lga_id, position, 'Layer ''' || layer || ''' returned no features within the boundary.' AS message "
+    "SELECT lga_id, position, 'Layer ''' || layer || ''' returned no features in this area.' AS message "
     "FROM grid LEFT JOIN rawcnt USING (lga_id, layer) WHERE n IS NULL UNION ALL "
-    "SELECT lga_id, 6, 'Layer ''markets'' returned no features within the boundary.' FROM acc UNION ALL "
+    "SELECT lga_id, 6, 'Layer ''markets'' returned no features in this area.' FROM acc UNION ALL "
     f"SELECT lga_id, 7, 'Layer ''broken'' failed to extract: {_BROKEN['broken']}' FROM acc UNION ALL "
     f"SELECT lga_id, 8, 'Layer ''worse'' failed to extract: {_BROKEN['worse']}' FROM acc",
 )
@@ -751,3 +773,42 @@ ORACLES["relation_assembly"] = (
     "WHEN s_suppkey % 5 = 2 THEN 'member_not_closed' END AS reason FROM supplier)"
 )
 
+ORACLES["way_rejects"] = sql(
+    "wn",
+    "SELECT way_id, CASE WHEN way_id % 11 = 3 THEN 'no_nodes' ELSE 'node_missing' END AS reason "
+    "FROM (SELECT DISTINCT way_id FROM wn) WHERE way_id % 11 = 3 OR way_id % 13 = 5",
+)
+ORACLES["relation_rejects"] = (
+    "SELECT s_suppkey::BIGINT AS relation_id, s_suppkey::BIGINT * 10 + k AS way_id, "
+    "CASE k WHEN 4 THEN 'hole_without_shell' ELSE 'unknown_role' END AS reason FROM supplier, (VALUES (4), (5)) AS t(k)"
+)
+ORACLES["relation_nesting"] = (
+    "SELECT s_suppkey::BIGINT AS relation_id, part, CASE part WHEN 0 THEN '40,30' ELSE '20,10' END AS widths, "
+    "2500 + (s_suppkey::BIGINT * 7919) % 12400 + 10 * part AS west FROM supplier, (VALUES (0), (1)) AS t(part)"
+)
+_TWICE = (
+    "SELECT 'a' || osmid % 3 AS lga_id, osmid + copy * 1000000 AS osmid, osmid % 6 AS defect, copy "
+    "FROM (SELECT s_suppkey::BIGINT AS osmid FROM supplier), (VALUES (0), (1)) AS t(copy) WHERE copy = 0 OR osmid % 2 = 0"
+)
+ORACLES["cleaning_audit"] = (
+    "SELECT lga_id, 'landuse' AS layer, outcome, count(*) AS n FROM (SELECT lga_id, "
+    "CASE WHEN defect = 3 THEN 'emptied' WHEN defect = 4 THEN 'quarantined' WHEN copy = 1 THEN 'duplicate' ELSE 'kept' END AS outcome "
+    f"FROM ({_TWICE}) UNION ALL SELECT 'a' || s_suppkey % 3, 'null_geometry' FROM supplier WHERE s_suppkey % 10 = 0) GROUP BY ALL"
+)
+ORACLES["left_out_features"] = (
+    "SELECT lga_id, osmid, CASE defect WHEN 3 THEN 'emptied' ELSE 'self_crossing' END AS reason "
+    f"FROM ({_TWICE}) WHERE defect IN (3, 4)"
+)
+ORACLES["clean_projected_layers"] = (
+    "SELECT 'landuse' AS layer, osmid, srid, 'Polygon' AS gtype, i, x * 1000 AS x, y * 1000 AS y FROM (SELECT osmid, srid, i, "
+    "e + CASE WHEN i IN (1, 2) THEN s ELSE 0 END AS x, n + CASE WHEN i IN (2, 3) THEN s ELSE 0 END AS y FROM ("
+    "SELECT s_suppkey::BIGINT AS osmid, (32631 + s_suppkey % 2)::INT AS srid, 400000 + (s_suppkey::BIGINT * 7919) % 200000 AS e, "
+    "800000 + (s_suppkey::BIGINT * 4729) % 200000 AS n, 1000 + s_suppkey % 500 AS s FROM supplier), "
+    "(VALUES (0), (1), (2), (3), (4)) AS t(i))"
+)
+ORACLES["export_round_trip"] = sql(
+    "cnt", "SELECT lga_id, layer, sum(n)::BIGINT AS n FROM cnt WHERE layer <> 'roads' GROUP BY ALL"
+)
+ORACLES["runs_round_trip"] = sql(
+    "acc", "SELECT lga_id, '2024-01-01T00:00:00+00:00' AS timestamp_utc, 1::BIGINT AS n FROM acc"
+)

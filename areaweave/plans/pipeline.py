@@ -8,11 +8,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 
 from areaweave.operators import audit
-from areaweave.operators.boundary import resolve_boundaries
+from areaweave.operators.boundary import normalise_requests, resolve_boundaries
 from areaweave.operators.clean import clean_layers
 from areaweave.operators.layers import check_strict, extract_features, layer_counts, layer_notes
 from areaweave.operators.scale import through_table
 from areaweave.sinks import files
+from areaweave.sources.geojson import read_manual
 
 
 @dataclass(frozen=True)
@@ -26,16 +27,19 @@ class Run:
     warnings: DataFrame
     manifest: DataFrame
     runs: DataFrame
+    outcomes: DataFrame
 
 
 def export_layers(
     layers: DataFrame, boundaries: DataFrame, path: str, rules: dict | None = None, write: bool = True
 ) -> DataFrame:
     """Write all layers both ways and return the manifest."""
+    manifest = audit.export_manifest(audit.category_counts(layers), boundaries, path, rules)
     if write:
         files.write_geojson(layers, path)
         files.write_by_category(layers, path)
-    return audit.export_manifest(audit.category_counts(layers), boundaries, path, rules)
+        files.write_manifest(manifest, path)
+    return manifest
 
 
 def extract_lgas(
@@ -56,21 +60,28 @@ def extract_lgas(
     tables: the boundaries, the raw features and the cleaned layers.  ``strict``
     raises on a bad rule or an unresolved area before anything is exported.
     Areas with a record in ``finished`` (see read_runs) under the same rules are
-    left out.
+    left out.  Boundary files that ``requests`` names are read unless ``manual`` has them.
+    Rejected requests and features left out are written, counted in ``outcomes``, and
+    noted in the warnings of their area.
     """
     if strict:
         check_strict(rules)
     if finished is not None:
         requests = audit.pending_requests(requests, finished, rules)
+    if manual is None and "manual_path" in requests.columns:
+        named = normalise_requests(requests).where("manual_path IS NOT NULL").select("manual_path").distinct()
+        manual = read_manual(requests.sparkSession, [row["manual_path"] for row in named.toLocalIterator()])
     resolution = resolve_boundaries(requests, gazetteer, manual, strict=strict)
     boundaries = through_table(resolution.accepted)
     raw = through_table(extract_features(elements, boundaries, rules))
     notes = layer_notes(layer_counts(raw, boundaries, rules), rules)
-    warnings = audit.fold_warnings(boundaries, notes)
     cleaned = clean_layers(raw)
+    outcomes = through_table(cleaned.audit)
+    warnings = audit.fold_warnings(boundaries, notes.unionByName(audit.left_out_notes(outcomes, rules)))
     layers = through_table(cleaned.layers)
     manifest = export_layers(layers, boundaries, path, rules, write)
     runs = audit.run_records(boundaries, manifest, warnings, rules, timestamp)
     if write:
+        files.write_left_out(resolution.rejected, cleaned.quarantined, path)
         files.write_runs(runs, path)
-    return Run(boundaries, resolution.rejected, layers, cleaned.quarantined, warnings, manifest, runs)
+    return Run(boundaries, resolution.rejected, layers, cleaned.quarantined, warnings, manifest, runs, outcomes)

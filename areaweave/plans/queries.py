@@ -6,6 +6,7 @@ compared bit by bit with another engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -17,12 +18,14 @@ from areaweave.functions import text
 from areaweave.functions.projection import epsg_label, to_utm, to_wgs84, utm_srid
 from areaweave.operators import audit, boundary, clean, layers, report
 from areaweave.operators.rules import assign_layers, layer_array, rules_frame, tag_matches, tag_reader
-from areaweave.operators.scale import compute_once, through_table
+from areaweave.operators.scale import compute_once, shared_folder, through_table
 from areaweave.operators.spatial import spatial_join
 from areaweave.plans import fixtures as fx
-from areaweave.plans.pipeline import extract_lgas
+from areaweave.plans.pipeline import export_layers, extract_lgas
 from areaweave.settings import DEFAULT_RULES
+from areaweave.sinks import files
 from areaweave.sources import elements as el
+from areaweave.sources.geojson import read_layers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -379,6 +382,23 @@ def quarantined_features(spark, d):
     return cleaned(spark, d).quarantined.select("lga_id", "layer", "element_type", "osmid", "reason")
 
 
+@query
+def cleaning_audit(spark, d):
+    return clean.clean_layers(fx.mixed_outlines(spark, d)).audit
+
+
+@query
+def left_out_features(spark, d):
+    left = clean.clean_layers(fx.mixed_outlines(spark, d)).quarantined
+    return left.select("lga_id", "osmid", "reason")
+
+
+@query
+def clean_projected_layers(spark, d):
+    done = clean.clean_layers(fx.metric_outlines(spark, d)).layers
+    return vertex_rows(done.select("*", F.col("geom.srid").alias("srid")), 1000, "layer", "osmid", "srid")
+
+
 # --- export and audit --------------------------------------------------------
 
 
@@ -406,6 +426,34 @@ def export_manifest(spark, d):
     )
 
 
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/areaweave-export-{uuid.uuid4().hex}"
+
+
+@query
+def export_round_trip(spark, d):
+    """Layers written, written again without the roads, and read back: the roads are gone."""
+    found, path = accepted(spark, d), _folder(spark)
+    kept = through_table(cleaned(spark, d, found).layers)
+    export_layers(kept, found, path)
+    export_layers(kept.where("layer <> 'roads'"), found, path)
+    back = read_layers(spark, f"{path}/geojson", files.read_manifest(spark, path))
+    return back.groupBy("lga_id", "layer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def runs_round_trip(spark, d):
+    """Records written twice: one an area, the later one."""
+    found, path = accepted(spark, d), _folder(spark)
+    manifest = audit.export_manifest(_counts(spark, d, found), found, "out")
+    none = found.select("lga_id", F.array().cast("array<string>").alias("warnings"))
+    for year in (2023, 2024):
+        moment = datetime(year, 1, 1, tzinfo=timezone.utc)
+        files.write_runs(audit.run_records(found, manifest, none, timestamp=moment), path)
+    runs = files.read_runs(spark, path)
+    return runs.groupBy("lga_id", "timestamp_utc").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _notes(spark, d):
     found = accepted(spark, d)
     raw = layers.extract_features(fx.features(spark, d), found, BAD_RULES)
@@ -538,7 +586,7 @@ def way_assembly(spark, d):
 
 @query
 def way_closed_to_polygon(spark, d):
-    built = el.assemble_ways(fx.ways(spark, d), fx.way_nodes(spark, d), fx.nodes(spark, d))
+    built, _ = el.assemble_ways(fx.ways(spark, d), fx.way_nodes(spark, d), fx.nodes(spark, d))
     return built.select("osmid", "geom.gtype", F.size(F.expr(g.vertices("geom"))).alias("n_vertices"))
 
 
@@ -554,4 +602,33 @@ def relation_assembly(spark, d):
         F.size(F.expr(g.rings("geom"))).alias("n_rings"),
         F.expr(whole(g.area("geom"), 1_000_000)).alias("area_millideg2"),
     )
-    return good.unionByName(rejects, allowMissingColumns=True)
+    return good.unionByName(rejects.drop("way_id"), allowMissingColumns=True)
+
+
+@query
+def way_rejects(spark, d):
+    ways, nodes = fx.ways(spark, d), fx.nodes(spark, d)
+    return el.assemble_ways(ways, fx.ragged_way_nodes(spark, d), nodes)[1]
+
+
+def _nested(spark, d):
+    return el.assemble_relations(fx.relations(spark, d), fx.nested_members(spark, d), fx.nested_paths(spark, d))
+
+
+@query
+def relation_rejects(spark, d):
+    return _nested(spark, d)[1]
+
+
+@query
+def relation_nesting(spark, d):
+    """Each hole belongs to the smallest shell around it."""
+    built = _nested(spark, d)[0].select("osmid", F.posexplode("geom.parts").alias("part", "rings"))
+    west = F.transform("rings", lambda r: F.array_min(F.transform(r, lambda v: v["x"])))
+    width = F.transform("rings", lambda r: F.array_max(F.transform(r, lambda v: v["x"])) - F.array_min(F.transform(r, lambda v: v["x"])))
+    return built.select(
+        F.col("osmid").alias("relation_id"),
+        "part",
+        F.array_join(F.transform(width, lambda w: F.round(w * 1000).cast("int").cast("string")), ",").alias("widths"),
+        F.round(F.get(west, F.lit(0)) * 1000).cast("bigint").alias("west"),
+    )

@@ -48,10 +48,34 @@ def write_by_category(layers: DataFrame, path: str) -> None:
     _write(split, ["lga_id", "layer", "geom_category"], f"{path}/layers", "parquet")
 
 
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """The manifest of the areas at hand, in place of their earlier one."""
+    _write(manifest, ["lga_id"], f"{path}/manifest", "json")
+
+
+_MANIFEST_SCHEMA = (
+    "lga_id STRING, position INT, layer STRING, geom_category STRING, name STRING, geojson_path STRING, "
+    "path STRING, n BIGINT, status STRING"
+)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """What the last run of each area exported and skipped."""
+    return spark.read.schema(_MANIFEST_SCHEMA).json(f"{path}/manifest")
+
+
+def write_left_out(rejected: DataFrame, quarantined: DataFrame, path: str) -> None:
+    """Requests without a trusted boundary, and features that cleaning left out, with reasons."""
+    rejected.write.mode("overwrite").json(f"{path}/rejected")
+    shaped = quarantined.withColumn("geometry", F.expr(encode("geom"))).drop("geom")
+    _write(shaped, ["lga_id"], f"{path}/quarantined", "json")
+
+
 def write_runs(runs: DataFrame, path: str) -> None:
-    """Append one JSON record per area."""
-    runs.write.mode("append").json(f"{path}/runs")
+    """One JSON record per area, in place of its earlier one."""
+    _write(runs, ["lga_id"], f"{path}/runs", "json")
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The latest record of each area."""
     return spark.read.schema(_RUN_SCHEMA).json(f"{path}/runs")

@@ -93,63 +93,102 @@ def way_paths(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
 _CLOSED_PATH = "(size(path) >= 4 AND get(path, 0) = element_at(path, -1))"
 
 
-def assemble_ways(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Ways (way_id, tags) as line or polygon elements.
+def assemble_ways(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ways (way_id, tags) as line or polygon elements, and rejects (way_id, reason).
 
-    Closed and area-tagged ways are polygons, all others lines.
+    Closed and area-tagged ways are polygons, all others lines.  A way without a
+    reference, or with a node that the extract lacks, would be another shape than
+    it is drawn; it is rejected as ``no_nodes`` or ``node_missing``.
     """
-    built = ways.join(way_paths(way_nodes, nodes), "way_id").withColumn("is_area", is_area_way(F.col("tags")))
+    built = ways.join(way_paths(way_nodes, nodes), "way_id", "left").withColumn("is_area", is_area_way(F.col("tags")))
+    judged = built.withColumn(
+        "reason", F.when(F.col("missing").isNull(), "no_nodes").when(F.col("missing") > 0, "node_missing")
+    )
     shape = f"CASE WHEN is_area AND {_CLOSED_PATH} THEN {g.polygon('array(path)')} ELSE {g.line('path')} END"
-    return compute_once(built, geom=shape).select(
+    elements = compute_once(judged.where(F.col("reason").isNull()), geom=shape).select(
         F.lit("way").alias("element_type"), F.col("way_id").alias("osmid"), "tags", "geom"
     )
+    return elements, judged.where(F.col("reason").isNotNull()).select("way_id", "reason")
+
+
+def _owned_holes(shells: DataFrame, holes: DataFrame) -> DataFrame:
+    """Holes (relation_id, pos, hole) with ``shell``, the smallest one that contains them, or null.
+
+    Candidates come from an equi-join on the relation with the boxes compared in its
+    condition, so neither a relation's rings nor its pairs of rings meet in one row; the exact
+    test is whether the hole's first vertex that is not on the shell lies inside it.
+    """
+    edges = compute_once(shells, shell_edges=g.segments(g.fixed_path("path")), box=g.path_bounds("path"))
+    sized = compute_once(edges, size=g.area(g.polygon("array(path)"))).select(
+        "relation_id", F.col("pos").alias("shell"), "shell_edges", F.col("box").alias("outer_box"), "size"
+    )
+    placed = compute_once(holes, box=g.path_bounds("path"), spots=g.fixed_path("path"))
+    inside = (
+        (F.col("outer_box.x0") <= F.col("box.x0"))
+        & (F.col("outer_box.y0") <= F.col("box.y0"))
+        & (F.col("outer_box.x1") >= F.col("box.x1"))
+        & (F.col("outer_box.y1") >= F.col("box.y1"))
+    )
+    near = placed.join(sized, (placed["relation_id"] == sized["relation_id"]) & inside).select(
+        placed["relation_id"], "pos", "shell", "size", "spots", "shell_edges"
+    )
+    off = f"get(filter(spots, v_ -> NOT exists(shell_edges, e_ -> {g.on_edge('e_', 'v_.x', 'v_.y')})), 0)"
+    crossed = f"size(filter(shell_edges, e_ -> {g.edge_is_crossed('e_', 'o_.x', 'o_.y')})) % 2 = 1"
+    held = near.where(F.expr(g.let("o_", off, f"o_ IS NULL OR {crossed}")))
+    owner = held.groupBy("relation_id", "pos").agg(F.min_by("shell", F.struct("size", "shell")).alias("shell"))
+    return holes.join(owner, ["relation_id", "pos"], "left")
 
 
 def assemble_relations(relations: DataFrame, members: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Multipolygon relations as (elements, rejects).
 
     ``relations`` is (relation_id, tags), ``members`` is (relation_id, pos, way_id,
-    role) and ``paths`` comes from ``way_paths``.  Every outer member is a shell,
-    and an inner member belongs to the first shell whose box holds it.  A relation
-    with a member that is missing or not closed is rejected with a reason.
+    role) and ``paths`` comes from ``way_paths``.  A member with a blank role or none
+    is an outer one; every outer member is a shell, and an inner member is a hole of the
+    smallest shell that contains it.
+
+    ``rejects`` has (relation_id, way_id, reason).  Without way_id the whole relation is
+    rejected: no_members, member_missing, member_not_closed, no_outer.  With it the
+    relation stands and that member is left out: unknown_role, hole_without_shell.
     """
-    placed = members.join(paths, "way_id", "left").withColumn("role", F.coalesce("role", F.lit("outer")))
+    role = F.coalesce(F.nullif(F.trim(F.lower("role")), F.lit("")), F.lit("outer"))
+    placed = members.join(paths.select("way_id", "path", "missing"), "way_id", "left").withColumn("role", role)
+    known = F.col("role").isin("outer", "inner")
+    whole = F.col("path").isNotNull() & (F.coalesce("missing", F.lit(0)) == 0)
     ring = placed.groupBy("relation_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "role", "path"))).alias("rings"),
-        F.bool_and(F.coalesce(F.expr(_CLOSED_PATH), F.lit(False))).alias("all_closed"),
-        F.bool_and(F.col("path").isNotNull()).alias("all_found"),
+        F.bool_and(~known | whole).alias("all_found"),
+        F.bool_and(~known | F.coalesce(F.expr(_CLOSED_PATH), F.lit(False))).alias("all_closed"),
         F.bool_or(F.col("role") == "outer").alias("any_outer"),
     )
     reason = (
-        F.when(F.col("rings").isNull(), "no_members")
+        F.when(F.col("all_found").isNull(), "no_members")
         .when(~F.col("all_found"), "member_missing")
         .when(~F.col("all_closed"), "member_not_closed")
         .when(~F.col("any_outer"), "no_outer")
     )
     judged = relations.join(ring, "relation_id", "left").withColumn("reason", reason)
-
-    def box(path: str) -> str:
-        sides = ", ".join(
-            f"'{a}{end}', array_{end}(transform({path}, v_ -> v_.{a}))" for a in "xy" for end in ("min", "max")
-        )
-        return f"named_struct({sides})"
-
-    def boxed(role: str) -> str:
-        return (
-            f"transform(filter(rings, r_ -> r_.role = '{role}'), "
-            f"r_ -> named_struct('path', r_.path, 'box', {box('r_.path')}))"
-        )
-
-    split = compute_once(judged.where(F.col("reason").isNull()), outers=boxed("outer"), inners=boxed("inner"))
-    holds = (
-        "o_.box.xmin <= h_.box.xmin AND o_.box.xmax >= h_.box.xmax "
-        "AND o_.box.ymin <= h_.box.ymin AND o_.box.ymax >= h_.box.ymax"
+    sound = judged.where(F.col("reason").isNull()).select("relation_id", "tags")
+    rings = placed.join(sound.select("relation_id"), "relation_id", "left_semi")
+    shells = rings.where("role = 'outer'").select("relation_id", "pos", "path")
+    holes = _owned_holes(shells, rings.where("role = 'inner'").select("relation_id", "pos", "way_id", "path"))
+
+    # A part is its shell (pos null, so first) and its holes in order.
+    of_part = shells.select("relation_id", F.col("pos").alias("shell"), F.lit(None).cast("int").alias("pos"), "path")
+    of_part = of_part.unionByName(
+        holes.where("shell IS NOT NULL").select("relation_id", "shell", F.col("pos").cast("int").alias("pos"), "path")
     )
-    home = f"get(filter(transform(outers, (o_, n_) -> CASE WHEN {holds} THEN n_ END), n_ -> n_ IS NOT NULL), 0)"
-    holes = f"transform(filter(inners, h_ -> {home} = k_), h_ -> h_.path)"
-    parts = f"transform(outers, (shell_, k_) -> concat(array(shell_.path), {holes}))"
-    elements = compute_once(split, geom=g.geometry("'MultiPolygon'", parts)).select(
+    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("pos", F.lit(-1)).alias("pos"), "path")))
+    parts = of_part.groupBy("relation_id", "shell").agg(F.transform(ordered, lambda r: r["path"]).alias("part"))
+    listed = F.array_sort(F.collect_list(F.struct("shell", "part")))
+    shapes = parts.groupBy("relation_id").agg(F.transform(listed, lambda p: p["part"]).alias("parts"))
+    elements = compute_once(sound.join(shapes, "relation_id"), geom=g.geometry("'MultiPolygon'", "parts")).select(
         F.lit("relation").alias("element_type"), F.col("relation_id").alias("osmid"), "tags", "geom"
     )
-    rejects = judged.where(F.col("reason").isNotNull()).select("relation_id", "reason")
-    return elements, rejects
+    whole_rejects = judged.where(F.col("reason").isNotNull()).select(
+        "relation_id", F.lit(None).cast("bigint").alias("way_id"), "reason"
+    )
+    odd = placed.where(~known).select("relation_id", F.col("way_id").cast("bigint"), F.lit("unknown_role").alias("reason"))
+    stray = holes.where("shell IS NULL").select(
+        "relation_id", F.col("way_id").cast("bigint"), F.lit("hole_without_shell").alias("reason")
+    )
+    return elements, whole_rejects.unionByName(odd).unionByName(stray)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,22 +87,29 @@ def srid_of(name: Column) -> Column:
     return F.coalesce(code.cast("int"), F.lit(WGS84))
 
 
-def plain_path(uri: Column) -> Column:
-    """File URIs without their scheme, so they compare with paths as given."""
-    return F.regexp_replace(uri, "^file:/+", "/")
+def path_key(path: Column) -> Column:
+    """One spelling for a path as given and as Spark reports it: decoded, absolute, without "file:".
+
+    Paths with another scheme keep it; relative ones are taken from the working directory.
+    """
+    decoded = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    plain = F.regexp_replace(F.coalesce(decoded, path), "^file:/+", "/")
+    relative = ~plain.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)")
+    return F.when(relative, F.concat(F.lit(f"{os.getcwd()}/"), F.regexp_replace(plain, r"^(\./)+", ""))).otherwise(plain)
 
 
 def read_boundary_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One row per boundary file: manual_path, display_name, geom (WGS84), problem.
+    """One row per boundary file: manual_path, display_name, geom and extent (WGS84), problem.
 
-    A file holds a FeatureCollection, a Feature or a bare geometry.  Only its
-    first feature is used; a file without features, or with null geometries only,
-    has a problem instead.
+    A file holds a FeatureCollection, a Feature or a bare geometry.  Its first feature is
+    the boundary; the outlines of all features together are the ``extent``, whose centroid
+    chooses the zone.  A file without features, or with null geometries only, has a
+    problem instead.
     """
     raw = (
         spark.read.schema(_FILE_SCHEMA)
         .json(paths if isinstance(paths, str) else list(paths), multiLine=True)
-        .select("*", plain_path(F.col("_metadata.file_path")).alias("manual_path"))
+        .select("*", path_key(F.col("_metadata.file_path")).alias("manual_path"))
     )
     bare = F.struct(F.col("type").alias("type"), F.col("coordinates").alias("coordinates"))
     single = F.struct(
@@ -108,27 +118,47 @@ def read_boundary_files(spark: SparkSession, paths: str | Sequence[str]) -> Data
         F.coalesce(F.col("geometry"), F.when(F.col("coordinates").isNotNull(), bare)).alias("geometry"),
     )
     features = F.coalesce(F.col("features"), F.array(single))
-    first = F.get(features, F.lit(0))
+    shapes = F.transform(features, lambda f: f["geometry"])
+    some = F.coalesce(F.exists(shapes, lambda s: s["type"].isNotNull()), F.lit(False))
     picked = raw.select(
         "manual_path",
-        F.element_at(first["properties"], "display_name").alias("display_name"),
-        first["geometry"].alias("shape"),
+        F.element_at(F.get(features, F.lit(0))["properties"], "display_name").alias("display_name"),
+        shapes.alias("shapes"),
         srid_of(F.col("crs.properties.name")).alias("srid"),
-        F.when(
-            ~F.coalesce(F.exists(features, lambda f: f["geometry"]["type"].isNotNull()), F.lit(False)),
-            F.lit("no_geometry"),
-        ).alias("problem"),
+        F.when(~some, F.lit("no_geometry")).alias("problem"),
     )
-    decoded = compute_once(picked, shape=decode("shape", "srid"))
-    return compute_once(decoded, geom=to_wgs84("shape")).select("manual_path", "display_name", "geom", "problem")
-
-
-def read_layers(spark: SparkSession, path: str) -> DataFrame:
-    """Exported layers back as rows; lga_id and layer come from the folder names."""
+    decoded = compute_once(picked, shapes=f"transform(shapes, s_ -> {decode('s_', 'srid')})")
+    parts = f"flatten(transform(filter(shapes, s_ -> {g.is_area('s_')}), s_ -> s_.parts))"
+    joined = compute_once(decoded, shape="get(shapes, 0)", every=g.geometry("'MultiPolygon'", parts, "srid"))
+    placed = compute_once(joined, geom=to_wgs84("shape"), extent=to_wgs84("every"))
+    return placed.select("manual_path", "display_name", "geom", "extent", "problem")
+
+
+def read_manual(spark: SparkSession, paths: Iterable[str]) -> DataFrame | None:
+    """``read_boundary_files`` of those paths that exist; None if there are none."""
+    found = []
+    for path in paths:
+        try:
+            found.append(read_boundary_files(spark, path))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
+def read_layers(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Exported layers back as rows; lga_id and layer come from the folder names.
+
+    With the ``manifest`` (see read_manifest) only layers that the last run of their area
+    exported: a folder left by an earlier run does not count.
+    """
     lines = spark.read.schema(
         "type STRING, properties struct<osmid:bigint,name:string,element_type:string,srid:int>, "
         f"geometry {_GEOMETRY_JSON}, lga_id STRING, layer STRING"
     ).json(path)
+    if manifest is not None:
+        exported = manifest.where("status = 'exported'").select("lga_id", "layer").distinct()
+        lines = lines.join(exported, ["lga_id", "layer"], "left_semi")
     return lines.select(
         "lga_id",
         "layer",

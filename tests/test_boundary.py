@@ -163,3 +163,23 @@ def test_manual_files(spark, gazetteer, tmp_path):
     assert [r["boundary_source"] for r in chosen] == [f"manual:{files['projected']}"]
     only = read_boundary_files(spark, files["bare"])
     assert one(only, "problem") is None
+
+
+def test_manual_paths_in_any_spelling(spark, gazetteer, tmp_path, monkeypatch):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    path = write(folder / "c+d.geojson", geojson_box(5.15, 7.2, 5.25, 7.3))
+    monkeypatch.chdir(folder)
+    manual = read_boundary_files(spark, path)
+    for given in (path, f"file://{path}", "c+d.geojson", "./c+d.geojson"):
+        found = resolve(spark, gazetteer, [("x", "West", given)], manual=manual)
+        assert [r["boundary_source"] for r in found.accepted.collect()] == [f"manual:{given}"], given
+
+
+def test_all_outlines_of_a_file_choose_the_zone(spark, gazetteer, tmp_path):
+    """The first outline lies in zone 31, the centroid of both in zone 32."""
+    shapes = [geojson_box(5.8, 7.2, 5.9, 7.3), geojson_box(7.0, 7.0, 8.0, 8.0)]
+    features = [{"type": "Feature", "properties": {}, "geometry": s} for s in shapes]
+    path = write(tmp_path / "two.geojson", {"type": "FeatureCollection", "features": features})
+    found = resolve(spark, gazetteer, [("x", "West", path)], manual=read_boundary_files(spark, path)).accepted.head()
+    assert found["target_srid"] == 32632 and found["area_m2"] < 200e6

@@ -79,7 +79,7 @@ def test_extraction_and_notes(elements, areas):
         ("west", "waterways", 5),
     ]
     notes = {(r["lga_id"], r["layer"]): (r["failed"], r["message"]) for r in result.warnings.collect()}
-    assert notes["west", "schools"] == (False, "Layer 'schools' returned no features within the boundary.")
+    assert notes["west", "schools"] == (False, "Layer 'schools' returned no features in this area.")
     assert notes["mid", "odd"][0] and "failed to extract" in notes["mid", "odd"][1]
     assert ("west", "roads") not in notes
     failures = layers.first_failure(result.warnings).collect()
@@ -135,7 +135,20 @@ def test_clean_repairs_dedupes_and_collapses(spark):
     assert set(got) == {("a", "schools", "relation", 1), ("a", "buildings", "way", 9), ("b", "schools", "way", 9)}
     assert got["a", "schools", "relation", 1]["geom"]["gtype"] == "Point"
     assert got["a", "buildings", "way", 9]["geom"]["gtype"] == "Polygon"
-    assert pairs(result.quarantined, "layer", "osmid", "reason") == [("landuse", 5, "self_crossing")]
+    assert pairs(result.quarantined, "layer", "osmid", "reason") == [
+        ("landuse", 5, "self_crossing"),
+        ("roads", 3, "emptied"),
+    ]
+    assert pairs(result.audit, "lga_id", "layer", "outcome", "n") == [
+        ("a", "buildings", "kept", 1),
+        ("a", "landuse", "quarantined", 1),
+        ("a", "roads", "emptied", 1),
+        ("a", "roads", "empty_geometry", 1),
+        ("a", "roads", "null_geometry", 1),
+        ("a", "schools", "duplicate", 2),
+        ("a", "schools", "kept", 1),
+        ("b", "schools", "kept", 1),
+    ]
 
 
 def test_dedupe_compares_the_whole_geometry(spark):
@@ -154,7 +167,26 @@ def test_missing_ids(spark):
     assert [r["geom"]["parts"][0][0][0]["x"] for r in numbered.orderBy("osmid").collect()] == sorted(i % 4 for i in range(9))
     assert {r["osmid"] for r in standardise_ids(df.withColumn("id", F.lit(7))).collect()} == {7}
     quirk = df.withColumn("bridge", F.lit(3)).withColumn("id", F.lit(7))
-    assert {r["osmid"] for r in standardise_ids(quirk, legacy_id=True).collect()} == {3}
+    assert {r["osmid"] for r in standardise_ids(quirk).collect()} == {3}
+
+
+def test_projected_outlines_are_cleaned(spark):
+    """Sizes whose products in 1e-7 of a unit would overflow, and an extent beyond the millimetre grid."""
+    rows = [
+        ("a", "landuse", "way", i, None, polygon(box(500_000.0, 800_000.0, 500_000.0 + side, 800_000.0 + side), 32631))
+        for i, side in enumerate((20.0, 1_000.0, 90_000.0, 9_000_000.0))
+    ]
+    done = clean_layers(frame(spark, rows, LAYERS))
+    assert {r["osmid"] for r in done.layers.collect()} == {0, 1, 2, 3} and done.quarantined.count() == 0
+    again = clean_layers(done.layers)
+    assert {r["osmid"] for r in again.layers.collect()} == {0, 1, 2, 3}
+
+
+def test_dedupe_takes_maps_along(spark):
+    rows = [("a", "roads", "way", i, None, line((5.2, 7.2), (5.3, 7.3))) for i in (4, 2, 9)]
+    tagged = frame(spark, rows, LAYERS).withColumn("tags", F.create_map(F.lit("id"), F.col("osmid").cast("string")))
+    kept = dedupe_geometry(tagged).collect()
+    assert [(r["osmid"], r["tags"], r["copies"]) for r in kept] == [(2, {"id": "2"}, 3)]
 
 
 @pytest.mark.parametrize("limit", [100_000, 40])

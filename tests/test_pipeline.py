@@ -235,3 +235,22 @@ def test_result_does_not_depend_on_partitioning(spark, gazetteer, elements):
 def test_geometry_type_matches_the_declared_one(spark, run):
     _, result = run
     assert result.layers.schema["geom"].dataType.simpleString() == g.GEOMETRY_SQL
+
+
+def test_what_is_left_out_is_written(spark, run):
+    path, result = run
+    assert [r["reason_code"] for r in spark.read.json(f"{path}/rejected").collect()] == ["no_match"]
+    counted = result.outcomes.groupBy("outcome").sum("n").collect()
+    assert {r[0] for r in counted} >= {"kept"}
+
+
+def test_manual_files_are_read_by_the_job(spark, gazetteer, elements, tmp_path):
+    shape = {"type": "Polygon", "coordinates": [[[5.15, 7.2], [5.25, 7.2], [5.25, 7.3], [5.15, 7.3], [5.15, 7.2]]]}
+    path = tmp_path / "own area.geojson"
+    path.write_text(json.dumps(shape))
+    asked = spark.createDataFrame(
+        [("Own", None, str(path)), ("Lost", None, "/no/such/file.geojson")], "lga_name STRING, state_name STRING, manual_path STRING"
+    )
+    result = extract_lgas(asked, gazetteer, elements, write=False)
+    assert [r["boundary_source"] for r in result.boundaries.collect()] == [f"manual:{path}"]
+    assert [r["reason_code"] for r in result.rejected.collect()] == ["no_file"]
