@@ -22,8 +22,8 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 #: Odd multipliers of the rolling window hashes; two different ones give independent hashes.
 ROLL_A, ROLL_B = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-#: Bytes of text that one step of the hashing holds at once (about 40 bytes of arrays each).
-BLOCK = 2 << 20
+#: Bytes of text in a batch, and those that one step of the hashing holds at once (40 bytes of arrays each).
+BLOCK, HASHED = 2 << 20, 1 << 18
 
 
 class Words(NamedTuple):
@@ -117,9 +117,9 @@ def word_hashes(words: Words) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
     out = np.empty(len(words.start), np.uint64)
     at = 0
-    while at < len(out):  # the arrays below span BLOCK bytes, or one word
+    while at < len(out):  # the arrays below span HASHED bytes, or one word
         low = words.start[at]
-        stop = max(at + 1, int(np.searchsorted(words.end, low + BLOCK, "right")))
+        stop = max(at + 1, int(np.searchsorted(words.end, low + HASHED, "right")))
         a, b = words.start[at:stop] - low, words.end[at:stop] - low
         values = words.data[low : words.end[stop - 1]].astype(np.uint64) + np.uint64(1)
         out[at:stop] = mix(_rolled(values, a, b, _BASE) + (b - a).astype(np.uint64))

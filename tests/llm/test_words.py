@@ -25,7 +25,7 @@ def test_only_ascii_letters_are_lowered():
 def test_hashes_depend_on_the_words_alone(monkeypatch):
     texts = pa.array([prose(2, 300), prose(2, 300), prose(3, 300)])
     whole = W.word_hashes(W.split(texts))
-    monkeypatch.setattr(W, "BLOCK", 64)
+    monkeypatch.setattr(W, "HASHED", 64)
     assert (W.word_hashes(W.split(texts)) == whole).all()
     a, b = (W.window_hashes(whole[k * 300 : (k + 1) * 300], 20, W.ROLL_A) for k in (0, 1))
     assert (a == b).all() and len(np.unique(a)) == len(a)
