@@ -36,8 +36,8 @@ _POINT_LEVEL = -1
 # Bounding box columns an element table may bring along (see write_elements).
 BOX_COLUMNS = ("box_x0", "box_y0", "box_x1", "box_y1")
 
-# Rough size of a row without its edges, and of one edge with its flip, when broadcast.
-_ROW_BYTES, _EDGE_BYTES = 200, 44
+# Rough size when broadcast of a row without its arrays, of an edge, of a flip, of a part's anchor.
+_ROW_BYTES, _EDGE_BYTES, _FLIP_BYTES, _ANCHOR_BYTES = 200, 48, 16, 32
 _BYTES_PER_TASK = 16 * 1024 * 1024
 
 
@@ -114,7 +114,8 @@ def _measure(prepared: DataFrame, sizes: list[int]) -> _Measured:
     for _, size, span in _levels(sizes):
         (x0, x1), (y0, y1) = (_cell_range(axis, f"{size}L", f"{span}L") for axis in "xy")
         counts.append(f"({x1} - ({x0}) + 1D) * ({y1} - ({y0}) + 1D)")
-    row = f"({_ROW_BYTES} + {_EDGE_BYTES} * size(_edges))"
+    # A block has at most a flip for each edge, and repeats all anchors.
+    row = f"({_ROW_BYTES} + {_EDGE_BYTES + _FLIP_BYTES} * size(_edges) + {_ANCHOR_BYTES} * size(_anchors))"
     blocks, whole, *extent = prepared.selectExpr(
         f"coalesce(sum({row} * ({' + '.join(counts)})), 0D)",
         f"coalesce(sum({row}), 0)",
@@ -249,7 +250,8 @@ def spatial_join(
         # Boundaries often sit in one small file, so they are spread out first.
         tasks = max(1, index_bytes // _BYTES_PER_TASK)
         index = through_table(_block_index(prepared.repartition(int(tasks), "lga_id"), sizes))
-        row = f"{_ROW_BYTES}L + {_EDGE_BYTES} * coalesce(size(_local), 0)"
+        arrays = ((_EDGE_BYTES, "_local"), (_FLIP_BYTES, "_flips"), (_ANCHOR_BYTES, "_anchors"))
+        row = f"{_ROW_BYTES}L + " + " + ".join(f"{b}L * greatest(coalesce(size({c}), 0), 0)" for b, c in arrays)
         index_bytes = index.selectExpr(f"coalesce(sum({row}), 0L)").head()[0]
 
     keys = ["_level", "_cx", "_cy"]
@@ -264,15 +266,13 @@ def spatial_join(
     pairs = keyed.join(index, keys).where(
         "_box.x0 <= _bbox.x1 AND _box.x1 >= _bbox.x0 AND _box.y0 <= _bbox.y1 AND _box.y1 >= _bbox.y0"
     )
-    fetch = "CASE WHEN _level > 0 THEN lga_id END"
     if found.whole_bytes <= broadcast_bytes:
-        whole = F.broadcast(whole)
+        fetch = F.expr("CASE WHEN _level > 0 THEN lga_id END")
+        pairs = pairs.withColumn("_fetch", fetch).join(F.broadcast(whole), F.col("_fetch") == F.col("_whole_id"), "left")
     else:
-        # Rows that need no fetch get scattered keys that match nothing, so the
-        # shuffle spreads them evenly instead of piling up nulls.
-        fetch = f"coalesce({fetch}, concat('-', xxhash64(geom)))"
-    pairs = pairs.withColumn("_fetch", F.expr(fetch)).join(
-        whole, F.col("_fetch") == F.col("_whole_id"), "left"
-    )
+        # Only features too large for the finest cells need a whole boundary; no other pair moves.
+        at_hand = pairs.where("_level <= 0")
+        fetched = pairs.where("_level > 0").join(whole, F.col("lga_id") == F.col("_whole_id"))
+        pairs = at_hand.unionByName(fetched, allowMissingColumns=True)
     helpers = [c for c in pairs.columns if c.startswith("_")]
     return pairs.where(_touches()).drop(*helpers)

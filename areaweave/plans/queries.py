@@ -321,6 +321,24 @@ def pip_bucketed_equals_brute(spark, d):
     return found.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("osmid").alias("osmid_sum"))
 
 
+@query
+def pip_shuffled(spark, d):
+    """The same where nothing may be broadcast, so the join shuffles by cell."""
+    places = fx.gazetteer(spark, d).select("k", F.col("k").cast("string").alias("lga_id"), "geom")
+    found = spatial_join(fx.points(spark, d).select("osmid", "geom"), places, broadcast_bytes=0)
+    return found.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("osmid").alias("osmid_sum"))
+
+
+@query
+def line_join_shuffled(spark, d):
+    return spatial_join(fx.lines(spark, d), areas(spark, d), broadcast_bytes=0).select("k", "osmid")
+
+
+@query
+def polygon_join_shuffled(spark, d):
+    return spatial_join(fx.polygons(spark, d), areas(spark, d), broadcast_bytes=0).select("k", "osmid")
+
+
 # --- cleaning ----------------------------------------------------------------
 
 
