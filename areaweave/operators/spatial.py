@@ -39,6 +39,8 @@ BOX_COLUMNS = ("box_x0", "box_y0", "box_x1", "box_y1")
 # Rough size when broadcast of a row without its arrays, of an edge, of a flip, of a part's anchor.
 _ROW_BYTES, _EDGE_BYTES, _FLIP_BYTES, _ANCHOR_BYTES = 200, 48, 16, 32
 _BYTES_PER_TASK = 16 * 1024 * 1024
+# Boxes that a scan may be asked for; beyond, it is asked for the one around all.
+_SCAN_BOXES = 64
 
 
 def _sizes(cell_degrees: float) -> list[int]:
@@ -127,12 +129,20 @@ def _measure(prepared: DataFrame, sizes: list[int]) -> _Measured:
     return _Measured(int(blocks), int(whole), None if extent[0] is None else tuple(extent))
 
 
-def within_extent(features: DataFrame, extent: tuple[int, int, int, int] | None) -> DataFrame:
-    """Features whose stored box meets ``extent`` (fixed point); the filter reaches the scan."""
-    if extent is None or not set(BOX_COLUMNS) <= set(features.columns):
+def within_extent(features: DataFrame, *boxes: tuple[int, int, int, int] | None) -> DataFrame:
+    """Features whose stored box meets one of ``boxes`` (fixed point); the filter reaches the scan."""
+    if not boxes or None in boxes or not set(BOX_COLUMNS) <= set(features.columns):
         return features
-    x0, y0, x1, y1 = extent
-    return features.where(f"box_x0 <= {x1}L AND box_x1 >= {x0}L AND box_y0 <= {y1}L AND box_y1 >= {y0}L")
+    near = [f"(box_x0 <= {x1}L AND box_x1 >= {x0}L AND box_y0 <= {y1}L AND box_y1 >= {y0}L)" for x0, y0, x1, y1 in boxes]
+    return features.where(" OR ".join(near))
+
+
+def _scan_boxes(prepared: DataFrame, features: DataFrame, extent: tuple | None) -> list[tuple | None]:
+    """The box of each boundary if they are few, so that far-apart ones do not read what lies between."""
+    if not set(BOX_COLUMNS) <= set(features.columns):
+        return []
+    few = [tuple(row["_bbox"]) for row in prepared.select("_bbox").limit(_SCAN_BOXES + 1).collect()]
+    return few if 0 < len(few) <= _SCAN_BOXES else [extent]
 
 
 def _block_index(prepared: DataFrame, sizes: list[int]) -> DataFrame:
@@ -240,7 +250,7 @@ def spatial_join(
     sizes = _sizes(cell_degrees)
     prepared = prepare_boundaries(boundaries)
     found = _measure(prepared, sizes)
-    nearby = within_extent(features, found.extent).where(g.usable("geom"))
+    nearby = within_extent(features, *_scan_boxes(prepared, features, found.extent)).where(g.usable("geom"))
     keyed = _with_grid_key(nearby, sizes)
     whole = prepared.select(F.col("lga_id").alias("_whole_id"), F.expr(_PLAIN.format("_edges")).alias("_whole"))
 

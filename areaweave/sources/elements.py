@@ -11,7 +11,10 @@ from areaweave.functions import geometry as g
 from areaweave.operators.rules import any_layer, split_rules, tag_reader
 from areaweave.operators.scale import compute_once
 from areaweave.operators.spatial import within_extent
-from areaweave.settings import DEFAULT_RULES
+from areaweave.settings import DEFAULT_RULES, FIXED_POINT
+
+# Height of the bands in which elements are stored.
+ROW_DEGREES = 0.25
 
 # A closed way with one of these keys is an area, unless tagged area=no.
 AREA_KEYS = ("building", "landuse", "amenity", "natural")
@@ -24,10 +27,11 @@ def rule_keys(rules: dict | None = None) -> list[str]:
 
 
 def write_elements(elements: DataFrame, path: str, keys: Iterable[str] | None = None) -> None:
-    """Store elements with the queried tags and the bounding box as columns.
+    """Store elements with the queried tags and the bounding box as columns, ordered by place.
 
     Parquet keeps statistics for those, so a later scan skips row groups by tag
-    and by area; neither works on a map or a nested geometry.
+    and by area; neither works on a map or a nested geometry.  Files hold bands of
+    ``ROW_DEGREES`` from west to east, so each row group's box is small.
     """
     keys = rule_keys(DEFAULT_RULES) if keys is None else list(keys)
     wide = compute_once(elements, box=g.fixed_bounds("geom"))
@@ -36,7 +40,10 @@ def write_elements(elements: DataFrame, path: str, keys: Iterable[str] | None =
         *[F.element_at("tags", key).alias(f"tag_{key}") for key in keys],
         *[F.col(f"box.{side}").alias(f"box_{side}") for side in ("x0", "y0", "x1", "y1")],
     )
-    wide.write.mode("overwrite").parquet(path)
+    band = F.expr(f"box_y0 div {int(ROW_DEGREES * FIXED_POINT)}")
+    ordered = wide.withColumn("_band", band).repartitionByRange("_band", "box_x0")
+    placed = ordered.sortWithinPartitions("_band", "box_x0").drop("_band")
+    placed.write.mode("overwrite").parquet(path)
 
 
 def read_elements(

@@ -141,3 +141,46 @@ def test_line_of_one_spot_counts_as_its_spot(spark):
     areas = frame(spark, [("a", polygon(box(0.0, 0.0, 1.0, 1.0)))], "lga_id STRING")
     features = frame(spark, [(1, line((0.5, 0.5), (0.5, 0.5))), (2, line((1.5, 0.5), (1.5, 0.5)))], "i INT")
     assert [r["i"] for r in spatial_join(features, areas).collect()] == [1]
+
+
+def test_elements_are_stored_by_place(spark, tmp_path):
+    """Two far-apart areas leave most files unread, and the join is that of the unstored table."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from areaweave.sources.elements import write_elements
+
+    rows = [("node", i, point(3 + (i * 37 % 400) / 100, 5 + (i * 91 % 400) / 100)) for i in range(2000)]
+    elements = frame(spark, rows, "element_type STRING, osmid BIGINT").withColumn(
+        "tags", F.create_map(F.lit("highway"), F.lit("x"))
+    )
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        write_elements(elements, str(tmp_path / "e"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    areas = frame(
+        spark,
+        [("low", polygon(box(3.0, 5.0, 3.2, 5.2))), ("high", polygon(box(6.7, 8.7, 6.9, 8.9)))],
+        "lga_id STRING",
+    )
+    wanted = [(3.0, 5.0, 3.2, 5.2), (6.7, 8.7, 6.9, 8.9)]
+
+    def read(file):
+        t = pq.read_table(file, columns=["box_x0", "box_y0"]).to_pandas() / 1e7
+        if not len(t):
+            return False
+        (x0, y0), (x1, y1) = t.min(), t.max()
+        return any(x0 <= b[2] and x1 >= b[0] and y0 <= b[3] and y1 >= b[1] for b in wanted)
+
+    stored = glob.glob(f"{tmp_path}/e/*.parquet")
+    assert len(stored) >= 8 and sum(map(read, stored)) <= len(stored) // 2
+    columns = ["lga_id", "osmid"]
+    direct = sorted(map(tuple, spatial_join(elements, areas).select(columns).collect()))
+    kept = spark.read.parquet(str(tmp_path / "e"))
+    assert sorted(map(tuple, spatial_join(kept, areas).select(columns).collect())) == direct and direct
