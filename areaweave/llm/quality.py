@@ -116,7 +116,6 @@ def fit(docs: DataFrame, labels: DataFrame, grade, sample: int = SAMPLE) -> Mode
     row = np.repeat(np.arange(len(data)), [len(r["features"]) // 4 for r in data])
     weight = (1 / np.bincount(y))[y] / len(grades)  # each grade counts the same
     w, cuts = np.zeros(SIZE), np.linspace(-1, 1, len(grades) - 1)
-
     moments = [np.zeros(SIZE + len(cuts)) for _ in range(2)]
     for t in range(1, ROUNDS + 1):
         total = np.bincount(row, w[feature] * amount, len(data))
@@ -135,7 +134,6 @@ def fit(docs: DataFrame, labels: DataFrame, grade, sample: int = SAMPLE) -> Mode
         move = RATE * moments[0] / (1 - 0.9**t) / (np.sqrt(moments[1] / (1 - 0.99**t)) + 1e-6)
         w += move[:SIZE]
         cuts = np.sort(cuts + move[SIZE:])
-
     return Model(w, cuts, grades)
 
 

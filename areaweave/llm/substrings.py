@@ -4,7 +4,7 @@ Method: Rabin-Karp hashes of every window of ``width`` words, counted in Spark;
 whose hash occurs earlier merge into maximal intervals, which are removed.
 
 1. A task hashes all windows of its documents.  Of windows that repeat within a unit of
-   some millions, only the first is sent on; the later ones are already known to go.  So a
+   a million, only the first is sent on; the later ones are already known to go.  So a
    passage that a third of all documents share is sent once a unit, not once a document.
 2. The first ones go to buckets by one hash, packed by document: another hash of 7 bytes,
    the document and the place.  Each bucket finds the earliest of each hash.
@@ -27,7 +27,7 @@ from areaweave.llm import words as W
 from areaweave.llm.common import table, text_bytes
 
 WIDTH = 20
-#: Windows whose repeats a task finds by itself; 24 bytes of memory each.
+#: Windows whose repeats a task finds by itself; about 150 bytes of memory each.
 UNIT = 1_000_000
 #: Bytes of text for each bucket: about 1.5 million windows.
 BUCKET_BYTES = 10 << 20
