@@ -37,7 +37,7 @@ KEYS = 48
 #: Estimates this far below the threshold are still checked: five standard deviations.
 MARGIN = 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: Members of a block; a task of the closing round compares two blocks.
-BLOCK = 256
+BLOCK = 1024
 _BITS = int(REGISTERS).bit_length() - 1
 
 
