@@ -27,6 +27,8 @@ from areaweave.llm.units import Encoder
 
 #: Parts up to which a word is merged by scanning its rank array.
 SHORT = 96
+#: Units as in ``units.CACHED``; fewer, because in a pipeline a worker keeps them beside other stages' memory.
+CACHED = 150_000
 _NONE = 1 << 60
 #: Fixed value: the tokenizer's split pattern, for lower-case ASCII.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+"
@@ -150,7 +152,7 @@ def _model(path: str) -> tuple[WordBpe, Encoder]:
     """The model of a file and its cache, one a worker."""
     if path not in _MODELS:
         model = WordBpe(path)
-        _MODELS[path] = (model, Encoder(model.units))
+        _MODELS[path] = (model, Encoder(model.units, CACHED))
     return _MODELS[path]
 
 

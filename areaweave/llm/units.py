@@ -72,8 +72,8 @@ def cut(data: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Ids of texts; ``encode`` turns a list of distinct units into the bytes of their ids (uint32)."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]]):
-        self._encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], cached: int = CACHED):
+        self._encode, self._cached = encode, cached
         self._known: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
 
@@ -92,7 +92,7 @@ class Encoder:
         new = [u for u in distinct if u not in known]
         known.update(zip(new, self._encode(new), strict=True))
         packed = [known[u] for u in distinct]
-        if len(known) > CACHED:
+        if len(known) > self._cached:
             self._known, self._older = {}, known
         size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         store = np.frombuffer(b"".join(packed), np.uint32)
