@@ -10,6 +10,11 @@ Windows that cannot match are not embedded.  An edit spoils at most GRAM of the
 of GRAM words that the text shares with an item of n words, so a window must hold the rest
 of them; this loses nothing.
 
+The allowed edits grow with the item and the walk drifts with each of them, so fixed numbers of
+walks and tables hold the recall for short items only.  Items of more than WALKED words need no
+keys: the runs of words that a passage shares with them single out few of them, and each of
+these is compared exactly, in bit-parallel steps.
+
 An item of n words matches where it fits with at most n // EDIT_WORDS edited words.
 Benchmarks of any size are looked for in blocks of items of bounded size; each block is one
 pass over the documents, which are never shuffled.
@@ -30,9 +35,11 @@ from areaweave.llm import words as W
 from areaweave.llm.common import table
 
 GRAM, EDIT_WORDS = 3, 6
-#: With these, windows at the largest allowed distance are found with a probability of 0.95 or more.
+#: With these, windows of up to WALKED words at the largest allowed distance are found with a
+#: probability of 0.95 or more; longer items are compared without keys.
 WALKS, TABLES, SAMPLES = 8, 6, 3
-#: Words of the items of one block; about 50 bytes each in every task.
+WALKED = 36
+#: Words of the items of one block; about 70 bytes each in every task.
 BLOCK_WORDS = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,6 +104,52 @@ def fit(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return row[stop], begin[stop], stop
 
 
+def _costs(item: np.ndarray, text: np.ndarray, anchored: bool = False) -> list[int]:
+    """Least edits between the item and a part of the text that ends after each word (Myers' bit vectors).
+
+    The part may start anywhere, or with ``anchored`` only at the first word.
+    """
+    n = len(item)
+    where: dict[int, int] = defaultdict(int)
+    for i, word in enumerate(item.tolist()):
+        where[word] |= 1 << i
+    mask, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, cost, out = mask, 0, n, []
+    for word in text.tolist():
+        same = where.get(word, 0)
+        across = (((same & up) + up) ^ up) | same | down
+        more, less = (down | ~(across | up)) & mask, up & across
+        cost += bool(more & top) - bool(less & top)
+        out.append(cost)
+        more, less = (more << 1 | anchored) & mask, less << 1 & mask
+        same |= down
+        up, down = (less | ~(same | more)) & mask, more & same
+    return out
+
+
+def fit_long(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
+    """As ``fit``, in time that grows with the text alone for most items; None beyond ``most`` edits."""
+    costs = _costs(item, text)
+    edits = min(costs, default=most + 1)
+    if edits > most:
+        return None
+    stop = costs.index(edits) + 1
+    back = _costs(item[::-1], text[max(0, stop - len(item) - most) : stop][::-1], anchored=True)
+    size = min((k for k, c in enumerate(back, 1) if c == edits), key=lambda k: abs(k - len(item)))
+    return edits, stop - size, stop
+
+
+def _crowded(places: np.ndarray, n: int) -> np.ndarray:
+    """Indexes i at which as many sorted ``places`` of grams as a match of n words needs are near enough."""
+    need, reach = _need(n), n + allowed(n)
+    return np.flatnonzero(places[need - 1 :] - places[: max(0, len(places) - need + 1)] <= reach - GRAM)
+
+
+def _need(n: int) -> int:
+    """Grams that an item of n words shares with every match."""
+    return max(1, n - GRAM + 1 - GRAM * allowed(n))
+
+
 class Items:
     """Items of one block, ready to be looked for."""
 
@@ -113,27 +166,37 @@ class Items:
                 self.words.append(hashes[a:b])
         self.sizes = sorted(by_size)
         grams, owner = [], []
+        long_grams, long_owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         self._by_key: dict[int, list[int]] = defaultdict(list)
         self._known: dict[int, np.ndarray] = {}
         for k, n in enumerate(self.sizes):
             own = np.stack([self.words[i] for i in by_size[n]])
-            own_keys = keys(own)
-            self._known[n] = np.unique(own_keys)
-            for i, row in zip(by_size[n], own_keys, strict=True):
-                for key in set(row.tolist()):
-                    self._by_key[key].append(i)
-            every = np.unique([W.window_hashes(w, GRAM, W.ROLL_A) for w in own])
+            own_grams = [np.unique(W.window_hashes(w, GRAM, W.ROLL_A)) for w in own]
+            if n > WALKED:
+                long_grams += own_grams
+                long_owner += [np.full(len(g), i) for i, g in zip(by_size[n], own_grams, strict=True)]
+            else:
+                own_keys = keys(own)
+                self._known[n] = np.unique(own_keys)
+                for i, row in zip(by_size[n], own_keys, strict=True):
+                    for key in set(row.tolist()):
+                        self._by_key[key].append(i)
+            every = np.unique(np.concatenate(own_grams))
             grams.append(every)
             owner.append(np.full(len(every), k))
         gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         size = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         order = np.argsort(gram, kind="stable")
         self._gram, self._size = gram[order], size[order]
+        # Long items by gram.
+        gram, item = np.concatenate(long_grams), np.concatenate(long_owner)
+        order = np.lexsort((item, gram))
+        self._long_gram, self._long_item = gram[order], item[order]
+        self._length = np.array([len(w) for w in self.words], np.int64)
 
     def _starts(self, hits: np.ndarray, n: int, low: int, high: int) -> np.ndarray:
         """Starts of windows of n words that hold as many of the grams at ``hits`` as a match must."""
-        edits = allowed(n)
-        need, reach = max(1, n - GRAM + 1 - GRAM * edits), n + edits
+        need, reach = _need(n), n + allowed(n)
         first, last = hits[: len(hits) - need + 1], hits[need - 1 :]
         near = last - first <= reach - GRAM
         if not near.any():
@@ -161,14 +224,18 @@ class Items:
         order = np.lexsort((place, text, size))
         group = size[order] * (len(found.first) + 1) + text[order]
         windows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for run in np.split(order, np.flatnonzero(np.diff(group)) + 1):
             n, t = self.sizes[size[run[0]]], int(text[run[0]])
             a, b = int(found.first[t]), int(found.first[t + 1])
-            if len(run) >= max(1, n - GRAM + 1 - GRAM * allowed(n)):
+            if len(run) < _need(n):
+                continue
+            if n > WALKED:
+                self._compare(hashes, rolled, np.unique(place[run]), n, t, a, b, best)
+            else:
                 starts = np.maximum(self._starts(np.unique(place[run]), n, a - allowed(n), b), a)
                 starts = np.unique(starts)
                 windows[n].append((starts, np.full(len(starts), t)))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for n, parts in windows.items():
             starts, texts = (np.concatenate(x) for x in zip(*parts, strict=True))
             for c in range(0, len(starts), 4096):
@@ -176,6 +243,58 @@ class Items:
         for (t, item), (edits, start, stop) in best.items():
             yield t, self.ids[item], start, stop, edits
 
+    def _compare(
+        self, hashes: np.ndarray, rolled: np.ndarray, hits: np.ndarray, n: int, t: int, a: int, b: int, best: dict
+    ) -> None:
+        """Compare passages of text t, words a to b, with the items of n words whose grams crowd there.
+
+        ``hits`` are the places of grams of items of this size, in order.
+        """
+        need, reach = _need(n), n + allowed(n)
+        near = _crowded(hits, n)
+        if not len(near):
+            return
+        covered = np.zeros(len(hits) + 1, np.int64)
+        np.add.at(covered, near, 1)
+        np.add.at(covered, near + need, -1)
+        hits = hits[np.cumsum(covered[:-1]) > 0]
+        # Stretches that overlap by a match, so that what is held at once is bounded by the block.
+        at = 0
+        while at < len(hits):
+            stop = int(np.searchsorted(hits, hits[at] + 5 * reach))
+            for i, own in self._sharing(rolled, hits[at:stop], n):
+                self._compare_item(hashes, own, i, t, a, b, best)
+            at = len(hits) if stop == len(hits) else int(np.searchsorted(hits, hits[at] + 4 * reach))
+
+    def _sharing(self, rolled: np.ndarray, hits: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The items of n words that have enough of the grams at these places, with their places."""
+        low, high = (np.searchsorted(self._long_gram, rolled[hits], side) for side in ("left", "right"))
+        place = np.repeat(hits, high - low)
+        entry = np.arange(len(place)) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)
+        item = self._long_item[entry]
+        fits = self._length[item] == n
+        place, item = place[fits], item[fits]
+        order = np.lexsort((place, item))
+        place, item = place[order], item[order]
+        own, first, count = np.unique(item, return_index=True, return_counts=True)
+        for k in np.flatnonzero(count >= _need(n)):
+            yield int(own[k]), place[first[k] : first[k] + count[k]]
+
+    def _compare_item(self, hashes: np.ndarray, places: np.ndarray, i: int, t: int, a: int, b: int, best: dict) -> None:
+        """Compare item i with the parts of text t, words a to b, where its grams crowd."""
+        n = len(self.words[i])
+        spots = _crowded(places, n)
+        if not len(spots):
+            return
+        # A match around a crowd lies in this stretch; overlapping stretches are one.
+        begins = np.maximum(places[spots + _need(n) - 1] + GRAM - n - allowed(n), a)
+        ends = np.minimum(places[spots] + n + allowed(n), b)
+        cuts = np.flatnonzero(begins[1:] > ends[:-1]) + 1
+        for p, q in zip(begins[[0, *cuts]].tolist(), ends[[*(cuts - 1), -1]].tolist(), strict=True):
+            done = fit_long(self.words[i], hashes[p:q], allowed(n))
+            if done and ((t, i) not in best or done[0] < best[(t, i)][0]):
+                best[(t, i)] = (done[0], done[1] + p - a, done[2] + p - a)
+
     def _look(
         self, found: W.Words, hashes: np.ndarray, starts: np.ndarray, texts: np.ndarray, n: int, best: dict
     ) -> None:

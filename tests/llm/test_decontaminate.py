@@ -65,3 +65,54 @@ def test_empty_tables(spark, empty, awkward):
     assert D.find_matches(empty, items(spark)).collect() == []
     assert D.find_matches(awkward[1], items(spark, [])).collect() == []
     assert D.remove_contaminated(awkward[1], items(spark, [])).count() == len(awkward[0])
+
+
+def distinct(seed, n):
+    r = random.Random(seed)
+    return [f"w{x}" for x in r.sample(range(10**6), n)]
+
+
+def hosts(item, count, how):
+    """Texts with the item each, with all the edits it may have."""
+    texts = []
+    for k in range(count):
+        r, words = random.Random(1000 * len(item) + k), list(item)
+        for at in sorted(r.sample(range(len(item)), D.allowed(len(item))), reverse=True):
+            kind = r.choice(["delete", "insert", "replace"]) if how == "mixed" else how
+            words[at : at + (kind != "insert")] = [] if kind == "delete" else [f"edit{r.randrange(10**6)}"]
+        texts.append(distinct(k, 50) + words + distinct(90 + k, 50))
+    return texts
+
+
+@pytest.mark.parametrize("how", ["delete", "insert", "replace", "mixed"])
+@pytest.mark.parametrize("n", [12, 24, 36, 37, 60, 120, 240, 400])
+def test_recall_does_not_fall_with_length(n, how):
+    count = 60
+    own = [distinct(7000 + k, n) for k in range(3)]
+    block = D.Items([10, 11, 12], [" ".join(w) for w in own])
+    found = D.W.split(D.pa.array([" ".join(t) for t in hosts(own[1], count, how)], D.pa.large_string()), lower=True)
+    rows = list(block.search(found, D.W.word_hashes(found)))
+    assert {i for _, i, *_ in rows} <= {11} and all(e <= D.allowed(n) for *_, e in rows)
+    assert len({t for t, *_ in rows}) >= (0.95 if n <= D.WALKED else 1) * count
+
+
+def test_fit_long_agrees_with_fit():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        item, text = r.integers(0, 6, r.integers(1, 90)), r.integers(0, 6, r.integers(0, 120))
+        edits, _, stop = D.fit(item, text)
+        got = D.fit_long(item, text, len(item) - 1)
+        if edits >= len(item):
+            assert got is None
+            continue
+        assert (got[0], got[2]) == (edits, stop) and D.fit(item, text[got[1] : stop])[0] == edits
+        assert D.fit_long(item, text, edits)[0] == edits
+        assert edits == 0 or D.fit_long(item, text, edits - 1) is None
+
+
+def test_long_items_in_repeated_text():
+    own = distinct(1, 60)
+    block = D.Items([5, 6], [" ".join(own), " ".join(own[:30] + distinct(2, 30))])
+    text = own[:30] * 40 + own + own[:30] * 40
+    found = D.W.split(D.pa.array([" ".join(text)], D.pa.large_string()))
+    assert list(block.search(found, D.W.word_hashes(found))) == [(0, 5, 1200, 1260, 0)]
