@@ -7,13 +7,14 @@ finds the best sequence.  The share of words in content lines decides.
 
 The field is learned from a bounded sample of labelled documents: lines of low-quality ones
 count as boilerplate, lines of good ones as content, but for short lines that several of them
-share, which are boilerplate too.
+share, which are boilerplate too.  All lines of these documents count, however many: texts
+are cut into chunks whose sums are chained, so that long ones take few steps, and a
+sample with many lines stays in Spark's tasks, which return sums only.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaweave.llm import words as W
-from areaweave.llm.common import labelled, table
+from areaweave.llm.common import labelled, table, written
 
 # The base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -32,8 +33,10 @@ LEAST_WORDS, REPEATED_PERCENT, WINDOW = 50, 50, 3
 SAMPLE = 600
 #: A line of at most SHARED_WORDS words in at least SHARED_BY documents of the sample is boilerplate.
 SHARED_WORDS, SHARED_BY = 12, 5
-#: Lines of one document that the training looks at; decoding looks at all.
-TRAIN_LINES = 200
+#: Lines of a sample that the driver holds; beyond, each round of the training is a Spark job.
+HELD = 200_000
+#: Lines of a chunk, within which the sums of all chunks go on together.
+CHUNK = 32
 #: Share of words in content lines from which a text is kept.
 KEEP = 0.5
 ROUNDS, RATE, RIDGE = 150, 0.1, 1e-3
@@ -160,74 +163,128 @@ def _log_add(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(most, axis) + np.log(np.exp(x - most).sum(axis))
 
 
-def train(features: np.ndarray, labels: np.ndarray, mask: np.ndarray) -> Field:
-    """Maximum likelihood by gradient ascent over padded sequences (texts, lines, features)."""
-    n, length, size = features.shape
-    state, pair = np.zeros(size), np.zeros((2, 2))
-    weight = np.where(mask, 1.0, 0.0)
-    both = weight[:, 1:] * weight[:, :-1]
-    seen = np.zeros((2, 2))
-    for p in range(2):
-        for q in range(2):
-            seen[p, q] = (both * (labels[:, :-1] == p) * (labels[:, 1:] == q)).sum()
-    moments = [np.zeros(size + 4) for _ in range(2)]
+class _Chunks:
+    """Texts of these numbers of lines, one after the other, cut into chunks of CHUNK lines."""
+
+    def __init__(self, lengths: np.ndarray):
+        count = -(-lengths // CHUNK)
+        text = np.repeat(np.arange(len(lengths)), count)
+        first = np.cumsum(count) - count
+        nth = np.arange(len(text)) - first[text]
+        begin = (np.cumsum(lengths) - lengths)[text] + nth * CHUNK
+        self.opens = nth == 0
+        self.inside = np.arange(CHUNK) < (lengths[text] - nth * CHUNK)[:, None]
+        self.lines = np.where(self.inside, begin[:, None] + np.arange(CHUNK), 0)
+        # The k-th chunks of all texts that have so many, for each k after the first.
+        order = np.argsort(nth, kind="stable")
+        self.later = np.split(order, np.flatnonzero(np.diff(nth[order])) + 1)[1:]
+
+    def forward(self, one: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """For each line and label, log of the sum over the ways to label its text up to there."""
+        one = one[self.lines]
+        # From each label before the chunk to each label of the line; a text begins without a pair.
+        way = np.empty((*self.lines.shape, 2, 2))
+        way[:, 0] = np.where(self.opens[:, None, None], 0, pair) + one[:, 0, None, :]
+        for i in range(1, CHUNK):
+            new = _log_add(way[:, i - 1, :, :, None] + pair, 2) + one[:, i, None, :]
+            way[:, i] = np.where(self.inside[:, i, None, None], new, way[:, i - 1])
+        before = np.tile([0.0, -1e30], (len(one), 1))
+        for chunks in self.later:
+            before[chunks] = _log_add(before[chunks - 1][:, :, None] + way[chunks - 1, -1], 1)
+        return _log_add(before[:, None, :, None] + way, 2)[self.inside]
+
+
+class Chains:
+    """Labelled texts: features and labels of their lines, one text after the other."""
+
+    def __init__(self, features: list[np.ndarray], labels: list[np.ndarray]):
+        lengths = np.array([len(y) for y in labels])
+        self._x, self._y = np.concatenate(features), np.concatenate(labels)
+        self._last = np.cumsum(lengths) - 1
+        self._text = np.repeat(np.arange(len(lengths)), lengths)
+        self._pairs = np.flatnonzero(self._text[1:] == self._text[:-1])
+        self._there, self._back = _Chunks(lengths), _Chunks(lengths[::-1])
+
+    def sums(self, field: Field) -> np.ndarray:
+        """Gradient of the log likelihood for state and pair weights, and the number of lines."""
+        one = np.column_stack([np.zeros(len(self._x)), self._x @ field.state])
+        forward = self._there.forward(one, field.pair)
+        backward = self._back.forward(one[::-1], field.pair.T)[::-1]  # counts the line itself as well
+        total = _log_add(forward[self._last], 1)[self._text]
+        chance = np.exp(forward[:, 1] + backward[:, 1] - one[:, 1] - total)
+        at = self._pairs
+        joint = forward[at][:, :, None] + field.pair + backward[at + 1][:, None, :] - total[at][:, None, None]
+        by_pair = -np.exp(np.minimum(joint, 0)).sum(0)
+        y = self._y.astype(int)
+        np.add.at(by_pair, (y[at], y[at + 1]), 1)
+        return np.concatenate([(self._y - chance) @ self._x, by_pair.ravel(), [len(self._x)]])
+
+
+def train(sums: Callable[[Field], np.ndarray], size: int = _FEATURES) -> Field:
+    """Maximum likelihood by gradient ascent; ``sums`` as of Chains, over all texts."""
+    weights, moments = np.zeros(size + 4), [np.zeros(size + 4) for _ in range(2)]
+    field = Field(weights[:size], weights[size:].reshape(2, 2))
     for t in range(1, ROUNDS + 1):
-        one = np.stack([np.zeros((n, length)), features @ state], axis=2)
-        forward, backward = np.zeros((n, length, 2)), np.zeros((n, length, 2))
-        forward[:, 0] = one[:, 0]
-        for i in range(1, length):
-            new = _log_add(forward[:, i - 1, :, None] + pair, 1) + one[:, i]
-            forward[:, i] = np.where(mask[:, i, None], new, forward[:, i - 1])
-        for i in range(length - 2, -1, -1):
-            new = _log_add(pair + (one[:, i + 1] + backward[:, i + 1])[:, None, :], 2)
-            backward[:, i] = np.where(mask[:, i + 1, None], new, 0)
-        total = _log_add(forward[:, -1], 1)
-        chance = np.exp(forward[:, :, 1] + backward[:, :, 1] - total[:, None]) * weight
-        by_state = np.einsum("nl,nlf->f", labels * weight - chance, features)
-        joint = forward[:, :-1, :, None] + pair + (one[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        by_pair = seen - (np.exp(np.minimum(joint, 0)) * both[:, :, None, None]).sum((0, 1))
-        step = np.concatenate([by_state, by_pair.ravel()]) / weight.sum() - RIDGE * np.concatenate([state, pair.ravel()])
+        *gradient, lines = sums(field)
+        step = np.array(gradient) / lines - RIDGE * weights
         moments = [0.9 * moments[0] + 0.1 * step, 0.99 * moments[1] + 0.01 * step**2]
-        move = RATE * moments[0] / (1 - 0.9**t) / (np.sqrt(moments[1] / (1 - 0.99**t)) + 1e-8)
-        state, pair = state + move[:size], pair + move[size:].reshape(2, 2)
-    return Field(state, pair)
+        weights = weights + RATE * moments[0] / (1 - 0.9**t) / (np.sqrt(moments[1] / (1 - 0.99**t)) + 1e-8)
+        field = Field(weights[:size], weights[size:].reshape(2, 2))
+    return field
 
 
 def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document: features of its first lines, and their hashes if they are short."""
+    """Of each document: features of its lines, and their hashes if they are short (else 0)."""
     for batch in W.slices(batches):
         lines = read_lines(batch.column("text"))
-        rows = []
-        for a, b in zip(lines.first, lines.first[1:], strict=False):
-            b = min(b, a + TRAIN_LINES)
-            spans = W.Words(lines.data, lines.spans[a:b, 0], lines.spans[a:b, 1], np.array([0]))
-            keys = np.where(lines.words[a:b] <= SHARED_WORDS, W.word_hashes(spans), 0)
-            rows.append((lines.features[a:b].tobytes(), keys.astype(np.uint64).tobytes()))
-        columns = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("grade"), *columns], ["doc_id", "grade", "features", "keys"]
-        )
+        hashes = W.word_hashes(W.Words(lines.data, lines.spans[:, 0], lines.spans[:, 1], np.array([0])))
+        keys = np.where(lines.words <= SHARED_WORDS, hashes, 0).astype(np.uint64).view(np.int64)
+        rows = [
+            (b - a, lines.features[a:b].tobytes(), keys[a:b].tobytes(), np.unique(keys[a:b]))
+            for a, b in zip(lines.first.tolist(), lines.first[1:].tolist(), strict=False)
+        ]
+        n, features, own, short = zip(*rows, strict=True)
+        columns = [batch.column("doc_id"), batch.column("grade"), pa.array(n, pa.int64()), pa.array(features, pa.binary())]
+        columns += [pa.array(own, pa.binary()), pa.array(short, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "grade", "n", "features", "keys", "short"])
+
+
+def _chains(rows: list[tuple[int, bytes, bytes]], often: np.ndarray) -> Chains:
+    """Grade, features and keys of texts with lines; the keys in ``often`` are boilerplate anywhere."""
+    keys = [np.frombuffer(k, np.int64) for _, _, k in rows]
+    labels = [np.isin(k, often).astype(float) if g else np.ones(len(k)) for (g, _, _), k in zip(rows, keys, strict=True)]
+    return Chains([np.frombuffer(f).reshape(-1, _FEATURES) for _, f, _ in rows], labels)
+
+
+def _task_sums(field: Field, often: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, "features", 8 * W.BLOCK):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("grade", "features", "keys")), strict=True)
+            done = _chains(list(rows), often).sums(field)
+            yield pa.RecordBatch.from_arrays([pa.array([done.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """The field, from at most ``sample`` documents of either quality; None without both."""
+    """The field, from all lines of at most ``sample`` documents of either quality; None without both."""
     known = labelled(docs, labels, F.col("quality"), sample).select("doc_id", "text", "grade")
-    rows = known.mapInArrow(_sample_lines, "doc_id BIGINT, grade INT, features BINARY, keys BINARY")
-    # Bounded: the sample, and TRAIN_LINES lines of each document.
-    data = [r for r in rows.orderBy("doc_id").collect() if r["keys"]]
-    if len({r["grade"] > 0 for r in data}) < 2:
+    rows = known.mapInArrow(
+        _sample_lines, "doc_id BIGINT, grade INT, n BIGINT, features BINARY, keys BINARY, short ARRAY<BIGINT>"
+    )
+    rows = written(rows).filter("n > 0")
+    held = rows.groupBy(F.col("grade") > 0).agg(F.sum("n").alias("n")).collect()
+    if len(held) < 2:
         return None
-    features = [np.frombuffer(r["features"]).reshape(-1, _FEATURES) for r in data]
-    keys = [np.frombuffer(r["keys"], np.uint64) for r in data]
-    shared = Counter(k for own in keys for k in np.unique(own[own > 0]).tolist())
-    often = {k for k, n in shared.items() if n >= SHARED_BY}
-    length = max(map(len, features))
-    x = np.zeros((len(data), length, _FEATURES))
-    y, mask = np.zeros((len(data), length)), np.zeros((len(data), length), bool)
-    for i, (own, row) in enumerate(zip(keys, data, strict=True)):
-        x[i, : len(own)], mask[i, : len(own)] = features[i], True
-        y[i, : len(own)] = [float(row["grade"] == 0 or k in often) for k in own.tolist()]
-    return train(x, y, mask)
+    shared = rows.select(F.explode("short").alias("key")).filter("key <> 0").groupBy("key").count()
+    often = np.array([r["key"] for r in shared.filter(F.col("count") >= SHARED_BY).select("key").collect()], np.int64)
+    if sum(r["n"] for r in held) <= HELD:
+        data = rows.select("grade", "features", "keys").orderBy("doc_id").collect()
+        return train(_chains([tuple(r) for r in data], often).sums)
+    pieces = rows.select("grade", "features", "keys")
+    return train(
+        lambda field: np.sum([r["sums"] for r in pieces.mapInArrow(_task_sums(field, often), "sums ARRAY<DOUBLE>").collect()], 0)
+    )
 
 
 def _judged(field: Field | None):

@@ -168,3 +168,45 @@ def test_viterbi_finds_the_best_sequence():
 
 def test_rules_on_an_empty_table(spark, empty):
     assert R.judge(empty, spark.createDataFrame([], LABELS)).collect() == []
+
+
+def test_gradient_of_chained_chunks_is_that_of_the_likelihood():
+    r = np.random.default_rng(5)
+    lengths = [1, 2, 31, 32, 33, 64, 150, 1]
+    x = [r.normal(size=(n, 3)) for n in lengths]
+    y = [r.integers(0, 2, n).astype(float) for n in lengths]
+
+    def likelihood(w):
+        pair, whole = w[3:].reshape(2, 2), 0.0
+        for xs, ys in zip(x, y, strict=True):
+            s = xs @ w[:3]
+            ways = np.array([0.0, s[0]])
+            for v in s[1:]:
+                ways = np.array([np.logaddexp(*(ways + pair[:, q])) + q * v for q in (0, 1)])
+            labels = ys.astype(int)
+            whole += (s * ys).sum() + pair[labels[:-1], labels[1:]].sum() - np.logaddexp(*ways)
+        return whole
+
+    w = r.normal(size=7)
+    *got, lines = R.Chains(x, y).sums(R.Field(w[:3], w[3:].reshape(2, 2)))
+    steps = 1e-5 * np.eye(7)
+    assert lines == sum(lengths)
+    assert np.allclose(got, [(likelihood(w + d) - likelihood(w - d)) / 2e-5 for d in steps], atol=1e-4)
+
+
+def test_lines_at_the_end_of_long_texts_are_learned(spark, monkeypatch):
+    def lines(seed, n):
+        return "\n".join(" ".join(prose(1000 * seed + k, 8).split()) for k in range(n))
+
+    footer = "\n".join(f"follow us for more like this {k}" for k in range(30))
+    cut = [(i, lines(i, 210) if i % 2 else lines(i, 210).upper()) for i in range(12)]
+    full = [(i, f"{t}\n{footer}" if i % 2 else t) for i, t in cut]
+    labels = spark.createDataFrame([(i, i % 2, 0, "g") for i in range(12)], LABELS)
+    short, whole = R.fit(frame(spark, cut), labels), R.fit(frame(spark, full), labels)
+    assert not np.allclose(short.state, whole.state, atol=1e-3)
+    monkeypatch.setattr(R, "HELD", 0)  # the rounds as Spark jobs
+    monkeypatch.setattr(R, "ROUNDS", 5)
+    again = R.fit(frame(spark, full), labels)
+    monkeypatch.setattr(R, "HELD", 10**6)
+    held = R.fit(frame(spark, full), labels)
+    assert np.allclose(again.state, held.state) and np.allclose(again.pair, held.pair)
