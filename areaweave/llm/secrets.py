@@ -31,8 +31,8 @@ ASSIGN_VALUE = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
-#: What may be an encoded secret: it must hold a digit and a letter as well.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: What may be an encoded secret; it must hold a letter as well (digits alone are hex runs).
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
 #: Highest share of false finds among the strings that the tests find.
 FALSE_RATE = 0.01
 #: Candidates are grouped by length in steps of this many characters, up to LAST_GROUP steps.
@@ -118,6 +118,8 @@ def _tested(value: Column) -> Column:
     spread = F.greatest(share * (1 - share), F.lit(0.01))
     serial = F.greatest(F.lit(-0.9), F.least(F.lit(0.9), (pairs / (n - 1) - share * share) / spread))
     p_serial = _below((F.atanh(F.lit(VOWELS)) - F.atanh(serial)) * F.sqrt(n - 3))
+    # One class and only vowels, or none (xxxx...): nothing that could correlate.
+    p_serial = F.when((changes == 0) & ((share == 0) | (share == 1)), 1.0).otherwise(p_serial)
 
     x = -sum(F.ln(F.greatest(p, F.lit(1e-12))) for p in (p_even, p_runs, p_serial))
     combined = F.exp(-x) * (1 + x + x * x / 2)

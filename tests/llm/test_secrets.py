@@ -51,6 +51,19 @@ def test_random_strings_are_found_and_text_is_not(spark):
     assert len(hits & truth) >= 0.9 * len(truth) and len(hits - truth) <= 1
 
 
+def test_random_strings_without_digits_are_found(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(90):
+        key = "".join(r.choice(string.ascii_letters + "+/") for _ in range(32))
+        word = ("internationalization", "telecommunications", "well-known-and-often-used", "x" * 300, "A" * 200)[i % 5]
+        rows.append((i, f"x {key if i % 3 == 0 else word} {prose(i, 20)}"))
+    found = S.find_secrets(frame(spark, rows)).collect()
+    hits = {row.doc_id for row in found if any(s.kind == 3 for s in row.spans)}
+    truth = {i for i, _ in rows if i % 3 == 0}
+    assert len(hits & truth) >= 0.9 * len(truth) and len(hits - truth) <= 1
+
+
 def test_awkward_rows(spark, awkward):
     rows, df = awkward
     assert S.find_secrets(df).count() == len(rows)
