@@ -132,8 +132,10 @@ class WordBpe:
                 out += self.word(word)
         return array("I", out).tobytes()
 
-    def units(self, many: list[bytes]) -> list[bytes]:
-        return [self.unit(u) for u in many]
+    def units(self, many: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units in order, and how many each has."""
+        made = [self.unit(u) for u in many]
+        return np.frombuffer(b"".join(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made)) // 4
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
         """The tokens of each text, joined by a space; ``first`` has where each text begins in ``ids``."""

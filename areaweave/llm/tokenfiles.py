@@ -24,7 +24,6 @@ import os
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +38,12 @@ from areaweave.llm.units import Encoder
 BLOCK, PERCENTILE = 128, 90
 #: Ids after which a segment ends with its document, and bytes of text for each file.
 SEGMENT_IDS, FILE_BYTES = 1 << 16, 24 << 20
+#: Units that go to the library as one text.
+JOINED = 4096
 _HEAD = struct.Struct("<4s5I")
 _NULL = -(2**63)
+#: First bytes of white space beyond ASCII.
+_BLANK = (0xC2, 0xE1, 0xE2, 0xE3)
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -154,12 +157,42 @@ def library_encoder(path: str, whole: list[bytes] = (b"<|endoftext|>",)):
         model.no_truncation()
         model.no_padding()
 
-        def encode(units: list[bytes]) -> list[bytes]:
-            found = model.encode_batch_fast([u.decode("utf-8") for u in units], add_special_tokens=False)
-            return [array("I", e.ids).tobytes() for e in found]
-
-        _ENCODERS[path] = (Encoder(encode), encode)
-    cached, encode = _ENCODERS[path]
+        size = np.zeros(model.get_vocab_size(), np.int64)  # a token is written with a letter for each of its bytes
+        for token, i in model.get_vocab().items():
+            size[i] = len(token)
+
+        def alone(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            found = [e.ids for e in model.encode_batch_fast([u.decode("utf-8") for u in units], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+        def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            # In one text the library is called once.  A unit that begins with a space is a piece of
+            # its own there; before any other stands a line feed, which no token of a unit holds.
+            blank = np.array([u.isspace() or (u[0] in _BLANK and u.decode("utf-8").isspace()) for u in units], bool)
+            if blank.any():
+                split = [[units[i] for i in np.flatnonzero(mask).tolist()] for mask in (~blank, blank)]
+                ids, count = (np.concatenate(x) for x in zip(encode(split[0]), alone(split[1]), strict=True))
+                order = np.argsort(np.argsort(blank, kind="stable"))
+                begin, count = (np.cumsum(count) - count)[order], count[order]
+                return ids[np.arange(len(ids)) + np.repeat(begin - np.cumsum(count) + count, count)], count
+            all_ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+            for a in range(0, len(units), JOINED):
+                part = [u if u[:1] == b" " else b"\n" + u for u in units[a : a + JOINED]]
+                found = model.encode_batch_fast([b"".join(part).decode("utf-8")], add_special_tokens=False)[0]
+                ids = np.array(found.ids, np.uint32)
+                stop = np.cumsum(size[ids])
+                length = np.fromiter(map(len, part), np.int64, len(part))
+                first = np.searchsorted(stop, np.cumsum(length) - length, "right")
+                count = np.diff(first, append=len(ids))
+                feed = np.array([u[:1] == b"\n" for u in part])
+                keep = np.ones(len(ids), bool)
+                keep[first[feed]] = False
+                all_ids.append(ids[keep])
+                counts.append(count - feed)
+            return np.concatenate(all_ids), np.concatenate(counts)
+
+        _ENCODERS[path] = (Encoder(encode, classes=True), alone)
+    cached, alone = _ENCODERS[path]
 
     def ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         special = np.zeros(len(texts), bool)
@@ -171,7 +204,7 @@ def library_encoder(path: str, whole: list[bytes] = (b"<|endoftext|>",)):
         parts = []
         for i, odd in enumerate(special):
             one = texts.slice(i, 1)
-            parts.append(np.frombuffer(encode([one[0].as_py().encode()])[0], np.uint32) if odd else cached.ids(one)[0])
+            parts.append(alone([one[0].as_py().encode()])[0] if odd else cached.ids(one)[0])
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     return ids

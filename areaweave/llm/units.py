@@ -8,6 +8,7 @@ a text the ids of its units one after the other, so each distinct unit is encode
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ _TRIPLES = [(0xE1, 0x9A, 0x80), (0xE2, 0x81, 0x9F), (0xE3, 0x80, 0x80)] + [
 ]
 _ASCII = np.zeros(256, bool)
 _ASCII[[9, 10, 11, 12, 13, 32]] = True
-#: New units after which a worker forgets those not met since as many before; about 200 bytes each.
+#: New units after which a worker forgets those not met since as many before; about 150 bytes each.
 CACHED = 300_000
 
 
@@ -69,13 +70,80 @@ def cut(data: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[real][order], end[real][order]
 
 
+#: Letters (1), digits (2) and other marks (3) of ASCII; the apostrophe and controls have no class.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[48:58] = 2
+_CLASS[65:91] = _CLASS[97:123] = 1
+_CLASS[39] = 0
+
+
+def cut_classes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The units cut again wherever letters, digits and other marks meet.
+
+    Only ASCII and the letters from U+00C0 to U+00FF count, and nothing is cut beside an
+    apostrophe, so a split pattern that keeps these three classes apart ends a match at
+    each of the cuts.
+    """
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = 1
+    mark = np.zeros(len(data) + 1, np.int8)
+    mark[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    mark[start] = 1
+    begin = np.flatnonzero(mark[:-1])
+    # Units cover all bytes, so each piece reaches to where the next one begins.
+    return begin, np.concatenate([begin[1:], end[-1:]])
+
+
+class _Store:
+    """Units with their ids: one array of all ids, and where those of each unit begin."""
+
+    def __init__(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.begin, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._ids, self._used = np.zeros(4096, np.uint32), 0
+
+    def find(self, units: list[bytes]) -> np.ndarray:
+        """Place of each unit, -1 if unknown."""
+        return np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
+
+    def add(self, units: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
+        n, used = len(self.place), self._used
+        while n + len(units) > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.begin, self.count))
+        while used + len(ids) > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros(len(self._ids), np.uint32)])
+        self.begin[n : n + len(units)] = used + np.cumsum(count) - count
+        self.count[n : n + len(units)] = count
+        self._ids[used : used + len(ids)] = ids
+        self._used += len(ids)
+        self.place.update(zip(units, range(n, n + len(units)), strict=True))
+
+    def ids(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units at these places in order, and how many each has."""
+        count = self.count[place]
+        stop = np.cumsum(count)
+        total = int(stop[-1]) if len(stop) else 0
+        return self._ids[np.arange(total) + np.repeat(self.begin[place] - stop + count, count)], count
+
+
 class Encoder:
-    """Ids of texts; ``encode`` turns a list of distinct units into the bytes of their ids (uint32)."""
+    """Ids of texts; ``encode`` turns a list of units into all their ids in order and the number of each.
+
+    Units are told apart by hash and then by their bytes, so no two share ids by accident.
+    ``classes`` cuts them where letters, digits and other marks meet.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], cached: int = CACHED):
-        self._encode, self._cached = encode, cached
-        self._known: dict[bytes, bytes] = {}
-        self._older: dict[bytes, bytes] = {}
+    def __init__(
+        self,
+        encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
+        cached: int = CACHED,
+        classes: bool = False,
+    ):
+        self._encode, self._cached, self._classes = encode, cached, classes
+        self._known, self._older = _Store(), _Store()
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where those of each text begin (one entry more than texts)."""
@@ -83,21 +151,29 @@ class Encoder:
         start, end = cut(data, offset)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offset), np.int64)
-        hashes = W.word_hashes(W.Words(data, start, end, offset))
-        _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if self._classes:
+            start, end = cut_classes(data, start, end)
+        units = W.Words(data, start, end, offset)
+        _, sample, which = np.unique(W.word_hashes(units), return_index=True, return_inverse=True)
+        odd = np.flatnonzero(W.differ(units, np.arange(len(which)), sample[which]))
+        if len(odd):  # other bytes under the same hash: each stands for itself
+            which[odd] = len(sample) + np.arange(len(odd))
+            sample = np.concatenate([sample, odd])
         raw = data.tobytes()
         distinct = [raw[a:b] for a, b in zip(start[sample].tolist(), end[sample].tolist(), strict=True)]
+        if len(self._known.place) > self._cached:
+            self._known, self._older = _Store(), self._known
         known, older = self._known, self._older
-        known.update((u, older[u]) for u in distinct if u not in known and u in older)
-        new = [u for u in distinct if u not in known]
-        known.update(zip(new, self._encode(new), strict=True))
-        packed = [known[u] for u in distinct]
-        if len(known) > self._cached:
-            self._known, self._older = {}, known
-        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        store = np.frombuffer(b"".join(packed), np.uint32)
-        begin = (np.cumsum(size) - size)[which]
-        count = size[which]
-        stop = np.cumsum(count)
-        ids = store[np.arange(stop[-1]) + np.repeat(begin - stop + count, count)]
-        return ids, np.concatenate([[0], stop])[np.searchsorted(start, offset)]
+        place = known.find(distinct)
+        missing = np.flatnonzero(place < 0).tolist()
+        if missing:
+            missing = list(dict.fromkeys(distinct[i] for i in missing))
+            before = older.find(missing)
+            met = np.flatnonzero(before >= 0)
+            known.add([missing[i] for i in met.tolist()], *older.ids(before[met]))
+            new = [missing[i] for i in np.flatnonzero(before < 0).tolist()]
+            if new:
+                known.add(new, *self._encode(new))
+            place = known.find(distinct)
+        ids, count = known.ids(place[which])
+        return ids, np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, offset)]

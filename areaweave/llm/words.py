@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -20,10 +21,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
-#: Odd multipliers of the rolling window hashes; two different ones give independent hashes.
+#: Bases of the rolling window hashes; two different ones give independent hashes.
 ROLL_A, ROLL_B = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-#: Bytes of text in a batch, and those that one step of the hashing holds at once (40 bytes of arrays each).
-BLOCK, HASHED = 2 << 20, 1 << 18
+#: Bytes of text in a batch.
+BLOCK = 2 << 20
 
 
 class Words(NamedTuple):
@@ -97,38 +98,96 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(4)
+#: The modulus of the rolling hashes, a prime, and the length from which a word is hashed by itself.
+PRIME, LONG = (1 << 61) - 1, 64
+_P = np.uint64(PRIME)
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2 ** 64 modulo PRIME."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product of numbers below PRIME, modulo PRIME."""
+    low, half = np.uint64((1 << 31) - 1), np.uint64(31)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    upper = (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half)
+    return _folded((a1 * b1 << np.uint64(1)) + upper + a0 * b0)
+
+
+@lru_cache(8)
 def _powers(base: int, size: int) -> np.ndarray:
-    p = np.full(size, base, np.uint64)
-    p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
+    """base ** 0, base ** 1, ... modulo PRIME."""
+    out = np.ones(1, np.uint64)
+    while len(out) < size:
+        out = np.concatenate([out, _times(out, np.uint64(pow(base, len(out), PRIME)))])
+    return out
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Running sums modulo PRIME of numbers below it, with a zero in front."""
+    low, half = np.uint64((1 << 31) - 1), np.uint64(31)
+    out = np.zeros(len(values) + 1, np.uint64)
+    upper = np.cumsum(values >> half, dtype=np.uint64)
+    lower = np.cumsum(values & low, dtype=np.uint64)
+    out[1:] = _folded((upper >> np.uint64(30)) + ((upper & np.uint64((1 << 30) - 1)) << half) + lower)
+    return out
 
 
 def _rolled(values: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
-    """Sum of values[i] * base ** (i - a) over a <= i < b, modulo 2 ** 64, for each (a, b)."""
+    """Sum of values[i] * base ** (i - a) over a <= i < b, modulo PRIME, for each (a, b)."""
+    base %= PRIME
     size = 1 << max(12, int(len(values)).bit_length())
-    up, down = _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return (total[b] - total[a]) * down[a]
+    up, down = _powers(base, size), _powers(pow(base, -1, PRIME), size)
+    total = _sums(_times(_folded(values), up[: len(values)]))
+    return _times(_folded(total[b] + (_P - total[a])), down[a])
+
+
+def _padded(data: np.ndarray) -> np.ndarray:
+    """For each place of ``data``, the eight bytes from there on as one number."""
+    whole = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", whole, strides=(1,))
 
 
 def word_hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    out = np.empty(len(words.start), np.uint64)
-    at = 0
-    while at < len(out):  # the arrays below span HASHED bytes, or one word
-        low = words.start[at]
-        stop = max(at + 1, int(np.searchsorted(words.end, low + HASHED, "right")))
-        a, b = words.start[at:stop] - low, words.end[at:stop] - low
-        values = words.data[low : words.end[stop - 1]].astype(np.uint64) + np.uint64(1)
-        out[at:stop] = mix(_rolled(values, a, b, _BASE) + (b - a).astype(np.uint64))
-        at = stop
+    """A 64-bit hash of each word's bytes: eight at a time, mixed after each, so that no pattern cancels out."""
+    size = words.end - words.start
+    out = mix(size.astype(np.uint64) + np.uint64(_BASE))
+    eight = _padded(words.data)
+    row, at = np.flatnonzero(size < LONG), 0
+    while len(row):
+        left = size[row] - at
+        row, left = row[left > 0], left[left > 0]
+        out[row] = mix(out[row] ^ (eight[words.start[row] + at] & _TAILS[np.minimum(left, 8)]))
+        at += 8
+    for i in np.flatnonzero(size >= LONG).tolist():
+        out[i] = int.from_bytes(blake2b(words.data[words.start[i] : words.end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def differ(words: Words, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of words i and j are not the same bytes."""
+    size = words.end - words.start
+    out = size[i] != size[j]
+    eight = _padded(words.data)
+    row, at = np.flatnonzero(~out & (i != j) & (size[i] < LONG)), 0
+    while len(row):
+        left = size[i[row]] - at
+        row, left = row[left > 0], left[left > 0]
+        a, b = eight[words.start[i[row]] + at], eight[words.start[j[row]] + at]
+        out[row] |= (a ^ b) & _TAILS[np.minimum(left, 8)] != 0
+        at += 8
+    for k in np.flatnonzero(~out & (i != j) & (size[i] >= LONG)).tolist():
+        out[k] = words.text(i[k]) != words.text(j[k])
     return out
 
 
 def window_hashes(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Rabin-Karp hash of each run of ``width`` words; the i-th starts at word i.
+    """Rabin-Karp hash, modulo PRIME, of each run of ``width`` words; the i-th starts at word i.
 
     Windows across the end of a text are among them: see ``window_starts``.
     """

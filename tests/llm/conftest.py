@@ -12,6 +12,12 @@ def prose(seed, n):
     return "".join(r.choice(WORDS) + str(r.randrange(40)) + r.choice([" ", " ", " ", " ", "\n"]) for _ in range(n))
 
 
+def thue_morse(n):
+    """Two words of n letters that every polynomial hash modulo a power of two takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def frame(spark, rows):
     """Documents with further columns whose names the operators use themselves."""
     return spark.createDataFrame([(i, t, True, "x", 1, "y", "z", "s", "r") for i, t in rows], SCHEMA)
