@@ -8,6 +8,7 @@ from areaweave.llm import (
     decontaminate,
     lines,
     neardup,
+    periodic,
     quality,
     rules,
     secrets,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_token_files": tokenfiles.op10_token_files,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -36,6 +38,7 @@ ORACLES = {
     "op2_substring_dedup": substrings.ORACLE,
     "op4_near_duplicates": neardup.ORACLE,
     "op8_line_dedup": lines.ORACLE,
+    "op11_periodic_runs": periodic.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
