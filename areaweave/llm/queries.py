@@ -11,6 +11,7 @@ from areaweave.llm import (
     periodic,
     quality,
     rules,
+    search,
     secrets,
     substrings,
     tokenfiles,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_token_files": tokenfiles.op10_token_files,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op13_ranked_search": search.op13_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -39,6 +41,7 @@ ORACLES = {
     "op4_near_duplicates": neardup.ORACLE,
     "op8_line_dedup": lines.ORACLE,
     "op11_periodic_runs": periodic.ORACLE,
+    "op13_ranked_search": search.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

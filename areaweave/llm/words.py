@@ -69,16 +69,21 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     """The words of every text; ``lower`` turns A-Z, and nothing else, into a-z."""
     data, offset = flat(texts)
     if lower:
-        data = _LOWER[data]
+        data = lowered(data)
     return split_bytes(data, offset)
 
 
-def split_bytes(data: np.ndarray, offset: np.ndarray) -> Words:
-    """The words of the texts that lie one after the other in ``data``."""
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z, and nothing else, turned into a-z."""
+    return _LOWER[data]
+
+
+def split_bytes(data: np.ndarray, offset: np.ndarray, between: np.ndarray = _SPACE) -> Words:
+    """The words of the texts that lie one after the other in ``data``; ``between`` has the bytes that part them."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(len(offset), np.int64))
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offset] = True
     begins, ends = inside.copy(), inside.copy()
