@@ -10,6 +10,7 @@ from areaweave.llm import (
     neardup,
     periodic,
     quality,
+    rtree,
     rules,
     search,
     secrets,
@@ -30,6 +31,7 @@ QUERIES = {
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_token_files": tokenfiles.op10_token_files,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_jaccard_join": rtree.op12_jaccard_join,
     "op13_ranked_search": search.op13_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
@@ -41,6 +43,7 @@ ORACLES = {
     "op4_near_duplicates": neardup.ORACLE,
     "op8_line_dedup": lines.ORACLE,
     "op11_periodic_runs": periodic.ORACLE,
+    "op12_jaccard_join": rtree.ORACLE,
     "op13_ranked_search": search.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
