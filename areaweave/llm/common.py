@@ -11,14 +11,29 @@ from areaweave.operators.scale import shared_folder
 
 #: A key is hot if it has more than one in so many rows, so there are at most so many hot keys.
 HOT_KEYS = 1000
+#: Bytes of a batch between Spark and Python.
+BATCH = 4 << 20
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """From now on batches between Spark and Python hold at most BATCH bytes, unless the session has its own limit.
+
+    An executor holds several batches for each of its tasks, on both sides, so Spark's default of
+    64 MB costs most of a small one.  Results do not depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's default
+        spark.conf.set(name, str(BATCH))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    limit_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, safe when executors are lost."""
+    limit_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

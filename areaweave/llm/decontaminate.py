@@ -11,17 +11,20 @@ of GRAM words that the text shares with an item of n words, so a window must hol
 of them; this loses nothing.
 
 The allowed edits grow with the item and the walk drifts with each of them, so fixed numbers of
-walks and tables hold the recall for short items only.  Items of more than WALKED words need no
-keys: the runs of words that a passage shares with them single out few of them, and each of
-these is compared exactly, in bit-parallel steps.
+walks and tables hold the recall for short items only.  Longer items are embedded in pieces of at most
+WALKED words: with n // EDIT_WORDS edits in all, some piece has no more than its own share of
+them, and it meets a key as an item of its size does.  Where a piece does, the whole item is compared
+exactly with the text around, in bit-parallel steps.
 
 An item of n words matches where it fits with at most n // EDIT_WORDS edited words.
-Benchmarks of any size are looked for in blocks of items of bounded size; each block is one
-pass over the documents, which are never shuffled.
+Items of fewer than GRAM words may have no edit and are looked for word by word.  Benchmarks of any
+size are looked for in blocks of items of bounded size, one after the other; each block is one pass over
+the documents, which are never shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,15 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaweave.llm import words as W
-from areaweave.llm.common import table
+from areaweave.llm.common import table, written
+from areaweave.operators.scale import shared_folder
 
 GRAM, EDIT_WORDS = 3, 6
 #: With these, windows of up to WALKED words at the largest allowed distance are found with a
-#: probability of 0.95 or more; longer items are compared without keys.
+#: probability of 0.95 or more; longer items are embedded in pieces.
 WALKS, TABLES, SAMPLES = 8, 6, 3
 WALKED = 36
-#: Words of the items of one block; about 70 bytes each in every task.
-BLOCK_WORDS = 400_000
+#: Bytes of the items of one block; about 15 times as many in every task.
+BLOCK_BYTES = 3 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,17 +143,17 @@ def fit_long(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, i
     return edits, stop - size, stop
 
 
-def _crowded(places: np.ndarray, n: int) -> np.ndarray:
-    """Indexes i at which as many sorted ``places`` of grams as a match of n words needs are near enough."""
-    need, reach = _need(n), n + allowed(n)
-    return np.flatnonzero(places[need - 1 :] - places[: max(0, len(places) - need + 1)] <= reach - GRAM)
-
-
 def _need(n: int) -> int:
     """Grams that an item of n words shares with every match."""
     return max(1, n - GRAM + 1 - GRAM * allowed(n))
 
 
+def _pieces(n: int) -> list[tuple[int, int]]:
+    """Start and stop of the pieces that an item of n words is embedded in."""
+    count = -(-n // WALKED)
+    return [(n * k // count, n * (k + 1) // count) for k in range(count)]
+
+
 class Items:
     """Items of one block, ready to be looked for."""
 
@@ -158,41 +162,40 @@ class Items:
         hashes = W.word_hashes(found)
         self.ids: list[int] = []
         self.words: list[np.ndarray] = []
+        #: The pieces: words, item, and place in the item; short items are one piece.
+        self._pieces: list[tuple[np.ndarray, int, int]] = []
         by_size: dict[int, list[int]] = defaultdict(list)
+        self._tiny: dict[int, dict[int, list[int]]] = {n: defaultdict(list) for n in range(1, GRAM)}
         for i, (a, b) in enumerate(zip(found.first.tolist(), found.first[1:].tolist(), strict=False)):
-            if b - a >= GRAM:
-                by_size[b - a].append(len(self.ids))
-                self.ids.append(ids[i])
-                self.words.append(hashes[a:b])
+            if b == a:
+                continue
+            item = len(self.ids)
+            self.ids.append(ids[i])
+            self.words.append(hashes[a:b])
+            if b - a < GRAM:
+                self._tiny[b - a][int(W.window_hashes(hashes[a:b], b - a, W.ROLL_A)[0])].append(item)
+                continue
+            for p, q in _pieces(b - a):
+                by_size[q - p].append(len(self._pieces))
+                self._pieces.append((hashes[a + p : a + q], item, p))
         self.sizes = sorted(by_size)
         grams, owner = [], []
-        long_grams, long_owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         self._by_key: dict[int, list[int]] = defaultdict(list)
         self._known: dict[int, np.ndarray] = {}
         for k, n in enumerate(self.sizes):
-            own = np.stack([self.words[i] for i in by_size[n]])
-            own_grams = [np.unique(W.window_hashes(w, GRAM, W.ROLL_A)) for w in own]
-            if n > WALKED:
-                long_grams += own_grams
-                long_owner += [np.full(len(g), i) for i, g in zip(by_size[n], own_grams, strict=True)]
-            else:
-                own_keys = keys(own)
-                self._known[n] = np.unique(own_keys)
-                for i, row in zip(by_size[n], own_keys, strict=True):
-                    for key in set(row.tolist()):
-                        self._by_key[key].append(i)
-            every = np.unique(np.concatenate(own_grams))
+            own = np.stack([self._pieces[i][0] for i in by_size[n]])
+            own_keys = keys(own)
+            self._known[n] = np.unique(own_keys)
+            for i, row in zip(by_size[n], own_keys, strict=True):
+                for key in set(row.tolist()):
+                    self._by_key[key].append(i)
+            every = np.unique(np.concatenate([W.window_hashes(w, GRAM, W.ROLL_A) for w in own]))
             grams.append(every)
             owner.append(np.full(len(every), k))
         gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         size = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         order = np.argsort(gram, kind="stable")
         self._gram, self._size = gram[order], size[order]
-        # Long items by gram.
-        gram, item = np.concatenate(long_grams), np.concatenate(long_owner)
-        order = np.lexsort((item, gram))
-        self._long_gram, self._long_item = gram[order], item[order]
-        self._length = np.array([len(w) for w in self.words], np.int64)
 
     def _starts(self, hits: np.ndarray, n: int, low: int, high: int) -> np.ndarray:
         """Starts of windows of n words that hold as many of the grams at ``hits`` as a match must."""
@@ -208,14 +211,44 @@ class Items:
 
     def search(self, found: W.Words, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """Text, item id, start and stop in words, and edits, of the best match of each item in a text."""
-        if not len(self._gram) or len(hashes) < GRAM:
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for n, items in self._tiny.items():
+            self._find(found, hashes, n, items, best)
+        # Of long items, the stretches of text around their pieces.
+        around: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
+        for n, (starts, texts) in self._windows(found, hashes).items():
+            for c in range(0, len(starts), 4096):
+                self._look(found, hashes, starts[c : c + 4096], texts[c : c + 4096], n, best, around)
+        for (t, item), stretches in around.items():
+            self._compare(hashes, sorted(stretches), t, item, int(found.first[t]), best)
+        for (t, item), (edits, start, stop) in best.items():
+            yield t, self.ids[item], start, stop, edits
+
+    def _find(self, found: W.Words, hashes: np.ndarray, n: int, items: dict[int, list[int]], best: dict) -> None:
+        """Items of n words, too few for a gram, where they stand first in a text."""
+        if not items or len(hashes) < n:
             return
+        known = np.sort(np.array(list(items), np.uint64))
+        rolled = W.window_hashes(hashes, n, W.ROLL_A)
+        which = np.minimum(np.searchsorted(known, rolled), len(known) - 1)
+        hit = np.flatnonzero(known[which] == rolled)
+        text = np.searchsorted(found.first, hit, "right") - 1
+        hit, text = hit[hit + n <= found.first[text + 1]], text[hit + n <= found.first[text + 1]]
+        _, first = np.unique(text * len(known) + which[hit], return_index=True)
+        for s, t in zip(hit[first].tolist(), text[first].tolist(), strict=True):
+            for item in items[int(rolled[s])]:
+                best.setdefault((t, item), (0, s - int(found.first[t]), s - int(found.first[t]) + n))
+
+    def _windows(self, found: W.Words, hashes: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each size of pieces, starts and texts of the windows that hold enough of their grams."""
+        if not len(self._gram) or len(hashes) < GRAM:
+            return {}
         rolled = W.window_hashes(hashes, GRAM, W.ROLL_A)
         at = np.searchsorted(self._gram, rolled)
         hit = np.flatnonzero(self._gram[np.minimum(at, len(self._gram) - 1)] == rolled)
         if not len(hit):
-            return
-        # A gram may belong to items of several sizes: one entry for each.
+            return {}
+        # A gram may belong to pieces of several sizes: one entry for each.
         low, high = at[hit], np.searchsorted(self._gram, rolled[hit], "right")
         place = np.repeat(hit, high - low)
         entry = np.arange(len(place)) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)
@@ -224,81 +257,28 @@ class Items:
         order = np.lexsort((place, text, size))
         group = size[order] * (len(found.first) + 1) + text[order]
         windows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for run in np.split(order, np.flatnonzero(np.diff(group)) + 1):
             n, t = self.sizes[size[run[0]]], int(text[run[0]])
-            a, b = int(found.first[t]), int(found.first[t + 1])
-            if len(run) < _need(n):
-                continue
-            if n > WALKED:
-                self._compare(hashes, rolled, np.unique(place[run]), n, t, a, b, best)
-            else:
-                starts = np.maximum(self._starts(np.unique(place[run]), n, a - allowed(n), b), a)
-                starts = np.unique(starts)
+            if len(run) >= _need(n):
+                a, b = int(found.first[t]), int(found.first[t + 1])
+                starts = np.unique(np.maximum(self._starts(np.unique(place[run]), n, a - allowed(n), b), a))
                 windows[n].append((starts, np.full(len(starts), t)))
-        for n, parts in windows.items():
-            starts, texts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            for c in range(0, len(starts), 4096):
-                self._look(found, hashes, starts[c : c + 4096], texts[c : c + 4096], n, best)
-        for (t, item), (edits, start, stop) in best.items():
-            yield t, self.ids[item], start, stop, edits
-
-    def _compare(
-        self, hashes: np.ndarray, rolled: np.ndarray, hits: np.ndarray, n: int, t: int, a: int, b: int, best: dict
-    ) -> None:
-        """Compare passages of text t, words a to b, with the items of n words whose grams crowd there.
-
-        ``hits`` are the places of grams of items of this size, in order.
-        """
-        need, reach = _need(n), n + allowed(n)
-        near = _crowded(hits, n)
-        if not len(near):
-            return
-        covered = np.zeros(len(hits) + 1, np.int64)
-        np.add.at(covered, near, 1)
-        np.add.at(covered, near + need, -1)
-        hits = hits[np.cumsum(covered[:-1]) > 0]
-        # Stretches that overlap by a match, so that what is held at once is bounded by the block.
-        at = 0
-        while at < len(hits):
-            stop = int(np.searchsorted(hits, hits[at] + 5 * reach))
-            for i, own in self._sharing(rolled, hits[at:stop], n):
-                self._compare_item(hashes, own, i, t, a, b, best)
-            at = len(hits) if stop == len(hits) else int(np.searchsorted(hits, hits[at] + 4 * reach))
-
-    def _sharing(self, rolled: np.ndarray, hits: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-        """The items of n words that have enough of the grams at these places, with their places."""
-        low, high = (np.searchsorted(self._long_gram, rolled[hits], side) for side in ("left", "right"))
-        place = np.repeat(hits, high - low)
-        entry = np.arange(len(place)) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)
-        item = self._long_item[entry]
-        fits = self._length[item] == n
-        place, item = place[fits], item[fits]
-        order = np.lexsort((place, item))
-        place, item = place[order], item[order]
-        own, first, count = np.unique(item, return_index=True, return_counts=True)
-        for k in np.flatnonzero(count >= _need(n)):
-            yield int(own[k]), place[first[k] : first[k] + count[k]]
-
-    def _compare_item(self, hashes: np.ndarray, places: np.ndarray, i: int, t: int, a: int, b: int, best: dict) -> None:
-        """Compare item i with the parts of text t, words a to b, where its grams crowd."""
-        n = len(self.words[i])
-        spots = _crowded(places, n)
-        if not len(spots):
-            return
-        # A match around a crowd lies in this stretch; overlapping stretches are one.
-        begins = np.maximum(places[spots + _need(n) - 1] + GRAM - n - allowed(n), a)
-        ends = np.minimum(places[spots] + n + allowed(n), b)
-        cuts = np.flatnonzero(begins[1:] > ends[:-1]) + 1
-        for p, q in zip(begins[[0, *cuts]].tolist(), ends[[*(cuts - 1), -1]].tolist(), strict=True):
-            done = fit_long(self.words[i], hashes[p:q], allowed(n))
-            if done and ((t, i) not in best or done[0] < best[(t, i)][0]):
-                best[(t, i)] = (done[0], done[1] + p - a, done[2] + p - a)
+        return {n: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for n, parts in windows.items()}
+
+    def _compare(self, hashes: np.ndarray, stretches: list[tuple[int, int]], t: int, item: int, a: int, best: dict) -> None:
+        """Compare a long item with these stretches of text t, which begins at word a; overlapping ones are one."""
+        begins, ends = (np.array(x) for x in zip(*stretches, strict=True))
+        cuts = np.flatnonzero(begins[1:] > np.maximum.accumulate(ends)[:-1]) + 1
+        ends = np.maximum.reduceat(ends, [0, *cuts])
+        for p, q in zip(begins[[0, *cuts]].tolist(), ends.tolist(), strict=True):
+            done = fit_long(self.words[item], hashes[p:q], allowed(len(self.words[item])))
+            if done and ((t, item) not in best or done[0] < best[(t, item)][0]):
+                best[(t, item)] = (done[0], done[1] + p - a, done[2] + p - a)
 
     def _look(
-        self, found: W.Words, hashes: np.ndarray, starts: np.ndarray, texts: np.ndarray, n: int, best: dict
+        self, found: W.Words, hashes: np.ndarray, starts: np.ndarray, texts: np.ndarray, n: int, best: dict, around: dict
     ) -> None:
-        """Check the windows of n words at these starts whose keys are those of items."""
+        """Check the windows of n words at these starts whose keys are those of pieces."""
         stops = found.first[texts + 1]
         inside = starts[:, None] + np.arange(n)
         windows = np.where(inside < stops[:, None], hashes[np.minimum(inside, len(hashes) - 1)], np.uint64(0))
@@ -309,12 +289,17 @@ class Items:
         for row, column in zip(*np.divmod(met, own_keys.shape[1]), strict=True):
             s, t, b = int(starts[row]), int(texts[row]), int(stops[row])
             a = int(found.first[t])
-            for item in self._by_key[int(own_keys[row, column])]:
+            for piece in self._by_key[int(own_keys[row, column])]:
+                own, item, offset = self._pieces[piece]
+                size = len(self.words[item])
+                if size > n:
+                    low, most = s - offset, allowed(size)
+                    around[t, item].add((max(a, low - most), min(b, low + size + most)))
+                    continue
                 old = best.get((t, item))
                 if (row, item) in seen or (old and (old[0] == 0 or old[1] <= s - a < old[2])):
                     continue
                 seen.add((row, item))
-                own = self.words[item]
                 if s + n <= b and np.array_equal(windows[row], own):
                     best[(t, item)] = (0, s - a, s - a + n)
                     continue
@@ -325,17 +310,14 @@ class Items:
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark's items, in blocks of bounded size."""
-    ids, texts, held = [], [], 0
-    for row in benchmark.select("item_id", "text").dropna().toLocalIterator():
-        ids.append(row["item_id"])
-        texts.append(row["text"])
-        held += len(row["text"].split())
-        if held >= BLOCK_WORDS:
-            yield Items(ids, texts)
-            ids, texts, held = [], [], 0
-    if ids:
-        yield Items(ids, texts)
+    """The benchmark's items, in blocks of bounded size, of which the driver holds one at a time."""
+    items = benchmark.select("item_id", "text").dropna()
+    size = items.agg(F.sum(F.octet_length("text") + 8)).head()[0] or 0
+    blocks = -(-size // BLOCK_BYTES)
+    for block in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
+        if part.num_rows:
+            yield Items(part.column("item_id").to_pylist(), part.column("text").to_pylist())
 
 
 _MATCH = "doc_id BIGINT, item_id BIGINT, start BIGINT, stop BIGINT, edits INT"
@@ -344,9 +326,9 @@ _MATCH = "doc_id BIGINT, item_id BIGINT, start BIGINT, stop BIGINT, edits INT"
 def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, stop (words, stop exclusive) and edits: the best match of each pair.
 
-    ``docs`` has doc_id and text, ``benchmark`` item_id and text; null texts match nothing,
-    nor do items of fewer than GRAM words; A-Z is lowered; other columns do not count;
-    repeated rows of either give one row a pair.
+    ``docs`` has doc_id and text, ``benchmark`` item_id and text; null texts and items without
+    words match nothing; A-Z is lowered; other columns do not count; repeated rows of either give
+    one row a pair, and so do rows that share an id but not the text.
     """
 
     def pass_over(items: Items) -> DataFrame:
@@ -362,32 +344,38 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return docs.select("doc_id", "text").mapInArrow(run, _MATCH)
 
-    parts = [pass_over(items) for items in _blocks(benchmark)]
-    if not parts:
-        return docs.sparkSession.createDataFrame([], _MATCH)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionAll(part)
+    spark = docs.sparkSession
+    every, path = spark.createDataFrame([], _MATCH), f"{shared_folder(spark)}/llm-matches-{uuid.uuid4().hex}"
+    for items in _blocks(benchmark):  # each block's matches go to the shared folder before the next block
+        pass_over(items).write.mode("append").parquet(path)
+        every = spark.read.schema(_MATCH).parquet(path)
     best = every.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start", "stop")).alias("m"))
     return best.select("doc_id", "item_id", "m.start", "m.stop", "m.edits")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the rows whose text holds an item (null texts stay)."""
+    """``docs``, all columns, without the rows whose text holds an item (null texts stay).
 
-    def keep(items: Items):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in W.slices(batches):
+    Only the texts go to Python, and one flag each comes back.
+    """
+
+    def clean(items: Items):
+        @F.arrow_udf("boolean")
+        def flags(texts: pa.Array) -> pa.Array:
+            out = np.ones(len(texts), bool)
+            done = 0
+            for batch in W.slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
                 found = W.split(batch.column("text"), lower=True)
-                clean = np.ones(batch.num_rows, bool)
-                clean[[row[0] for row in items.search(found, W.word_hashes(found))]] = False
-                if clean.any():
-                    yield batch.filter(pa.array(clean))
+                out[[done + row[0] for row in items.search(found, W.word_hashes(found))]] = False
+                done += batch.num_rows
+            return pa.array(out)
 
-        return run
+        return flags(F.coalesce("text", F.lit("")))
 
+    first = True
     for items in _blocks(benchmark):
-        docs = docs.mapInArrow(keep(items), docs.schema)
+        docs = (docs if first else written(docs)).filter(clean(items))
+        first = False
     return docs
 
 

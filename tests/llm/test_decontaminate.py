@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from areaweave.llm import decontaminate as D
-from tests.llm.conftest import frame, prose
+from tests.llm.conftest import frame, prose, thue_morse
 
 ITEMS = [(k, " ".join(prose(1000 + k, 12 + 3 * k).split()).capitalize()) for k in range(15)]
 
@@ -52,7 +52,7 @@ def test_fit_is_the_edit_distance_to_the_best_part():
 
 
 def test_awkward_rows_and_blocks(spark, awkward, monkeypatch):
-    monkeypatch.setattr(D, "BLOCK_WORDS", 30)  # several passes
+    monkeypatch.setattr(D, "BLOCK_BYTES", 200)  # several passes
     rows, df = awkward
     odd = ITEMS + [(90, None), (91, ""), (92, "two words"), (None, "no id at all here"), (93, " ".join(rows[4][1].split()[3:15]))]
     found = D.find_matches(df, items(spark, odd)).collect()
@@ -96,6 +96,21 @@ def test_recall_does_not_fall_with_length(n, how):
     assert len({t for t, *_ in rows}) >= (0.95 if n <= D.WALKED else 1) * count
 
 
+def test_items_below_three_words_are_found_as_they_stand():
+    block = D.Items([1, 2, 3, 4], ["solo", "Two words", "", "words"])
+    texts = ["one two words and two words", "a solo", "two", "words two x", "two\nWORDS"]
+    found = D.W.split(D.pa.array(texts, D.pa.large_string()), lower=True)
+    got = sorted(block.search(found, D.W.word_hashes(found)))
+    assert got == [(0, 2, 1, 3, 0), (0, 4, 2, 3, 0), (1, 1, 1, 2, 0), (3, 4, 0, 1, 0), (4, 2, 0, 2, 0), (4, 4, 1, 2, 0)]
+
+
+def test_words_that_weak_hashes_confuse():
+    a, b = thue_morse(1024)
+    block = D.Items([1], [f"x {a} y z"])
+    found = D.W.split(D.pa.array([f"x {b} y z", f"x {a} y z"], D.pa.large_string()), lower=True)
+    assert [row[0] for row in block.search(found, D.W.word_hashes(found))] == [1]
+
+
 def test_fit_long_agrees_with_fit():
     r = np.random.default_rng(3)
     for _ in range(300):
