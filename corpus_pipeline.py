@@ -19,11 +19,16 @@ def _names(columns: list[str]) -> list[str]:
     return [f"`{c}`" for c in columns]
 
 
+def _own(columns: list[str], rest: str) -> list[Column]:
+    """The columns of a table of which all but doc_id and text are fields of ``rest``."""
+    return [F.col(c) if c in ("doc_id", "text") else F.col(rest).getField(c).alias(c) for c in columns]
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not take for the lowest grade."""
-    packed = docs.select("doc_id", "text", F.struct(*_names(docs.columns)).alias("_row"))
-    judged = quality.select_quality(packed, table(spark, sf_dir, "labels"))
-    return judged.filter("kept").select("_row.*")
+    rest = [F.col(c) for c in _names(docs.columns) if c not in ("`doc_id`", "`text`")] or [F.lit(0)]
+    judged = quality.select_quality(docs.select("doc_id", "text", F.struct(*rest).alias("_rest")), table(spark, sf_dir, "labels"))
+    return judged.filter("kept").select(*_own(docs.columns, "_rest"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +78,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
