@@ -19,6 +19,8 @@ Only built-in functions; texts are read once and never shuffled.
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,27 +48,42 @@ KINDS = ["assign", "access", "hex", "random"]
 _SPANS = "array<struct<start:int,kind:int,stop:int>>"
 
 
+def _before(values: str, op) -> Column:
+    """For each number of the array column ``values``, ``op`` over all before it, starting from 0.
+
+    Arrays grow by copying, so numbers are taken in blocks of about the square root of their count.
+    """
+    block = F.ceil(F.sqrt(F.size(values).cast("double"))).cast("int")
+    zero, none = F.lit(0), F.array().cast("array<int>")
+
+    def grown(numbers, of=lambda x: x):
+        first = F.struct(zero.alias("all"), none.alias("before"))
+        return F.aggregate(
+            numbers,
+            first,
+            lambda s, x: F.struct(op(s["all"], of(x)).alias("all"), F.concat(s["before"], F.array(s["all"])).alias("before")),
+        )
+
+    own = F.transform(F.sequence(zero, block - 1), lambda k: grown(F.slice(values, k * block + 1, block)))
+    heads = grown(own, lambda s: s["all"])["before"]
+    each = F.zip_with(own, heads, lambda s, head: F.transform(s["before"], lambda x: op(head, x)))
+    return F.when(F.size(values) > 0, F.flatten(each)).otherwise(none)
+
+
 def _with_places(df: DataFrame, name: str, pattern: str) -> DataFrame:
     """Adds ``name``: start and string of all matches, leftmost, not overlapping, in code points."""
     value = F.lit(pattern)
     hit = F.rlike("text", value)
     df = compute_once(
         df,
-        _pieces=F.when(hit, F.transform(F.split("text", value, -1), lambda x: F.length(x))),
-        _found=F.when(hit, F.regexp_extract_all("text", value, 0)),
+        _pieces=F.when(hit, F.transform(F.split("text", value, -1), lambda x: F.length(x))).otherwise(F.array().cast("array<int>")),
+        _found=F.when(hit, F.regexp_extract_all("text", value, 0)).otherwise(F.array().cast("array<string>")),
     )
-    zero = F.lit(0)
-    none = F.array().cast("array<struct<start:int,value:string>>")
-
-    def step(state, i):
-        begin = state["at"] + F.get("_pieces", i)
-        match = F.get("_found", i)
-        one = F.struct(begin.alias("start"), match.alias("value"))
-        return F.struct((begin + F.length(match)).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
-
-    first = F.struct(zero.alias("at"), none.alias("out"))
-    each = F.aggregate(F.sequence(zero, F.size("_found") - 1), first, step)["out"]
-    return compute_once(df, **{name: F.when(F.size("_found") > 0, each).otherwise(none)}).drop("_pieces", "_found")
+    # A match begins after the pieces and the matches before it.
+    df = compute_once(df, _steps=F.zip_with("_found", "_pieces", lambda m, p: F.coalesce(F.length(m), F.lit(0)) + p))
+    df = compute_once(df, _at=_before("_steps", lambda a, b: a + b))
+    each = F.transform("_found", lambda m, i: F.struct((F.get("_at", i) + F.get("_pieces", i)).alias("start"), m.alias("value")))
+    return compute_once(df, **{name: each}).drop("_pieces", "_found", "_steps", "_at")
 
 
 def _spans(places: str, kind: str, keep=None) -> Column:
@@ -83,8 +100,9 @@ def _spans(places: str, kind: str, keep=None) -> Column:
 
 
 def _below(z: Column) -> Column:
-    """Normal distribution function, to three digits."""
-    return 1 / (1 + F.exp(-z * (1.5976 + 0.070566 * z * z)))
+    """Normal distribution function: to three digits, and below -2.5 to four hundredths of its own size."""
+    tail = F.exp(-z * z / 2) / (-z * (2 * pi) ** 0.5) * (1 - 1 / (z * z) + 3 / (z * z * z * z) - 15 / (z * z * z * z * z * z))
+    return F.when(z < -2.5, tail).otherwise(1 / (1 + F.exp(-z * (1.5976 + 0.070566 * z * z))))
 
 
 def _tested(value: Column) -> Column:
@@ -159,14 +177,25 @@ def find_secrets(docs: DataFrame, rate: float = FALSE_RATE) -> DataFrame:
     base = F.concat(_spans("_assign", "assign", long_value), _spans("_access", "access"), _spans("_hex", "hex"))
     df = compute_once(df.drop("text"), base=F.array_sort(base))
     letters = lambda p: p["value"].rlike("[A-Za-z]") & (F.length(F.rtrim(p["value"], F.lit("="))) >= 16)
-    outside = lambda p: ~F.exists(
-        "base", lambda b: (b["start"] < p["start"] + F.length(p["value"])) & (b["stop"] > p["start"])
+    df = compute_once(df, _maybe=F.filter("_maybe", letters))
+    # Candidates and base spans in one order; candidates (kind -1) never overlap each other.
+    mixed = F.transform(
+        "_maybe",
+        lambda p: F.struct(p["start"].alias("start"), F.lit(-1).alias("kind"), (p["start"] + F.length(p["value"])).alias("stop"), p["value"].alias("value")),
     )
+    based = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["stop"].alias("stop"), F.lit("").alias("value")))
+    df = compute_once(df, _mixed=F.array_sort(F.concat(based, mixed)))
+    df = compute_once(df, _stops=F.transform("_mixed", lambda s: F.when(s["kind"] >= 0, s["stop"]).otherwise(F.lit(0))))
+    df = compute_once(df, _reach=_before("_stops", F.greatest))
+
+    def outside(s, i):
+        """Not a base span, none before reaches into it, and the next one begins after it (one at its own start follows it)."""
+        after = F.get("_mixed", i + 1)
+        return (s["kind"] < 0) & (F.get("_reach", i) <= s["start"]) & F.coalesce(after["start"] >= s["stop"], F.lit(True))
+
     maybe = F.transform(
-        F.filter("_maybe", lambda p: letters(p) & outside(p)),
-        lambda p: F.struct(
-            p["start"].alias("start"), (p["start"] + F.length(p["value"])).alias("stop"), _tested(p["value"]).alias("test")
-        ),
+        F.filter("_mixed", outside),
+        lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), _tested(s["value"]).alias("test")),
     )
     found = written(df.select("doc_id", "base", maybe.alias("candidates")))
     cut = _thresholds(found, rate)
