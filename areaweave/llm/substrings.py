@@ -277,11 +277,13 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = B
         F.hash("text").alias("_copy"),
     )
     blocks = rows.select("_id", "_copy", "text").mapInArrow(_hashed(width, buckets), _BLOCKS)
-    marks = blocks.groupBy("bucket").applyInArrow(_later(buckets), _MARKS)
+    # As many partitions as buckets: a task's share does not grow with the table.
+    marks = blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_later(buckets), _MARKS)
     dealt = rows.withColumn("part", _part_column(buckets))
     return (
-        dealt.groupBy("part")
-        .cogroup(marks.groupBy("part"))
+        dealt.repartition(buckets, "part")
+        .groupBy("part")
+        .cogroup(marks.repartition(buckets, "part").groupBy("part"))
         .applyInArrow(
             _removed(width),
             "doc_id BIGINT, kept_text STRING, n_words BIGINT, n_removed BIGINT, "
