@@ -26,7 +26,8 @@ from areaweave.llm.common import labelled, table, written
 #: Labelled documents of either kind from which lexicon and weights are learned.
 SAMPLE = 1500
 #: Toxic documents of the sample that must hold an entry, near copies counted once, as a number
-#: and as a share of all; the least share of toxic ones among its documents; the most entries.
+#: and as a share of all; the least share of toxic ones among its documents; the most entries, most
+#: frequent first, which bounds the lexicon that every task gets.
 SUPPORT, SHARE, PURITY, ENTRIES = 5, 0.01, 0.95, 5000
 #: Lengths of beginnings of words that may become entries.
 STEMS = range(4, 9)
@@ -140,7 +141,8 @@ def learn_entries(sample: DataFrame) -> list[str]:
             ),
         )
     )
-    terms = split.select("grade", "origin", F.explode(F.array_distinct(F.concat(long, stems))).alias("term"))
+    whole = F.filter("words", lambda w: w != "")
+    terms = split.select("grade", "origin", F.explode(F.array_distinct(F.concat(whole, stems))).alias("term"))
     often = (
         terms.filter("grade = 1")
         .groupBy("term", "origin")
