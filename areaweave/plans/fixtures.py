@@ -388,3 +388,50 @@ def metric_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("srid").alias("target_srid"),
     )
     return with_geom(keyed, g.polygon(f"array({ring})", "srid"), "lga_id", "layer", "element_type", "osmid", "target_srid")
+
+
+def _open_ring_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier r: m, the open ways of its first ring, and i, one row a way, those of the second ring included."""
+    sized = (
+        table(spark, sf_dir, "supplier")
+        .select(F.col("s_suppkey").cast("bigint").alias("r"))
+        .withColumn("m", F.expr("CASE WHEN (3 + r % 38) % 7 = 0 THEN 4 + r % 38 ELSE 3 + r % 38 END"))
+        .withColumn("two", F.expr("r % 2 = 0 OR r % 11 = 6"))
+    )
+    return sized.withColumn("i", F.expr("explode(sequence(0L, m - 1 + IF(two, 2, 0)))"))
+
+
+def open_ring_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of rings in up to 40 open ways, shuffled; by turns one is absent."""
+    base = _open_ring_base(spark, sf_dir).where("NOT (r % 11 = 4 AND i = 1)")
+    return base.selectExpr(
+        "r AS relation_id", "CAST(CASE WHEN i < m THEN (i * 7 + r) % m ELSE i END AS INT) AS pos", "r * 100 + i AS way_id", "'outer' AS role"
+    )
+
+
+def open_ring_way_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their node references: two ends with a node between them, a third of the ways drawn backwards.
+
+    By turns the ring touches itself at a node, or the second ring lacks its middle nodes and is flat.
+    """
+    fork = "CASE WHEN r % 11 = 5 AND {0} = m div 2 THEN 0 ELSE {0} END"
+    ends = f"array({fork.format('i')}, 500 + i, {fork.format('(i + 1) % m')})"
+    drawn = f"CASE WHEN (r + i) % 3 = 0 THEN reverse({ends}) ELSE {ends} END"
+    second = "CASE WHEN r % 11 = 6 THEN array(900L, 901L) ELSE array(900L, 902 + i - m, 901L) END"
+    refs = _open_ring_base(spark, sf_dir).withColumn("refs", F.expr(f"CASE WHEN i < m THEN {drawn} ELSE {second} END"))
+    return refs.select(
+        F.expr("r * 100 + i").alias("way_id"), "r", F.posexplode("refs").alias("pos", "n")
+    ).select("way_id", "pos", F.expr("r * 1000 + n").alias("node_id"))
+
+
+def open_ring_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of those nodes, in millidegrees from a corner of each supplier's own."""
+    numbered = (
+        _open_ring_base(spark, sf_dir)
+        .select("r", "m")
+        .distinct()
+        .withColumn("n", F.expr("explode(concat(sequence(0L, m - 1), sequence(500L, 499 + m), sequence(900L, 903L)))"))
+    )
+    x = "2500 + (r * 7919) % 12400 + CASE WHEN n < 500 THEN (n * 37) % 50 WHEN n < 900 THEN n - 440 ELSE 10 * (n - 900) END"
+    y = "4000 + (r * 4729) % 9900 + CASE WHEN n < 500 THEN (n * n) % 53 WHEN n < 900 THEN n - 500 ELSE (n - 900) * (n - 900) END"
+    return numbered.selectExpr("r * 1000 + n AS node_id", f"({x}) / 1000D AS x", f"({y}) / 1000D AS y")

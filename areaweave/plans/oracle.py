@@ -773,6 +773,26 @@ ORACLES["relation_assembly"] = (
     "WHEN s_suppkey % 5 = 2 THEN 'member_not_closed' END AS reason FROM supplier)"
 )
 
+ORACLES["ring_stitching"] = (
+    "WITH base AS (SELECT r, CASE WHEN (3 + r % 38) % 7 = 0 THEN 4 + r % 38 ELSE 3 + r % 38 END AS m, r % 2 = 0 OR r % 11 = 6 AS two, "
+    "2500 + (r * 7919) % 12400 AS bx, 4000 + (r * 4729) % 9900 AS bz FROM (SELECT s_suppkey::BIGINT AS r FROM supplier)), "
+    "first AS (SELECT *, (SELECT i FROM range(0, m) t(i) WHERE (i * 7 + r) % m = 0) AS i0 FROM base), "
+    # Where the first way is drawn backwards, the ring runs backwards from that way's last node.
+    "turned AS (SELECT *, (r + i0) % 3 = 0 AS back FROM first), "
+    "walk AS (SELECT r, bx, bz, CASE WHEN back THEN [(i0 - s + 1 + m) % m, 500 + (i0 - s + m) % m] "
+    "ELSE [(i0 + s) % m, 500 + (i0 + s) % m] END AS pair, s FROM turned, range(0, 41) t(s) WHERE s < m), "
+    "stops AS (SELECT r, bx, bz, 2 * s + k AS step, pair[k + 1] AS n FROM walk, range(0, 2) u(k) UNION ALL "
+    "SELECT r, bx, bz, 1000, CASE WHEN back THEN (i0 + 1) % m ELSE i0 END FROM turned), "
+    "rings AS (SELECT r, string_agg((bx + CASE WHEN n < 500 THEN (n * 37) % 50 ELSE n - 440 END) || ' ' || "
+    "(bz + CASE WHEN n < 500 THEN (n * n) % 53 ELSE n - 500 END), ',' ORDER BY step) AS ring FROM stops GROUP BY r), "
+    "judged AS (SELECT r, two, bx, bz, CASE WHEN r % 11 = 4 THEN 'member_not_closed' WHEN r % 11 = 5 THEN 'ring_branches' "
+    "WHEN r % 11 = 6 THEN 'ring_too_short' END AS reason FROM base) "
+    "SELECT r AS relation_id, 0::INT AS part, ring, NULL AS reason FROM judged JOIN rings USING (r) WHERE reason IS NULL UNION ALL "
+    "SELECT r, 1, array_to_string(list_transform([[0, 0], [20, 4], [10, 1], [30, 9], [0, 0]], "
+    "lambda v: (bx + v[1]) || ' ' || (bz + v[2])), ','), NULL FROM judged WHERE reason IS NULL AND two UNION ALL "
+    "SELECT r, NULL, NULL, reason FROM judged WHERE reason IS NOT NULL"
+)
+
 ORACLES["way_rejects"] = sql(
     "wn",
     "SELECT way_id, CASE WHEN way_id % 11 = 3 THEN 'no_nodes' ELSE 'node_missing' END AS reason "

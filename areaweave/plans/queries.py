@@ -623,6 +623,17 @@ def relation_assembly(spark, d):
     return good.unionByName(rejects.drop("way_id"), allowMissingColumns=True)
 
 
+@query
+def ring_stitching(spark, d):
+    """Rings put together from open ways, vertex by vertex, and the relations that cannot be."""
+    paths = el.way_paths(fx.open_ring_way_nodes(spark, d), fx.open_ring_nodes(spark, d))
+    built, rejects = el.assemble_relations(fx.relations(spark, d), fx.open_ring_members(spark, d), paths)
+    parts = built.select(F.col("osmid").alias("relation_id"), F.posexplode("geom.parts").alias("part", "rings"))
+    spot = lambda v: F.concat_ws(" ", *[F.round(v[c] * 1000).cast("bigint").cast("string") for c in "xy"])
+    drawn = parts.select("relation_id", "part", F.array_join(F.transform(F.get("rings", F.lit(0)), spot), ",").alias("ring"))
+    return drawn.unionByName(rejects.drop("way_id"), allowMissingColumns=True)
+
+
 @query
 def way_rejects(spark, d):
     ways, nodes = fx.ways(spark, d), fx.nodes(spark, d)

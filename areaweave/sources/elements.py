@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from areaweave.functions import geometry as g
 from areaweave.operators.rules import any_layer, split_rules, tag_reader
-from areaweave.operators.scale import compute_once
+from areaweave.operators.scale import compute_once, through_table
 from areaweave.operators.spatial import within_extent
 from areaweave.settings import DEFAULT_RULES, FIXED_POINT
+from areaweave.sources import rings
 
 # Height of the bands in which elements are stored.
 ROW_DEGREES = 0.25
@@ -82,10 +83,10 @@ def assemble_points(nodes: DataFrame) -> DataFrame:
 
 
 def way_paths(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Vertex list of every way: (way_id, path, missing).
+    """Vertex list of every way: (way_id, path, missing, first_node, last_node).
 
     ``way_nodes`` is (way_id, pos, node_id), ``nodes`` is (node_id, x, y).  Nodes
-    absent from the extract are counted and left out.  One way becomes one row by
+    absent from the extract are counted and left out of the path.  One way becomes one row by
     nature; everything else is an equi-join on the node id, whose skew adaptive
     execution splits.
     """
@@ -94,6 +95,8 @@ def way_paths(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed.groupBy("way_id").agg(
         F.transform(F.array_sort(F.collect_list(stop)), lambda s: s["v"]).alias("path"),
         F.sum(F.when(F.col("x").isNull(), 1).otherwise(0)).cast("bigint").alias("missing"),
+        F.min_by("node_id", "pos").alias("first_node"),
+        F.max_by("node_id", "pos").alias("last_node"),
     )
 
 
@@ -151,33 +154,43 @@ def assemble_relations(relations: DataFrame, members: DataFrame, paths: DataFram
 
     ``relations`` is (relation_id, tags), ``members`` is (relation_id, pos, way_id,
     role) and ``paths`` comes from ``way_paths``.  A member with a blank role or none
-    is an outer one; every outer member is a shell, and an inner member is a hole of the
-    smallest shell that contains it.
+    is an outer one.  Open members of one role that meet end to end are one ring, which stands where
+    its first member does (``rings.stitch``; where ``paths`` lacks the end nodes, ends meet at equal
+    vertices).  Every outer ring is a shell, and an inner one a hole of the smallest shell that contains it.
 
     ``rejects`` has (relation_id, way_id, reason).  Without way_id the whole relation is
-    rejected: no_members, member_missing, member_not_closed, no_outer.  With it the
-    relation stands and that member is left out: unknown_role, hole_without_shell.
+    rejected: no_members, member_missing, no_outer, member_not_closed (an open end),
+    ring_branches (more than two ends at a node), ring_too_short.  With it the relation
+    stands and that member, or the ring it begins, is left out: unknown_role, hole_without_shell.
     """
     role = F.coalesce(F.nullif(F.trim(F.lower("role")), F.lit("")), F.lit("outer"))
-    placed = members.join(paths.select("way_id", "path", "missing"), "way_id", "left").withColumn("role", role)
+    if "first_node" not in paths.columns:
+        paths = paths.withColumn("first_node", F.get("path", F.lit(0))).withColumn("last_node", F.element_at("path", -1))
+    known_paths = paths.select("way_id", "path", "missing", "first_node", "last_node")
+    placed = through_table(members.join(known_paths, "way_id", "left").withColumn("role", role))
     known = F.col("role").isin("outer", "inner")
     whole = F.col("path").isNotNull() & (F.coalesce("missing", F.lit(0)) == 0)
     ring = placed.groupBy("relation_id").agg(
         F.bool_and(~known | whole).alias("all_found"),
-        F.bool_and(~known | F.coalesce(F.expr(_CLOSED_PATH), F.lit(False))).alias("all_closed"),
         F.bool_or(F.col("role") == "outer").alias("any_outer"),
     )
     reason = (
         F.when(F.col("all_found").isNull(), "no_members")
         .when(~F.col("all_found"), "member_missing")
-        .when(~F.col("all_closed"), "member_not_closed")
         .when(~F.col("any_outer"), "no_outer")
     )
-    judged = relations.join(ring, "relation_id", "left").withColumn("reason", reason)
+    told = relations.join(ring, "relation_id", "left").withColumn("reason", reason)
+    closed = F.coalesce(F.expr(_CLOSED_PATH), F.lit(False))
+    usable = placed.where(known).join(told.where(F.col("reason").isNull()).select("relation_id"), "relation_id", "left_semi")
+    stitched, unfit = rings.stitch(usable.where(~closed))
+    judged = told.join(unfit.withColumnRenamed("reason", "_unfit"), "relation_id", "left")
+    judged = through_table(judged.withColumn("reason", F.coalesce("reason", "_unfit")).select("relation_id", "tags", "reason"))
     sound = judged.where(F.col("reason").isNull()).select("relation_id", "tags")
-    rings = placed.join(sound.select("relation_id"), "relation_id", "left_semi")
-    shells = rings.where("role = 'outer'").select("relation_id", "pos", "path")
-    holes = _owned_holes(shells, rings.where("role = 'inner'").select("relation_id", "pos", "way_id", "path"))
+    columns = ["relation_id", "role", "pos", "way_id", "path"]
+    whole_rings = usable.where(closed).select(*columns).unionByName(stitched.select(*columns))
+    whole_rings = whole_rings.join(sound.select("relation_id"), "relation_id", "left_semi")
+    shells = whole_rings.where("role = 'outer'").select("relation_id", "pos", "path")
+    holes = _owned_holes(shells, whole_rings.where("role = 'inner'").select("relation_id", "pos", "way_id", "path"))
 
     # A part is its shell (pos null, so first) and its holes in order.
     of_part = shells.select("relation_id", F.col("pos").alias("shell"), F.lit(None).cast("int").alias("pos"), "path")
