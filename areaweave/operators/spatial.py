@@ -36,6 +36,11 @@ _POINT_LEVEL = -1
 # Bounding box columns an element table may bring along (see write_elements).
 BOX_COLUMNS = ("box_x0", "box_y0", "box_x1", "box_y1")
 
+# Cells a block has on a side, by level: a point needs its own cell, another feature two by two.
+_SPANS = {_POINT_LEVEL: 1, 0: 2}
+# Children of a box of the index on each axis, and the round before which boxes are spread.
+_FAN, _SPREAD_ROUND = 4, 2
+
 # Rough size when broadcast of a row without its arrays, of an edge, of a flip, of a part's anchor.
 _ROW_BYTES, _EDGE_BYTES, _FLIP_BYTES, _ANCHOR_BYTES = 200, 48, 16, 32
 _BYTES_PER_TASK = 16 * 1024 * 1024
@@ -66,12 +71,13 @@ def _with_grid_key(features: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def _boundary_edges(geom: str) -> str:
-    """Closed rings as fixed-point edges, each with the start of the edge before it."""
+    """Closed rings as fixed-point edges, each with the start of the edge before and the end of the one after it."""
     real = f"filter({g.segments(g.fixed_path(g.closed('ring_')))}, z_ -> z_.x1 <> z_.x2 OR z_.y1 <> z_.y2)"
     before = "get(es_, CASE WHEN n_ = 0 THEN size(es_) - 1 ELSE n_ - 1 END)"
+    after = "get(es_, CASE WHEN n_ = size(es_) - 1 THEN 0 ELSE n_ + 1 END)"
     linked = (
         "transform(es_, (e_, n_) -> named_struct('x1', e_.x1, 'y1', e_.y1, 'x2', e_.x2, 'y2', e_.y2, "
-        f"'px', {before}.x1, 'py', {before}.y1))"
+        f"'px', {before}.x1, 'py', {before}.y1, 'nx', {after}.x2, 'ny', {after}.y2))"
     )
     return f"flatten(transform({g.rings(geom)}, ring_ -> {g.let('es_', real, linked)}))"
 
@@ -80,20 +86,15 @@ _PLAIN = "transform({}, e_ -> named_struct('x1', e_.x1, 'y1', e_.y1, 'x2', e_.x2
 
 
 def prepare_boundaries(boundaries: DataFrame) -> DataFrame:
-    """Adds fixed-point box, edges and one anchor vertex per part."""
+    """Adds an identity, fixed-point box, edges and one anchor vertex per part."""
     return compute_once(
-        boundaries.where(g.usable("geom")),
+        boundaries.where(g.usable("geom")).withColumn("_bid", F.xxhash64(*boundaries.columns)),
         _edges=_boundary_edges("geom"),
         _anchors=g.part_anchors("geom"),
         _bbox=g.fixed_bounds("geom"),
     ).drop("geom")
 
 
-def _levels(sizes: list[int]) -> list[tuple[int, int, int]]:
-    """(level, cell side, cells per block side); points need no wider block."""
-    return [(_POINT_LEVEL, sizes[0], 1)] + [(i, size, 2) for i, size in enumerate(sizes)]
-
-
 def _cell_range(axis: str, size: str, span: str) -> tuple[str, str]:
     """First and last cell whose block reaches the boundary's box."""
     return (
@@ -104,29 +105,34 @@ def _cell_range(axis: str, size: str, span: str) -> tuple[str, str]:
 
 @dataclass(frozen=True)
 class _Measured:
-    """Upper bounds in bytes of the block index and of the boundaries, and their common box."""
+    """Upper bound in bytes of the block index, rounds that building it takes, and the boundaries' common box."""
 
     index_bytes: int
-    whole_bytes: int
+    rounds: int
     extent: tuple[int, int, int, int] | None
 
 
-def _measure(prepared: DataFrame, sizes: list[int]) -> _Measured:
-    counts = []
-    for _, size, span in _levels(sizes):
+def _measure(prepared: DataFrame, size: int) -> _Measured:
+    counts, widest = [], []
+    for span in _SPANS.values():
         (x0, x1), (y0, y1) = (_cell_range(axis, f"{size}L", f"{span}L") for axis in "xy")
-        counts.append(f"({x1} - ({x0}) + 1D) * ({y1} - ({y0}) + 1D)")
+        across, up = f"({x1} - ({x0}) + 1D)", f"({y1} - ({y0}) + 1D)"
+        counts.append(f"{across} * {up}")
+        widest += [across, up]
     # A block has at most a flip for each edge, and repeats all anchors.
     row = f"({_ROW_BYTES} + {_EDGE_BYTES + _FLIP_BYTES} * size(_edges) + {_ANCHOR_BYTES} * size(_anchors))"
-    blocks, whole, *extent = prepared.selectExpr(
+    blocks, cells, *extent = prepared.selectExpr(
         f"coalesce(sum({row} * ({' + '.join(counts)})), 0D)",
-        f"coalesce(sum({row}), 0)",
+        f"coalesce(max(greatest({', '.join(widest)})), 1D)",
         "min(_bbox.x0)",
         "min(_bbox.y0)",
         "max(_bbox.x1)",
         "max(_bbox.y1)",
     ).head()
-    return _Measured(int(blocks), int(whole), None if extent[0] is None else tuple(extent))
+    rounds = 0
+    while _FAN**rounds < cells:
+        rounds += 1
+    return _Measured(int(blocks), rounds, None if extent[0] is None else tuple(extent))
 
 
 def within_extent(features: DataFrame, *boxes: tuple[int, int, int, int] | None) -> DataFrame:
@@ -145,62 +151,95 @@ def _scan_boxes(prepared: DataFrame, features: DataFrame, extent: tuple | None)
     return few if 0 < len(few) <= _SCAN_BOXES else [extent]
 
 
-def _block_index(prepared: DataFrame, sizes: list[int]) -> DataFrame:
-    """One row per boundary and block it reaches, per level.
+def _roots(prepared: DataFrame, size: int) -> DataFrame:
+    """One tree for each boundary and kind of block: a square of cells around the boundary, with all its edges."""
+    kinds = ", ".join(f"named_struct('level', {level}, 'span', {span}L)" for level, span in _SPANS.items())
+    (x0, x1), (y0, y1) = (_cell_range(axis, f"{size}L", "_kind.span") for axis in "xy")
+    widest = f"greatest({x1} - ({x0}), {y1} - ({y0})) + 1"
+    trees = prepared.withColumn("_kind", F.expr(f"explode(array({kinds}))"))
+    return compute_once(
+        trees,
+        _cx=x0,
+        _cy=y0,
+        _w=f"CAST(pow({_FAN}, ceil(log({_FAN}, {widest}) - 1e-9)) AS BIGINT)",
+        _local="_edges",
+        _flips="CAST(array() AS ARRAY<BIGINT>)",
+        _base="0",
+    ).drop("_edges")
 
-    Only the finest levels carry edges; features too large for them are rare and
-    fetch the whole boundary instead (see spatial_join).
-    """
-    levels = ", ".join(
-        f"named_struct('level', {level}, 'size', {size}L, 'span', {span}L)" for level, size, span in _levels(sizes)
-    )
 
-    def cells(axis: str) -> Column:
-        return F.expr(f"explode(sequence({', '.join(_cell_range(axis, '_lv.size', '_lv.span'))}))")
+def _divided(nodes: DataFrame, size: int) -> DataFrame:
+    """The children of each node of the tree; nodes of one cell or without edges stay as they are.
 
-    blocks = (
-        prepared.withColumn("_lv", F.expr(f"explode(array({levels}))"))
-        .withColumn("_cx", cells("x"))
-        .withColumn("_cy", cells("y"))
-    )
+    A child gets the edges of its parent that reach its box.  Those that lie wholly east of it in its
+    rows leave behind the y values where they begin and end as a chain (see the module's head).
+    """
+    part = f"_w div {_FAN}"
+    kid = f"named_struct('x', _cx + (n_ % {_FAN}) * ({part}), 'y', _cy + (n_ div {_FAN}) * ({part}), 'w', {part})"
+    kids = f"transform(sequence(0, {_FAN * _FAN - 1}), n_ -> {kid})"
+    own = "array(named_struct('x', _cx, 'y', _cy, 'w', _w))"
+    grown = nodes.withColumn("_splits", F.expr("_w > 1 AND size(_local) > 0"))
+    grown = grown.withColumn("_kid", F.expr(f"explode(CASE WHEN _splits THEN {kids} ELSE {own} END)"))
     placed = compute_once(
-        blocks,
-        _xl="_cx * _lv.size",
-        _yl="_cy * _lv.size",
-        _xh="(_cx + _lv.span) * _lv.size - 1",
-        _yh="(_cy + _lv.span) * _lv.size - 1",
+        grown,
+        _xl=f"_kid.x * {size}L",
+        _yl=f"_kid.y * {size}L",
+        _xh=f"(_kid.x + _kid.w + _kind.span - 1) * {size}L - 1",
+        _yh=f"(_kid.y + _kid.w + _kind.span - 1) * {size}L - 1",
+        _end=f"(_cx + _w + _kind.span - 1) * {size}L - 1",
     )
 
-    def in_rows(ya: str, yb: str) -> str:
-        return f"least({ya}, {yb}) <= _yh AND greatest({ya}, {yb}) >= _yl"
-
-    def is_east(xa: str, ya: str, xb: str, yb: str) -> str:
-        return f"(least({xa}, {xb}) > _xh AND {in_rows(ya, yb)})"
+    def passed(xa: str, ya: str, xb: str, yb: str) -> str:
+        """Whether an edge is one of the parent's that lie east of the child in its rows."""
+        rows = f"least({ya}, {yb}) <= _yh AND greatest({ya}, {yb}) >= _yl"
+        return f"(least({xa}, {xb}) > _xh AND least({xa}, {xb}) <= _end AND {rows})"
 
-    local = (
-        f"filter(_edges, e_ -> {in_rows('e_.y1', 'e_.y2')} "
+    here = passed("e_.x1", "e_.y1", "e_.x2", "e_.y2")
+    before, after = passed("e_.px", "e_.py", "e_.x1", "e_.y1"), passed("e_.x2", "e_.y2", "e_.nx", "e_.ny")
+    ends = f"concat(CASE WHEN {before} THEN array() ELSE array(e_.y1) END, CASE WHEN {after} THEN array() ELSE array(e_.y2) END)"
+    reached = (
+        "filter(_local, e_ -> least(e_.y1, e_.y2) <= _yh AND greatest(e_.y1, e_.y2) >= _yl "
         "AND least(e_.x1, e_.x2) <= _xh AND greatest(e_.x1, e_.x2) >= _xl)"
     )
-    here, before = is_east("e_.x1", "e_.y1", "e_.x2", "e_.y2"), is_east("e_.px", "e_.py", "e_.x1", "e_.y1")
-    flips = f"transform(filter(_edges, e_ -> {here} <> {before}), e_ -> e_.y1)"
+    turns = f"concat(_flips, flatten(transform(filter(_local, e_ -> {here}), e_ -> {ends})))"
     split = compute_once(
         placed,
-        _local=f"CASE WHEN _lv.level <= 0 THEN {_PLAIN.format(local)} END",
-        _turns=f"CASE WHEN _lv.level <= 0 THEN {flips} ELSE array() END",
+        _turns=f"CASE WHEN _splits THEN {turns} ELSE _flips END",
+        _reached=f"CASE WHEN _splits THEN {reached} ELSE _local END",
     )
-    # A flip above the block counts for every ray in it, one below for none.
+    # A flip above the box counts for every ray in it, one below for none.
     reduced = compute_once(
         split,
-        _base="size(filter(_turns, y_ -> y_ > _yh)) % 2",
-        _flips="filter(_turns, y_ -> y_ > _yl AND y_ <= _yh)",
-        _level="_lv.level",
+        _base="CASE WHEN _splits THEN (_base + size(filter(_turns, y_ -> y_ > _yh))) % 2 ELSE _base END",
+        _flips="CASE WHEN _splits THEN filter(_turns, y_ -> y_ > _yl AND y_ <= _yh) ELSE _flips END",
+        _local="_reached",
+        _cx="_kid.x",
+        _cy="_kid.y",
+        _w="_kid.w",
     )
-    # Without local edges a fine block is all inside or all outside.
-    return reduced.where("_level > 0 OR size(_local) > 0 OR _base = 1").drop(
-        "_lv", "_xl", "_xh", "_yl", "_yh", "_turns", "_edges"
+    # Without edges a box is all inside or all outside.
+    return reduced.where("size(_local) > 0 OR _base = 1").drop(
+        "_splits", "_kid", "_xl", "_yl", "_xh", "_yh", "_end", "_turns", "_reached"
     )
 
 
+def _block_index(prepared: DataFrame, size: int, rounds: int, tasks: int = 0) -> DataFrame:
+    """One row per boundary and block it reaches, from a tree of boxes that is divided from the top.
+
+    An edge is read only by the boxes it reaches and their parents, so the work grows with the edges
+    times the depth, and boxes without edges are divided no further.  With ``tasks`` the boxes are spread
+    over so many once, when each boundary has become some hundred of them.
+    """
+    nodes = _roots(prepared, size)
+    for k in range(rounds):
+        if tasks and k == min(_SPREAD_ROUND, rounds - 1):
+            nodes = nodes.repartition(tasks)
+        nodes = _divided(nodes, size)
+    whole = nodes.withColumn("_cx", F.expr("explode(sequence(_cx, _cx + _w - 1))"))
+    whole = whole.withColumn("_cy", F.expr("explode(sequence(_cy, _cy + _w - 1))"))
+    return compute_once(whole, _local=_PLAIN.format("_local"), _level="_kind.level").drop("_kind", "_w")
+
+
 def _inside(px: str, py: str, edges: str, flips: str, base: str) -> str:
     flipped = f"size(filter({flips}, y_ -> y_ > {py}))" if flips else "0"
     crossed = f"size(filter({edges}, e_ -> {g.edge_is_crossed('e_', px, py)}))"
@@ -210,18 +249,60 @@ def _inside(px: str, py: str, edges: str, flips: str, base: str) -> str:
 
 def _touches() -> str:
     """Exact test of a candidate pair against the boundary edges at hand."""
-    vertex_in = f"exists({g.part_anchors('geom')}, w_ -> {_inside('w_.x', 'w_.y', 'es_', '_flips', '_base')})"
+    vertex_in = f"exists({g.part_anchors('geom')}, w_ -> {_inside('w_.x', 'w_.y', '_local', '_flips', '_base')})"
     near = (
-        "filter(es_, e_ -> least(e_.x1, e_.x2) <= _box.x1 AND greatest(e_.x1, e_.x2) >= _box.x0 "
+        "filter(_local, e_ -> least(e_.x1, e_.x2) <= _box.x1 AND greatest(e_.x1, e_.x2) >= _box.x0 "
         "AND least(e_.y1, e_.y2) <= _box.y1 AND greatest(e_.y1, e_.y2) >= _box.y0)"
     )
     crosses = f"exists(near_, b_ -> exists(own_, a_ -> {g.edges_touch('a_', 'b_')}))"
     holds_part = f"{g.is_area('geom')} AND exists(_anchors, w_ -> {_inside('w_.x', 'w_.y', 'own_', '', '0')})"
     by_edges = g.let("own_", g.fixed_edges("geom"), f"{g.let('near_', near, crosses)} OR ({holds_part})")
-    of_shape = g.let("es_", "coalesce(_local, _whole)", f"{vertex_in} OR {by_edges}")
     of_point = _inside("_box.x0", "_box.y0", "_local", "_flips", "_base")
     # A block without edges is all inside, so most pairs end at the first case.
-    return f"CASE WHEN size(_local) = 0 THEN true WHEN _level = {_POINT_LEVEL} THEN {of_point} ELSE {of_shape} END"
+    return f"CASE WHEN size(_local) = 0 THEN true WHEN _level = {_POINT_LEVEL} THEN {of_point} ELSE {vertex_in} OR {by_edges} END"
+
+
+def _cells_of_edge(size: int) -> str:
+    """Cells that the edge x1, y1, x2, y2 passes, row by row; now and then one beside it."""
+    rows = f"sequence(CAST(floor(least(y1, y2) / {size}L) AS BIGINT), CAST(floor(greatest(y1, y2) / {size}L) AS BIGINT))"
+    at = "x1 + CAST(x2 - x1 AS DOUBLE) * (yy_ - y1) / (y2 - y1)"
+    low, high = f"greatest(least(y1, y2), r_ * {size}L)", f"least(greatest(y1, y2), (r_ + 1) * {size}L)"
+    ends = f"CASE WHEN y1 = y2 THEN array(CAST(x1 AS DOUBLE), CAST(x2 AS DOUBLE)) ELSE transform(array({low}, {high}), yy_ -> {at}) END"
+    first, last = (f"CAST(floor(({f}(s_) {sign} 1) / {size}L) AS BIGINT)" for f, sign in (("array_min", "-"), ("array_max", "+")))
+    cells = f"transform(sequence({first}, {last}), c_ -> named_struct('_cx', c_, '_cy', r_))"
+    return f"flatten(transform({rows}, r_ -> {g.let('s_', ends, cells)}))"
+
+
+def _spots(df: DataFrame, size: int, *keep: str) -> DataFrame:
+    """One row for each of ``_anchors``: x, y and its cell."""
+    each = df.select(*keep, F.explode("_anchors").alias("_v")).select(*keep, "_v.x", "_v.y")
+    return each.withColumn("_cx", F.expr(f"floor(x / {size}L)")).withColumn("_cy", F.expr(f"floor(y / {size}L)"))
+
+
+def _large_pairs(large: DataFrame, prepared: DataFrame, index: DataFrame, size: int, limit: int, small: bool) -> DataFrame:
+    """Pairs (_fid, _fid2, _bid) of features wider than a cell and boundaries that they meet.
+
+    Neither side is in one row here.  Edges of the feature meet the boundary's edges in the cells
+    they pass; if none touch, each part of either side is wholly inside or outside the other,
+    so one vertex of it tells: the feature's in the boundary's blocks, the boundary's in the
+    blocks of the feature, for which areas get an index of their own.
+    """
+    ids, pair, cell = ["_fid", "_fid2"], ["_fid", "_fid2", "_bid"], ["_cx", "_cy"]
+    point_blocks = index.where(f"_level = {_POINT_LEVEL}").select("_bid", *cell, "_local", "_flips", "_base")
+    point_blocks = F.broadcast(point_blocks) if small else point_blocks
+    edges = large.select(*ids, F.inline(F.expr(g.fixed_edges("geom"))))
+    edges = edges.select("*", F.inline(F.expr(_cells_of_edge(size))))
+    touch = F.expr(f"exists(_local, b_ -> {g.edges_touch('e_', 'b_')})".replace("e_.", ""))
+    crossing = edges.join(point_blocks.where("size(_local) > 0"), cell).where(touch).select(*pair)
+    inside = F.expr(_inside("x", "y", "_local", "_flips", "_base"))
+    held = _spots(large, size, *ids).join(point_blocks, cell).where(inside).select(*pair)
+    # Areas of the features become boundaries, of which the vertices of the others are inside or not.
+    areas = prepare_boundaries(large.where(g.is_area("geom")).select(*ids, "geom")).drop("_bid")
+    measured = _measure(areas, size)
+    tasks = max(1, measured.index_bytes // _BYTES_PER_TASK) if measured.index_bytes > limit else 0
+    blocks = _block_index(areas, size, measured.rounds, int(tasks)).where(f"_level = {_POINT_LEVEL}")
+    holding = _spots(prepared, size, "_bid").join(blocks.select(*ids, *cell, "_local", "_flips", "_base"), cell).where(inside)
+    return crossing.unionByName(held).unionByName(holding.select(*pair)).distinct()
 
 
 def _salts(spark: SparkSession) -> int:
@@ -249,40 +330,42 @@ def spatial_join(
     """
     sizes = _sizes(cell_degrees)
     prepared = prepare_boundaries(boundaries)
-    found = _measure(prepared, sizes)
+    found = _measure(prepared, sizes[0])
     nearby = within_extent(features, *_scan_boxes(prepared, features, found.extent)).where(g.usable("geom"))
     keyed = _with_grid_key(nearby, sizes)
-    whole = prepared.select(F.col("lga_id").alias("_whole_id"), F.expr(_PLAIN.format("_edges")).alias("_whole"))
 
-    index, index_bytes = _block_index(prepared, sizes), found.index_bytes
+    index, index_bytes = _block_index(prepared, sizes[0], found.rounds), found.index_bytes
     if index_bytes > broadcast_bytes:
         # The bound counts every edge in every block; see what it really takes.
-        # Boundaries often sit in one small file, so they are spread out first.
+        # Boundaries often sit in one small file, so they are spread out.
         tasks = max(1, index_bytes // _BYTES_PER_TASK)
-        index = through_table(_block_index(prepared.repartition(int(tasks), "lga_id"), sizes))
+        index = through_table(_block_index(prepared.repartition(int(tasks), "lga_id"), sizes[0], found.rounds, int(tasks)))
         arrays = ((_EDGE_BYTES, "_local"), (_FLIP_BYTES, "_flips"), (_ANCHOR_BYTES, "_anchors"))
         row = f"{_ROW_BYTES}L + " + " + ".join(f"{b}L * greatest(coalesce(size({c}), 0), 0)" for b, c in arrays)
         index_bytes = index.selectExpr(f"coalesce(sum({row}), 0L)").head()[0]
 
-    keys = ["_level", "_cx", "_cy"]
+    keys, small = ["_level", "_cx", "_cy"], keyed.where("_level <= 0")
+    blocks = index
     if index_bytes <= broadcast_bytes:
-        index = F.broadcast(index)
+        blocks = F.broadcast(index)
     elif (salts := _salts(features.sparkSession) if salts is None else salts) > 1:
         salt = F.pmod(F.xxhash64("geom") + F.spark_partition_id(), F.lit(salts)).cast("int")
-        keyed = keyed.withColumn("_salt", salt)
-        index = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        small = small.withColumn("_salt", salt)
+        blocks = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         keys.append("_salt")
-
-    pairs = keyed.join(index, keys).where(
+    pairs = small.join(blocks, keys).where(
         "_box.x0 <= _bbox.x1 AND _box.x1 >= _bbox.x0 AND _box.y0 <= _bbox.y1 AND _box.y1 >= _bbox.y0"
     )
-    if found.whole_bytes <= broadcast_bytes:
-        fetch = F.expr("CASE WHEN _level > 0 THEN lga_id END")
-        pairs = pairs.withColumn("_fetch", fetch).join(F.broadcast(whole), F.col("_fetch") == F.col("_whole_id"), "left")
-    else:
-        # Only features too large for the finest cells need a whole boundary; no other pair moves.
-        at_hand = pairs.where("_level <= 0")
-        fetched = pairs.where("_level > 0").join(whole, F.col("lga_id") == F.col("_whole_id"))
-        pairs = at_hand.unionByName(fetched, allowMissingColumns=True)
-    helpers = [c for c in pairs.columns if c.startswith("_")]
-    return pairs.where(_touches()).drop(*helpers)
+    result = pairs.where(_touches())
+    result = result.drop(*[c for c in result.columns if c.startswith("_")])
+
+    # Features wider than a cell are few; what they meet is told by cells, and then they are fetched once.
+    carried = [c for c in features.columns if c not in BOX_COLUMNS]
+    wide = keyed.where("_level > 0").withColumn("_fid", F.xxhash64("geom")).withColumn("_fid2", F.xxhash64(F.lit(1), "geom"))
+    large = through_table(wide.select(*carried, "_fid", "_fid2", F.expr(g.part_anchors("geom")).alias("_anchors")))
+    if not large.limit(1).count():
+        return result
+    met = _large_pairs(large, prepared, index, sizes[0], broadcast_bytes, index_bytes <= broadcast_bytes)
+    of_boundary = prepared.drop("_edges", "_anchors", "_bbox")
+    fetched = large.join(met, ["_fid", "_fid2"]).join(of_boundary, "_bid")
+    return result.unionByName(fetched.select(*result.columns))
