@@ -177,6 +177,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
             data, cut = ids.astype("<u4").tobytes(), (4 * first).tolist()
             packed = [data[a:b] for a, b in zip(cut, cut[1:])]
             yield _columns(batch, "text", n_tokens=pa.array(np.diff(first)), ids=pa.array(packed, pa.binary()))
+        model.rest()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id BIGINT, n_tokens BIGINT, ids BINARY")
 

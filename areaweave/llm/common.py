@@ -12,7 +12,7 @@ from areaweave.operators.scale import shared_folder
 #: A key is hot if it has more than one in so many rows, so there are at most so many hot keys.
 HOT_KEYS = 1000
 #: Bytes of a batch between Spark and Python.
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 
 def limit_batches(spark: SparkSession) -> None:

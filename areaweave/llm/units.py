@@ -145,6 +145,10 @@ class Encoder:
         self._encode, self._cached, self._classes = encode, cached, classes
         self._known, self._older = _Store(), _Store()
 
+    def rest(self) -> None:
+        """Forget what only a running task gains from."""
+        self._older = _Store()
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where those of each text begin (one entry more than texts)."""
         data, offset = W.flat(texts)

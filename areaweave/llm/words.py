@@ -7,6 +7,7 @@ of bytes, so that memory in a task does not grow with the table.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -45,7 +46,10 @@ class Words(NamedTuple):
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``most`` bytes in ``column`` (or one row)."""
+    """The same rows in batches of at most ``most`` bytes in ``column`` (or one row).
+
+    After the last one the worker, which Spark keeps for later tasks, gives back what it does not use.
+    """
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -55,6 +59,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         cuts = np.flatnonzero(np.diff(block)) + 1
         for a, b in zip([0, *cuts], [*cuts, n], strict=True):
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of Arrow and of the C library to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
