@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import BooleanType, MapType, NumericType, StringType
 
 from areaweave.functions import geometry as g
 from areaweave.functions.projection import to_utm
@@ -22,12 +22,14 @@ class Cleaned:
     """``layers`` in the fixed schema, and ``quarantined``: rows left out, with a reason.
 
     Reasons: self_crossing (edges cross and are not guessed at) and emptied (repair left
-    nothing).  ``audit`` counts rows of each area and layer by what became of them.
+    nothing).  ``audit`` counts rows of each area and layer by what became of them, and
+    ``notes`` has a message for each area whose zone is the fallback.
     """
 
     layers: DataFrame
     quarantined: DataFrame
     audit: DataFrame
+    notes: DataFrame
 
 
 def drop_unusable(layers: DataFrame) -> DataFrame:
@@ -62,17 +64,22 @@ _NOT_IDS = {"lga_id", "target_srid"}
 def standardise_ids(layers: DataFrame) -> DataFrame:
     """Makes sure there is an ``osmid``.
 
-    An ``osmid`` column stays; else the first column is taken whose name contains "id";
-    else rows are numbered from 0 within area and layer, in the order of their geometry
-    and remaining columns.
+    An ``osmid`` column stays.  Else it is the first number among the columns whose name contains
+    "id", of whatever type, in their order; ``osmid_text`` keeps the first text among them that is no
+    number.  Without such a column rows are numbered from 0 within area and layer, in the order
+    of their geometry and remaining columns.
     """
     if "osmid" in layers.columns:
         return layers
     keys = [c for c in ("lga_id", "layer") if c in layers.columns]
     others = [c for c in layers.columns if c not in keys]
-    source = next((c for c in others if "id" in c.lower() and c not in _NOT_IDS), None)
-    if source is not None:
-        return layers.withColumn("osmid", F.col(source).cast("bigint"))
+    flat = (NumericType, StringType, BooleanType)
+    sources = [c for c in others if "id" in c.lower() and c not in _NOT_IDS and isinstance(layers.schema[c].dataType, flat)]
+    if sources:
+        texts = [F.trim(F.col(c).cast("string")) for c in sources]
+        numbers = [t.try_cast("bigint") for t in texts]
+        odd = [F.when(n.isNull(), t) for n, t in zip(numbers, texts, strict=True)]
+        return layers.withColumn("osmid", F.coalesce(*numbers)).withColumn("osmid_text", F.coalesce(*odd))
     order = ["geom"] + [c for c in others if c not in ("geom", "tags")]
     return number_rows(layers.drop("tags"), keys, order, "osmid")
 
@@ -130,6 +137,12 @@ def _outcomes(repaired: DataFrame, final: DataFrame) -> DataFrame:
     return out.where("n > 0").select(*keys, "outcome", "n")
 
 
+def fallback_notes(layers: DataFrame) -> DataFrame:
+    """lga_id and message for every area with rows that no zone is known for."""
+    message = f"No boundary tells the zone of this area; EPSG:{FALLBACK_SRID} is used."
+    return layers.where("target_srid IS NULL").select("lga_id").distinct().withColumn("message", F.lit(message))
+
+
 def clean_layers(layers: DataFrame, boundaries: DataFrame | None = None) -> Cleaned:
     """Clean all layers of all areas.
 
@@ -143,6 +156,7 @@ def clean_layers(layers: DataFrame, boundaries: DataFrame | None = None) -> Clea
         layers = layers.drop("target_srid").join(zones, "lga_id", "left")
     elif "target_srid" not in layers.columns:
         layers = layers.withColumn("target_srid", F.lit(None).cast("int"))
+    notes = fallback_notes(layers)
     layers = layers.withColumn("target_srid", F.coalesce("target_srid", F.lit(FALLBACK_SRID)))
     if "element_type" not in layers.columns:
         layers = layers.withColumn("element_type", F.lit(None).cast("string"))
@@ -160,4 +174,4 @@ def clean_layers(layers: DataFrame, boundaries: DataFrame | None = None) -> Clea
     left_out = judged.where("repair_status IN ('quarantined', 'emptied')").withColumn(
         "reason", F.when(F.col("repair_status") == "emptied", "emptied").otherwise("self_crossing")
     )
-    return Cleaned(final, left_out.drop("repair_status", "target_srid"), _outcomes(every, unique))
+    return Cleaned(final, left_out.drop("repair_status", "target_srid"), _outcomes(every, unique), notes)

@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from areaweave.functions import geometry as g
 from areaweave.functions import text
 from areaweave.functions.projection import epsg_label, to_wgs84
+from areaweave.operators.layers import areas_by_layers
 from areaweave.operators.scale import compute_once
 from areaweave.settings import DEFAULT_RULES, DRAW_ORDER, TOOLTIP_FIELDS
 
 
-def layer_report(layers: DataFrame) -> DataFrame:
-    """Feature count and reference system of every layer of every area."""
-    return (
+def layer_report(layers: DataFrame, boundaries: DataFrame | None = None, rules: dict | None = None) -> DataFrame:
+    """Feature count and reference system of every layer of every area.
+
+    With ``boundaries`` the layers without a feature are in it as well: n 0, no reference system.
+    """
+    found = (
         layers.groupBy("lga_id", "layer", F.col("geom.srid").alias("srid"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select("lga_id", "layer", F.expr(epsg_label("srid")).alias("crs"), "n")
     )
+    if boundaries is None:
+        return found
+    every = areas_by_layers(boundaries, rules).drop("position")
+    return every.join(found, ["lga_id", "layer"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
 
 
 def compare_lgas(layers: DataFrame, rules: dict | None = None) -> DataFrame:

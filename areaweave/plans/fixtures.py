@@ -435,3 +435,23 @@ def open_ring_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = "2500 + (r * 7919) % 12400 + CASE WHEN n < 500 THEN (n * 37) % 50 WHEN n < 900 THEN n - 440 ELSE 10 * (n - 900) END"
     y = "4000 + (r * 4729) % 9900 + CASE WHEN n < 500 THEN (n * n) % 53 WHEN n < 900 THEN n - 500 ELSE (n - 900) * (n - 900) END"
     return numbered.selectExpr("r * 1000 + n AS node_id", f"({x}) / 1000D AS x", f"({y}) / 1000D AS y")
+
+
+_WIDE_U = (("x0", "y0"), ("x0 + 3000", "y0"), ("x0 + 3000", "y0 + 3000"), ("x0 + 2600", "y0 + 3000"), ("x0 + 2600", "y0 + 400"),
+           ("x0 + 400", "y0 + 400"), ("x0 + 400", "y0 + 3000"), ("x0", "y0 + 3000"), ("x0", "y0"))
+_WIDE_LINE = (("x0", "y0"), ("x0 + 3500", "y0 + 900"), ("x0 + 300", "y0 + 2500"))
+
+
+def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features much wider than a grid cell, one per supplier: squares, long lines and open frames by turns."""
+    base = (
+        table(spark, sf_dir, "supplier")
+        .select(F.col("s_suppkey").cast("bigint").alias("osmid"))
+        .withColumn("x0", F.expr("2300 + (osmid * 7919) % 9000"))
+        .withColumn("y0", F.expr("3900 + (osmid * 4729) % 7000"))
+    )
+    shape = (
+        f"CASE CAST(osmid % 3 AS INT) WHEN 0 THEN {g.polygon('array(' + _square('x0', 'y0', '2500') + ')')} "
+        f"WHEN 1 THEN {g.line(_vertices(*_WIDE_LINE))} ELSE {g.polygon('array(' + _vertices(*_WIDE_U) + ')')} END"
+    )
+    return with_geom(base, shape, "osmid")

@@ -565,6 +565,41 @@ ORACLES["pip_bucketed_equals_brute"] = sql(
     f"GROUP BY k, osmid, px, py HAVING {_IN}) GROUP BY k",
 )
 
+
+
+def _meets(kind: str, box: str, vertices: str, edges: str) -> str:
+    """Places of the gazetteer and the features that meet them, by brute force."""
+    pairs = f"SELECT f.uid, f.kind, b.k FROM {box} f JOIN gz_box b ON fx0 <= bx1 AND fx1 >= bx0 AND fy0 <= by1 AND fy1 >= by0 WHERE {kind}"
+    return (
+        f"cand_ AS MATERIALIZED ({pairs}), met_ AS (SELECT uid, k FROM (SELECT c.uid, c.k, v.i FROM cand_ c "
+        f"JOIN (SELECT uid, i, x AS px, y AS py FROM {vertices}) v USING (uid) JOIN gz_e USING (k) GROUP BY c.uid, c.k, v.i, px, py HAVING {_IN}) "
+        f"UNION SELECT c.uid, c.k FROM cand_ c JOIN {edges} p ON p.uid = c.uid JOIN gz_e q ON q.k = c.k WHERE {_touch('p', 'q')} "
+        f"UNION SELECT uid, k FROM (SELECT c.uid, c.k, v.i FROM cand_ c JOIN (SELECT k, i, x AS px, y AS py FROM gz_v) v USING (k) "
+        f"JOIN {edges} USING (uid) WHERE c.kind = 'g' GROUP BY c.uid, c.k, v.i, px, py HAVING {_IN}))"
+    )
+
+
+_PER_PLACE = "SELECT k, count(*) AS n, sum(osmid)::BIGINT AS osmid_sum FROM met_ JOIN {} USING (uid) GROUP BY k"
+for _name, _kind in (("line_join_places", "l"), ("polygon_join_places", "g")):
+    _base = sql("fv fe fbox ft gz_v gz_e gz_box", "")
+    ORACLES[_name] = f"{_base.rstrip()}, {_meets(f"f.kind = '{_kind}'", 'fbox', 'fv', 'fe')} {_PER_PLACE.format('ft')}"
+cte(
+    "wide",
+    "",
+    "SELECT 'w' || osmid AS uid, osmid, CASE WHEN osmid % 3 = 1 THEN 'l' ELSE 'g' END AS kind, CASE osmid % 3 "
+    "WHEN 0 THEN [[x0, y0], [x0 + 2500, y0], [x0 + 2500, y0 + 2500], [x0, y0 + 2500], [x0, y0]] "
+    "WHEN 1 THEN [[x0, y0], [x0 + 3500, y0 + 900], [x0 + 300, y0 + 2500]] "
+    "ELSE [[x0, y0], [x0 + 3000, y0], [x0 + 3000, y0 + 3000], [x0 + 2600, y0 + 3000], [x0 + 2600, y0 + 400], "
+    "[x0 + 400, y0 + 400], [x0 + 400, y0 + 3000], [x0, y0 + 3000], [x0, y0]] END AS vs FROM (SELECT s_suppkey::BIGINT AS osmid, "
+    "2300 + (s_suppkey::BIGINT * 7919) % 9000 AS x0, 3900 + (s_suppkey::BIGINT * 4729) % 7000 AS y0 FROM supplier)",
+)
+cte("wide_v", "wide", "SELECT uid, kind, i, vs[i][1] AS x, vs[i][2] AS y FROM (SELECT *, unnest(generate_series(1, len(vs))) AS i FROM wide)")
+cte("wide_e", "wide_v", "SELECT a.uid, a.i, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM wide_v a JOIN wide_v b ON a.uid = b.uid AND b.i = a.i + 1")
+cte("wide_box", "wide_v", "SELECT uid, any_value(kind) AS kind, min(x) AS fx0, min(y) AS fy0, max(x) AS fx1, max(y) AS fy1 FROM wide_v GROUP BY uid")
+ORACLES["wide_join_places"] = (
+    f"{sql('wide_v wide_e wide_box gz_v gz_e gz_box', '').rstrip()}, {_meets('true', 'wide_box', 'wide_v', 'wide_e')} {_PER_PLACE.format('wide')}"
+)
+
 # --- cleaning ----------------------------------------------------------------
 
 ORACLES["drop_null_empty"] = sql("ft", "SELECT osmid, 'Polygon' AS gtype FROM ft WHERE kind = 'g'")
@@ -838,3 +873,48 @@ for _shuffled, _plain in (
     ("polygon_join_shuffled", "polygon_intersects_join"),
 ):
     ORACLES[_shuffled] = ORACLES[_plain]
+
+ORACLES["id_any_type"] = (
+    "SELECT osmid AS n, CASE WHEN osmid % 3 <> 1 THEN osmid END AS osmid, "
+    "CASE WHEN osmid % 2 = 0 THEN 'yes' ELSE 'no' END AS osmid_text FROM (SELECT c_custkey::BIGINT AS osmid FROM customer)"
+)
+ORACLES["names_from_tags"] = (
+    "SELECT c_custkey::BIGINT AS osmid, CASE WHEN c_custkey % 3 = 0 THEN 'N' || c_custkey END AS name FROM customer"
+)
+ORACLES["assumed_wgs84"] = sql(
+    "pg", "SELECT osmid, CASE WHEN state <> 'null' THEN CASE WHEN osmid % 3 = 0 THEN 32631 ELSE 4326 END END::INT AS srid FROM pg"
+)
+ORACLES["fallback_zone_notes"] = (
+    "SELECT 'a' || s_suppkey % 5 AS lga_id, 'No boundary tells the zone of this area; EPSG:32631 is used.' AS message, "
+    "1::BIGINT AS zones, 32631::INT AS first FROM supplier WHERE s_suppkey % 5 < 2 GROUP BY s_suppkey % 5"
+)
+ORACLES["snapshot_round_trip"] = sql(
+    "cnt",
+    "SELECT lga_id, layer, sum(n)::BIGINT AS n, step::INT AS step FROM cnt, (VALUES (1), (2), (3)) AS t(step) "
+    "WHERE step < 3 OR layer <> 'roads' GROUP BY ALL",
+)
+ORACLES["extract_lgas_written"] = sql(
+    "bres cnt",
+    "SELECT r.lga_id, r.lga_name, r.state_name, c.layer, c.geom_category, c.n, 'exported' AS status "
+    "FROM bres r JOIN cnt c ON c.lga_id = r.place",
+)
+ORACLES["boundary_files"] = sql(
+    "b",
+    "SELECT k::INT AS k, 'P' || k AS display_name, CASE WHEN k <> 11 THEN "
+    "CASE WHEN k % 3 = 0 THEN w * w - (w - h) * (w - h) ELSE w * w END END::BIGINT AS area_millideg2, "
+    "CASE WHEN k = 11 THEN 'no_geometry' END AS problem FROM b",
+)
+ORACLES["unreadable_inputs"] = (
+    "SELECT layer, n::BIGINT AS n, CASE WHEN layer = 'schools' THEN 'unreadable' END AS problem, "
+    "CASE WHEN layer = 'schools' THEN 'Layer ''schools'' failed to extract: 1 of its input files cannot be read.' END AS message "
+    "FROM (SELECT CASE WHEN o_orderkey % 8 IN (1, 2, 3, 5) THEN 'health_facilities' ELSE 'roads' END AS layer, count(*) AS n "
+    "FROM orders GROUP BY 1 UNION ALL SELECT 'schools', 0 UNION ALL SELECT 'landuse', 0)"
+)
+ORACLES["layer_report_full"] = sql(
+    "cnt skip",
+    "SELECT lga_id, layer, 'EPSG:' || srid AS crs, sum(n)::BIGINT AS n FROM cnt GROUP BY ALL UNION ALL SELECT lga_id, layer, NULL, 0 FROM skip",
+)
+ORACLES["node_points"] = sql(
+    "wn",
+    "SELECT 'node' AS element_type, way_id * 10 + pos AS osmid, x, y FROM wn WHERE pos < 3 AND (way_id * 10 + pos) % 3 <> 0",
+)

@@ -6,14 +6,16 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from areaweave.operators import audit
 from areaweave.operators.boundary import normalise_requests, resolve_boundaries
 from areaweave.operators.clean import clean_layers
 from areaweave.operators.layers import check_strict, extract_features, layer_counts, layer_notes
 from areaweave.operators.scale import through_table
-from areaweave.sinks import files
+from areaweave.sinks import files, snapshots
 from areaweave.sources.geojson import read_manual
+from areaweave.sources.ledger import check_inputs, input_notes
 
 
 @dataclass(frozen=True)
@@ -53,6 +55,8 @@ def extract_lgas(
     write: bool = True,
     timestamp: datetime | None = None,
     finished: DataFrame | None = None,
+    ledger: DataFrame | None = None,
+    snapshot: str | None = None,
 ) -> Run:
     """Resolve, extract, clean, export and log every requested area.
 
@@ -62,10 +66,15 @@ def extract_lgas(
     Areas with a record in ``finished`` (see read_runs) under the same rules are
     left out.  Boundary files that ``requests`` names are read unless ``manual`` has them.
     Rejected requests and features left out are written, counted in ``outcomes``, and
-    noted in the warnings of their area.
+    noted in the warnings of their area.  A ``ledger`` of the elements' files (see read_ledger) turns
+    broken ones into notes for their layers, or raises if ``strict``.  With a ``snapshot``, a new run id,
+    everything is written below it and counts once the last step has committed it (see read_snapshot).
     """
     if strict:
         check_strict(rules)
+    broken = None if ledger is None else through_table(input_notes(ledger, rules))
+    if strict and broken is not None:
+        check_inputs(broken)
     if finished is not None:
         requests = audit.pending_requests(requests, finished, rules)
     if manual is None and "manual_path" in requests.columns:
@@ -75,13 +84,23 @@ def extract_lgas(
     boundaries = through_table(resolution.accepted)
     raw = through_table(extract_features(elements, boundaries, rules))
     notes = layer_notes(layer_counts(raw, boundaries, rules), rules)
+    if broken is not None:
+        # At most a row for each layer.
+        found = [F.struct(*[F.lit(row[c]).alias(c) for c in broken.columns]) for row in broken.collect()]
+        if found:
+            notes = notes.unionByName(boundaries.select("lga_id", F.inline(F.array(*found))).select(*notes.columns))
     cleaned = clean_layers(raw)
     outcomes = through_table(cleaned.audit)
     warnings = audit.fold_warnings(boundaries, notes.unionByName(audit.left_out_notes(outcomes, rules)))
     layers = through_table(cleaned.layers)
-    manifest = export_layers(layers, boundaries, path, rules, write)
+    manifest = export_layers(layers, boundaries, path, rules, write and snapshot is None)
     runs = audit.run_records(boundaries, manifest, warnings, rules, timestamp)
-    if write:
+    if write and snapshot is not None:
+        tables = {"layers": layers, "quarantined": cleaned.quarantined, "rejected": resolution.rejected, "manifest": manifest, "runs": runs}
+        snapshots.stage(tables, path, snapshot)
+        areas = boundaries.select("lga_id").unionByName(resolution.rejected.select("lga_id"))
+        snapshots.commit(areas.where("lga_id IS NOT NULL"), path, snapshot, timestamp)
+    elif write:
         files.write_left_out(resolution.rejected, cleaned.quarantined, path)
         files.write_runs(runs, path)
     return Run(boundaries, resolution.rejected, layers, cleaned.quarantined, warnings, manifest, runs, outcomes)

@@ -23,9 +23,10 @@ from areaweave.operators.spatial import spatial_join
 from areaweave.plans import fixtures as fx
 from areaweave.plans.pipeline import export_layers, extract_lgas
 from areaweave.settings import DEFAULT_RULES
-from areaweave.sinks import files
+from areaweave.sinks import files, snapshots
 from areaweave.sources import elements as el
-from areaweave.sources.geojson import read_layers
+from areaweave.sources import ledger
+from areaweave.sources.geojson import encode, read_layers, read_manual
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -339,6 +340,29 @@ def polygon_join_shuffled(spark, d):
     return spatial_join(fx.polygons(spark, d), areas(spark, d), broadcast_bytes=0).select("k", "osmid")
 
 
+def _by_place(spark, d, features, **join):
+    """Features per place of the gazetteer, where both sides grow with the data."""
+    places = fx.gazetteer(spark, d).select("k", F.col("k").cast("string").alias("lga_id"), "geom")
+    found = spatial_join(features.select("osmid", "geom"), places, **join)
+    return found.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("osmid").alias("osmid_sum"))
+
+
+@query
+def line_join_places(spark, d):
+    return _by_place(spark, d, fx.lines(spark, d), broadcast_bytes=0)
+
+
+@query
+def polygon_join_places(spark, d):
+    return _by_place(spark, d, fx.polygons(spark, d), broadcast_bytes=0)
+
+
+@query
+def wide_join_places(spark, d):
+    """Features wider than a cell, of which edges meet edges in cells; nothing is broadcast."""
+    return _by_place(spark, d, fx.wide_features(spark, d), broadcast_bytes=0)
+
+
 # --- cleaning ----------------------------------------------------------------
 
 
@@ -375,6 +399,45 @@ def id_fallback(spark, d):
     return box.select("layer", "osmid", "b.x0", "b.y0", "b.x1")
 
 
+@query
+def id_any_type(spark, d):
+    """Ids from columns of other types: the first number among them, and text that is none."""
+    base = fx.polygons(spark, d).selectExpr(
+        "osmid AS n",
+        "IF(osmid % 2 = 0, 'yes', 'no') AS bridge",
+        "CASE CAST(osmid % 3 AS INT) WHEN 0 THEN CAST(osmid AS STRING) WHEN 1 THEN concat('w', osmid) ELSE concat(' ', osmid, ' ') END AS id",
+    )
+    return clean.standardise_ids(base).select("n", "osmid", "osmid_text")
+
+
+@query
+def names_from_tags(spark, d):
+    tagged = fx.polygons(spark, d).withColumn(
+        "tags", F.expr("IF(osmid % 3 = 0, map_concat(tags, map('name', concat('N', osmid))), tags)")
+    )
+    return clean.standardise_names(tagged).select("osmid", "name")
+
+
+@query
+def assumed_wgs84(spark, d):
+    """Geometries without a reference system are longitude and latitude; others keep theirs."""
+    srid = "CAST(CASE WHEN osmid % 3 = 0 THEN 32631 WHEN osmid % 3 = 1 THEN 4326 END AS INT)"
+    bare = fx.polygons(spark, d).withColumn(
+        "geom", F.expr(f"CASE WHEN geom IS NOT NULL THEN named_struct('gtype', geom.gtype, 'srid', {srid}, 'parts', geom.parts) END")
+    )
+    return bare.select("osmid", F.expr(f"({g.assume_wgs84('geom')}).srid").alias("srid"))
+
+
+@query
+def fallback_zone_notes(spark, d):
+    """Areas of which some features have no zone, and the zone that these get."""
+    outlines = fx.metric_outlines(spark, d).withColumn("lga_id", F.expr("concat('a', osmid % 5)"))
+    gaps = outlines.withColumn("target_srid", F.expr("CASE WHEN osmid % 5 > 1 THEN target_srid END"))
+    found = clean.clean_layers(gaps)
+    zones = found.layers.groupBy("lga_id").agg(F.count_distinct("geom.srid").alias("zones"), F.min("geom.srid").alias("first"))
+    return found.notes.join(zones, "lga_id").select("lga_id", "message", "zones", "first")
+
+
 @query
 def dedupe_geometry(spark, d):
     tagged = assign_layers(clean.drop_unusable(fx.features(spark, d))).drop("tags")
@@ -459,6 +522,78 @@ def export_round_trip(spark, d):
     return back.groupBy("lga_id", "layer").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def snapshot_round_trip(spark, d):
+    """A whole run, one that dies before its commit, and one without roads: what is read after each."""
+    found, path = accepted(spark, d), _folder(spark)
+    kept = through_table(cleaned(spark, d, found).layers)
+    without = kept.where("layer <> 'roads'")
+
+    def seen(step):
+        back = snapshots.read_snapshot(spark, path, "layers")
+        return through_table(back.groupBy("lga_id", "layer").agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.lit(step)))
+
+    snapshots.stage({"layers": kept}, path, "1")
+    snapshots.commit(found, path, "1", datetime(2024, 1, 1, tzinfo=timezone.utc))
+    first = seen(1)
+    snapshots.stage({"layers": without.where("layer <> 'buildings'")}, path, "2")
+    second = seen(2)
+    snapshots.stage({"layers": without}, path, "3")
+    snapshots.commit(found, path, "3", datetime(2024, 1, 2, tzinfo=timezone.utc))
+    assert snapshots.vacuum(spark, path, "3") == ["1", "2"]
+    return first.unionByName(second).unionByName(seen(3))
+
+
+@query
+def extract_lgas_written(spark, d):
+    """The whole job with all its files, as they are read back: manifest rows and rejected requests."""
+    path = _folder(spark)
+    moment = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    extract_lgas(
+        fx.boundary_requests(spark, d), fx.boundaries(spark, d), fx.features(spark, d), path, timestamp=moment, snapshot="1"
+    )
+    runs = snapshots.read_snapshot(spark, path, "runs").select("lga_id", "lga_name", "state_name")
+    rows = snapshots.read_snapshot(spark, path, "layers").groupBy("lga_id", "layer", "geom_category").agg(F.count(F.lit(1)).alias("n"))
+    manifest = snapshots.read_snapshot(spark, path, "manifest").where("status = 'exported'").drop("n")
+    return manifest.join(rows, ["lga_id", "layer", "geom_category"]).join(runs, "lga_id").select(
+        "lga_id", "lga_name", "state_name", "layer", "geom_category", "n", "status"
+    )
+
+
+@query
+def boundary_files(spark, d):
+    """Outlines of places written as files, one each, and read back in one scan; some hold no geometry."""
+    path = _folder(spark)
+    listed = fx.boundaries(spark, d).select(
+        "k", F.expr("concat('{\"type\":\"FeatureCollection\",\"features\":[{\"type\":\"Feature\",\"properties\":{\"display_name\":\"P', k, "
+        "'\"},\"geometry\":', coalesce(" + encode("geom") + ", 'null'), '}]}')").alias("value")
+    )
+    listed.write.partitionBy("k").text(path)
+    spots = [f"{path}/k={k}" for k in (*range(25), 99)]
+    found = read_manual(spark, spots)
+    return found.select(
+        F.regexp_extract("manual_path", r"/k=(\d+)/", 1).cast("int").alias("k"),
+        "display_name",
+        F.expr(f"CASE WHEN geom IS NOT NULL THEN {whole(g.area('geom'), 1_000_000)} END").alias("area_millideg2"),
+        "problem",
+    )
+
+
+@query
+def unreadable_inputs(spark, d):
+    """Elements by layer folder, of which one layer's files are no Parquet and one is empty: files, rows and notes."""
+    path = _folder(spark)
+    kept = fx.points(spark, d).select("osmid", F.expr("CASE WHEN osmid % 8 IN (1, 2, 3, 5) THEN 'health_facilities' ELSE 'roads' END").alias("layer"))
+    kept.write.partitionBy("layer").parquet(path)
+    kept.selectExpr("CAST(osmid AS STRING) AS value").coalesce(1).write.text(f"{path}/layer=schools")
+    kept.limit(0).select("osmid").coalesce(1).write.parquet(f"{path}/layer=landuse")
+    known = through_table(ledger.read_ledger(spark, path, "osmid BIGINT"))
+    by_layer = known.groupBy(F.regexp_extract("file", "/layer=([^/]+)/", 1).alias("layer")).agg(
+        F.sum("n").alias("n"), F.max("problem").alias("problem")
+    )
+    return by_layer.join(ledger.input_notes(known).select("layer", "message"), "layer", "left")
+
+
 @query
 def runs_round_trip(spark, d):
     """Records written twice: one an area, the later one."""
@@ -531,6 +666,13 @@ def layer_report(spark, d):
     return report.layer_report(cleaned(spark, d).layers)
 
 
+@query
+def layer_report_full(spark, d):
+    """The report with the layers that have no feature."""
+    found = accepted(spark, d)
+    return report.layer_report(cleaned(spark, d, found).layers, found)
+
+
 @query
 def compare_lgas_pivot(spark, d):
     return report.compare_lgas(cleaned(spark, d).layers)
@@ -634,6 +776,14 @@ def ring_stitching(spark, d):
     return drawn.unionByName(rejects.drop("way_id"), allowMissingColumns=True)
 
 
+@query
+def node_points(spark, d):
+    """Tagged nodes as points; every third has no tag."""
+    spots = fx.nodes(spark, d).withColumn("tags", F.expr("IF(node_id % 3 = 0, map(), map('amenity', 'bench'))"))
+    built = el.assemble_points(spots)
+    return built.select("element_type", "osmid", *[F.expr(whole(f"({g.first_vertex('geom')}).{c}", 1000)).alias(c) for c in "xy"])
+
+
 @query
 def way_rejects(spark, d):
     ways, nodes = fx.ways(spark, d), fx.nodes(spark, d)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,15 +133,15 @@ def read_boundary_files(spark: SparkSession, paths: str | Sequence[str]) -> Data
 
 
 def read_manual(spark: SparkSession, paths: Iterable[str]) -> DataFrame | None:
-    """``read_boundary_files`` of those paths that exist; None if there are none."""
-    found = []
-    for path in paths:
-        try:
-            found.append(read_boundary_files(spark, path))
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-    return reduce(DataFrame.unionByName, found) if found else None
+    """``read_boundary_files`` of those paths that exist, in one scan; None if there are none."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def exists(path: str) -> bool:
+        place = hadoop.Path(path)
+        return bool(place.getFileSystem(conf).globStatus(place))
+
+    found = [path for path in paths if exists(path)]
+    return read_boundary_files(spark, found) if found else None
 
 
 def read_layers(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:

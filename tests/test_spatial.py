@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from areaweave.operators import spatial
 from areaweave.operators.spatial import spatial_join
 from tests.conftest import box, frame, line, point, polygon
 
@@ -184,3 +185,32 @@ def test_elements_are_stored_by_place(spark, tmp_path):
     direct = sorted(map(tuple, spatial_join(elements, areas).select(columns).collect()))
     kept = spark.read.parquet(str(tmp_path / "e"))
     assert sorted(map(tuple, spatial_join(kept, areas).select(columns).collect())) == direct and direct
+
+
+def test_building_the_index_reads_edges_in_proportion(spark):
+    """An outline of 200,000 edges: every round holds each edge a few times, however many boxes there are."""
+    n = 200_000
+    turn = f"i_ * 2 * pi() / {n}"
+    ring = f"transform(sequence(0, {n}), i_ -> named_struct('x', 5 + 3 * cos({turn}), 'y', 7 + 3 * sin({turn}) * (1 + 0.2 * sin(40 * {turn}))))"
+    outline = spark.range(1).selectExpr("'a' AS lga_id", f"named_struct('gtype', 'Polygon', 'srid', 4326, 'parts', array(array({ring}))) AS geom")
+    size = spatial._sizes(0.125)[0]
+    prepared = spatial.prepare_boundaries(outline)
+    rounds = spatial._measure(prepared, size).rounds
+    nodes = spatial._roots(prepared, size)
+    for k in range(rounds):
+        nodes = spatial._divided(nodes, size)
+        held = nodes.selectExpr("sum(size(_local))").head()[0]
+        # Two kinds of blocks; the wider ones overlap by a cell, so an edge reaches up to four of the last
+        # of them, and 25/16 on average of those before, which are four cells wide.
+        assert held <= (3 if k + 1 < rounds else 6) * n
+    blocks = spatial._block_index(prepared, size, rounds, 4)
+    assert blocks.where("size(_local) = 0").count() > 100
+
+
+def test_wide_features_never_carry_a_boundary(spark, no_auto_broadcast):
+    areas = frame(spark, [("a", polygon(box(0.0, 0.0, 3.0, 3.0)))], "lga_id STRING")
+    wide = frame(spark, [(1, line((-1.0, 1.0), (4.0, 1.2))), (2, polygon(box(-1.0, -1.0, 5.0, 5.0))), (3, line((4.0, 0.0), (4.0, 3.0)))], "fid INT")
+    joined = spatial_join(wide, areas, broadcast_bytes=0)
+    assert sorted(r["fid"] for r in joined.collect()) == [1, 2]
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "_whole" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
