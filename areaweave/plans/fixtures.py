@@ -455,3 +455,18 @@ def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"WHEN 1 THEN {g.line(_vertices(*_WIDE_LINE))} ELSE {g.polygon('array(' + _vertices(*_WIDE_U) + ')')} END"
     )
     return with_geom(base, shape, "osmid")
+
+
+def overlapping_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four outlines for each supplier: one with a hole, and others that overlap, nest in and touch it."""
+    base = (
+        table(spark, sf_dir, "supplier")
+        .select(F.col("s_suppkey").cast("bigint").alias("r"))
+        .withColumn("bx", F.expr("2500 + (r * 7919) % 12400"))
+        .withColumn("bz", F.expr("4000 + (r * 4729) % 9900"))
+        .withColumn("shift", F.expr("10 + r % 7"))
+    )
+    first = f"array({_square('bx', 'bz', '20')}, {_square('(bx + 6)', '(bz + 6)', '4')})"
+    others = [f"array({_square(x, y, side)})" for x, y, side in (("(bx + shift)", "(bz + 5)", "20"), ("(bx + 2)", "(bz + 2)", "5"), ("(bx - 10)", "bz", "10"))]
+    shapes = ", ".join(g.polygon(rings) for rings in (first, *others))
+    return base.select("r", F.expr(f"explode(array({shapes}))").alias("geom"))

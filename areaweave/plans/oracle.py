@@ -918,3 +918,12 @@ ORACLES["node_points"] = sql(
     "wn",
     "SELECT 'node' AS element_type, way_id * 10 + pos AS osmid, x, y FROM wn WHERE pos < 3 AND (way_id * 10 + pos) % 3 <> 0",
 )
+
+# The union counted cell by cell, a millidegree each.
+ORACLES["dissolved_centroid"] = (
+    "WITH o AS (SELECT s_suppkey::BIGINT AS r, 2500 + (s_suppkey::BIGINT * 7919) % 12400 AS bx, 4000 + (s_suppkey::BIGINT * 4729) % 9900 AS bz, "
+    "10 + s_suppkey % 7 AS shift FROM supplier), cells AS (SELECT r, bx + i AS x, bz + j AS y FROM o, range(-10, 40) a(i), range(0, 30) b(j) WHERE "
+    "(i BETWEEN 0 AND 19 AND j BETWEEN 0 AND 19 AND NOT (i BETWEEN 6 AND 9 AND j BETWEEN 6 AND 9)) "
+    "OR (i BETWEEN shift AND shift + 19 AND j BETWEEN 5 AND 24) OR (i BETWEEN 2 AND 6 AND j BETWEEN 2 AND 6) OR (i < 0 AND j < 10)) "
+    "SELECT r, count(*) AS area_millideg2, floor(avg(x + 0.5) * 1000 + 0.5)::BIGINT AS x, floor(avg(y + 0.5) * 1000 + 0.5)::BIGINT AS y FROM cells GROUP BY r"
+)

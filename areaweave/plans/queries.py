@@ -17,6 +17,7 @@ from areaweave.functions import geometry as g
 from areaweave.functions import text
 from areaweave.functions.projection import epsg_label, to_utm, to_wgs84, utm_srid
 from areaweave.operators import audit, boundary, clean, layers, report
+from areaweave.operators.dissolve import dissolved
 from areaweave.operators.rules import assign_layers, layer_array, rules_frame, tag_matches, tag_reader
 from areaweave.operators.scale import compute_once, shared_folder, through_table
 from areaweave.operators.spatial import spatial_join
@@ -235,6 +236,18 @@ def geom_category(spark, d):
     )
 
 
+@query
+def dissolved_centroid(spark, d):
+    """Area and centroid of outlines that overlap, each place counted once."""
+    found = dissolved(fx.overlapping_outlines(spark, d), "r")
+    return found.select(
+        "r",
+        F.expr(whole("area", 1_000_000)).alias("area_millideg2"),
+        F.expr(whole("x", 1_000_000)).alias("x"),
+        F.expr(whole("y", 1_000_000)).alias("y"),
+    )
+
+
 # --- boundary resolution -----------------------------------------------------
 
 

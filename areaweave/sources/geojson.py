@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from areaweave.functions import geometry as g
 from areaweave.functions.projection import to_wgs84
+from areaweave.operators.dissolve import dissolved
 from areaweave.operators.scale import compute_once
 from areaweave.settings import WGS84
 
@@ -100,8 +101,8 @@ def read_boundary_files(spark: SparkSession, paths: str | Sequence[str]) -> Data
     """One row per boundary file: manual_path, display_name, geom and extent (WGS84), problem.
 
     A file holds a FeatureCollection, a Feature or a bare geometry.  Its first feature is
-    the boundary; the outlines of all features together are the ``extent``, whose centroid
-    chooses the zone.  A file without features, or with null geometries only, has a
+    the boundary; the ``extent``, whose centroid chooses the zone, is its outline, or the centroid of the
+    union of all features' outlines where there are several.  A file without features, or with null geometries only, has a
     problem instead.
     """
     raw = (
@@ -129,6 +130,9 @@ def read_boundary_files(spark: SparkSession, paths: str | Sequence[str]) -> Data
     parts = f"flatten(transform(filter(shapes, s_ -> {g.is_area('s_')}), s_ -> s_.parts))"
     joined = compute_once(decoded, shape="get(shapes, 0)", every=g.geometry("'MultiPolygon'", parts, "srid"))
     placed = compute_once(joined, geom=to_wgs84("shape"), extent=to_wgs84("every"))
+    several = placed.where(F.size("extent.parts") > 1).select("manual_path", F.col("extent").alias("geom"))
+    middle = dissolved(several, "manual_path").select("manual_path", F.expr(g.point("x", "y")).alias("_middle"))
+    placed = placed.join(middle, "manual_path", "left").withColumn("extent", F.coalesce("_middle", "extent"))
     return placed.select("manual_path", "display_name", "geom", "extent", "problem")
 
 
