@@ -240,6 +240,16 @@ def _block_index(prepared: DataFrame, size: int, rounds: int, tasks: int = 0) ->
     return compute_once(whole, _local=_PLAIN.format("_local"), _level="_kind.level").drop("_kind", "_w")
 
 
+def _coarse_index(prepared: DataFrame, sizes: list[int]) -> DataFrame:
+    """Blocks of the coarser levels, each with its whole boundary: for streams, where pairs cannot be gathered."""
+    levels = ", ".join(f"named_struct('level', {i}, 'size', {size}L)" for i, size in enumerate(sizes) if i)
+    placed = prepared.withColumn("_lv", F.expr(f"explode(array({levels}))"))
+    for column, axis in (("_cx", "x"), ("_cy", "y")):
+        placed = placed.withColumn(column, F.expr(f"explode(sequence({', '.join(_cell_range(axis, '_lv.size', '2L'))}))"))
+    whole = compute_once(placed, _local=_PLAIN.format("_edges"), _flips="CAST(array() AS ARRAY<BIGINT>)", _base="0", _level="_lv.level")
+    return whole.drop("_edges", "_lv")
+
+
 def _inside(px: str, py: str, edges: str, flips: str, base: str) -> str:
     flipped = f"size(filter({flips}, y_ -> y_ > {py}))" if flips else "0"
     crossed = f"size(filter({edges}, e_ -> {g.edge_is_crossed('e_', px, py)}))"
@@ -326,7 +336,8 @@ def spatial_join(
     The boundary side is broadcast when its measured size allows, and then the
     features are neither shuffled nor sorted.  Otherwise the join shuffles by cell.
     A crowded cell is then split by adaptive execution, or, where the session has
-    that turned off, by ``salts`` replicas of the index.
+    that turned off, by ``salts`` replicas of the index.  Streaming ``features`` keep no state, so
+    there those wider than a cell are held against whole boundaries.
     """
     sizes = _sizes(cell_degrees)
     prepared = prepare_boundaries(boundaries)
@@ -345,6 +356,8 @@ def spatial_join(
         index_bytes = index.selectExpr(f"coalesce(sum({row}), 0L)").head()[0]
 
     keys, small = ["_level", "_cx", "_cy"], keyed.where("_level <= 0")
+    if features.isStreaming:
+        small, index = keyed, index.unionByName(_coarse_index(prepared, sizes))
     blocks = index
     if index_bytes <= broadcast_bytes:
         blocks = F.broadcast(index)
@@ -359,6 +372,8 @@ def spatial_join(
     result = pairs.where(_touches())
     result = result.drop(*[c for c in result.columns if c.startswith("_")])
 
+    if features.isStreaming:
+        return result
     # Features wider than a cell are few; what they meet is told by cells, and then they are fetched once.
     carried = [c for c in features.columns if c not in BOX_COLUMNS]
     wide = keyed.where("_level > 0").withColumn("_fid", F.xxhash64("geom")).withColumn("_fid2", F.xxhash64(F.lit(1), "geom"))
