@@ -56,6 +56,13 @@ def test_bpe_digests(spark, awkward, library):
     assert got == sorted(want, key=repr)
 
 
+def test_one_pass_equals_two(spark, awkward):
+    _, df = awkward
+    one = bpe.round_trip(df, WORD_FILE).collect()
+    two = bpe.decode(bpe.encode(df, WORD_FILE), WORD_FILE).select("doc_id", "n_tokens", "ids", "decoded").collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, two))
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000])
 @pytest.mark.parametrize("high", [1, 2, 300, 50_000, 2**32 - 1])
 def test_blocks_round_trip(n, high):
