@@ -133,7 +133,7 @@ def boundary_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.inline(variants))
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _point_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = keys(spark, sf_dir, "orders", "o_orderkey", "osmid")
     tags = F.expr(
         "CASE CAST(osmid % 8 AS INT) WHEN 0 THEN map('highway', 'traffic_signals') "
@@ -143,9 +143,30 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ELSE map('natural', 'water') END"
     )
     px, py = "2500 + (osmid * 7919) % 12500", "4000 + (osmid * 104729) % 10000"
-    tagged = base.select(F.lit("node").alias("element_type"), "osmid", tags.alias("tags"))
-    spot = g.point(f"({px}) / 1000D", f"({py}) / 1000D")
-    return with_geom(tagged, spot, "element_type", "osmid", "tags")
+    return base.select(
+        F.lit("node").alias("element_type"), "osmid", tags.alias("tags"), F.expr(px).alias("px"), F.expr(py).alias("py")
+    )
+
+
+_SPOT = g.point("px / 1000D", "py / 1000D")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_geom(_point_base(spark, sf_dir), _SPOT, "element_type", "osmid", "tags")
+
+
+def changed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points a day later: by column of places some are gone, moved, tagged anew so that layers differ,
+    tagged anew so that none does, or there twice; south of 8 degrees only."""
+    south = _point_base(spark, sf_dir).withColumn("col", F.expr("CASE WHEN py < 8000 THEN floor((px - 2600) / 2400) END"))
+    tags = (
+        "CASE WHEN col = 2 AND osmid % 8 = 4 THEN map('amenity', 'hospital') "
+        "WHEN col = 3 AND osmid % 8 = 6 THEN map('shop', 'bakery') ELSE tags END"
+    )
+    kept = south.where("coalesce(col, -1) <> 0 OR osmid % 10 <> 0").withColumn("tags", F.expr(tags))
+    moved = kept.withColumn("px", F.expr("CASE WHEN col = 1 AND osmid % 10 = 1 THEN px + 1 ELSE px END"))
+    twice = moved.withColumn("n", F.expr("explode(CASE WHEN col = 4 AND osmid % 10 = 3 THEN array(1, 2) ELSE array(1) END)"))
+    return with_geom(twice, _SPOT, "element_type", "osmid", "tags")
 
 
 _LINE_TAGS = (

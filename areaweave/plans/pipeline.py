@@ -12,6 +12,7 @@ from areaweave.operators import audit
 from areaweave.operators.boundary import normalise_requests, resolve_boundaries
 from areaweave.operators.clean import clean_layers
 from areaweave.operators.layers import check_strict, extract_features, layer_counts, layer_notes
+from areaweave.operators.reuse import content_fingerprints, pending_areas
 from areaweave.operators.scale import through_table
 from areaweave.sinks import files, snapshots
 from areaweave.sources.geojson import read_manual
@@ -57,6 +58,7 @@ def extract_lgas(
     finished: DataFrame | None = None,
     ledger: DataFrame | None = None,
     snapshot: str | None = None,
+    by_content: bool = False,
 ) -> Run:
     """Resolve, extract, clean, export and log every requested area.
 
@@ -64,7 +66,8 @@ def extract_lgas(
     tables: the boundaries, the raw features and the cleaned layers.  ``strict``
     raises on a bad rule or an unresolved area before anything is exported.
     Areas with a record in ``finished`` (see read_runs) under the same rules are
-    left out.  Boundary files that ``requests`` names are read unless ``manual`` has them.
+    left out; with ``by_content`` only those in which nothing changed since (see content_fingerprints), which
+    every record keeps as ``content_hash``: they are matched with the elements, and go no further.  Boundary files that ``requests`` names are read unless ``manual`` has them.
     Rejected requests and features left out are written, counted in ``outcomes``, and
     noted in the warnings of their area.  A ``ledger`` of the elements' files (see read_ledger) turns
     broken ones into notes for their layers, or raises if ``strict``.  With a ``snapshot``, a new run id,
@@ -75,7 +78,7 @@ def extract_lgas(
     broken = None if ledger is None else through_table(input_notes(ledger, rules))
     if strict and broken is not None:
         check_inputs(broken)
-    if finished is not None:
+    if finished is not None and not by_content:
         requests = audit.pending_requests(requests, finished, rules)
     if manual is None and "manual_path" in requests.columns:
         named = normalise_requests(requests).where("manual_path IS NOT NULL").select("manual_path").distinct()
@@ -83,10 +86,17 @@ def extract_lgas(
     resolution = resolve_boundaries(requests, gazetteer, manual, strict=strict)
     boundaries = through_table(resolution.accepted)
     raw = through_table(extract_features(elements, boundaries, rules))
+    # At most a row for each layer.
+    troubles = [] if broken is None else broken.collect()
+    prints = content_fingerprints(raw, boundaries, [row["message"] for row in troubles])
+    if finished is not None and by_content:
+        prints = through_table(prints)
+        pending = through_table(pending_areas(prints, finished, rules))
+        boundaries = through_table(boundaries.join(pending, "lga_id", "left_semi"))
+        raw = raw.join(pending, "lga_id", "left_semi")
     notes = layer_notes(layer_counts(raw, boundaries, rules), rules)
     if broken is not None:
-        # At most a row for each layer.
-        found = [F.struct(*[F.lit(row[c]).alias(c) for c in broken.columns]) for row in broken.collect()]
+        found = [F.struct(*[F.lit(row[c]).alias(c) for c in broken.columns]) for row in troubles]
         if found:
             notes = notes.unionByName(boundaries.select("lga_id", F.inline(F.array(*found))).select(*notes.columns))
     cleaned = clean_layers(raw)
@@ -94,7 +104,7 @@ def extract_lgas(
     warnings = audit.fold_warnings(boundaries, notes.unionByName(audit.left_out_notes(outcomes, rules)))
     layers = through_table(cleaned.layers)
     manifest = export_layers(layers, boundaries, path, rules, write and snapshot is None)
-    runs = audit.run_records(boundaries, manifest, warnings, rules, timestamp)
+    runs = audit.run_records(boundaries, manifest, warnings, rules, timestamp).join(prints, "lga_id", "left")
     if write and snapshot is not None:
         tables = {"layers": layers, "quarantined": cleaned.quarantined, "rejected": resolution.rejected, "manifest": manifest, "runs": runs}
         snapshots.stage(tables, path, snapshot)

@@ -18,13 +18,14 @@ from areaweave.functions import text
 from areaweave.functions.projection import epsg_label, to_utm, to_wgs84, utm_srid
 from areaweave.operators import audit, boundary, clean, layers, report
 from areaweave.operators.dissolve import dissolved
+from areaweave.operators.reuse import content_fingerprints, pending_areas
 from areaweave.operators.rules import assign_layers, layer_array, rules_frame, tag_matches, tag_reader
 from areaweave.operators.scale import compute_once, shared_folder, through_table
 from areaweave.operators.spatial import spatial_join
 from areaweave.plans import fixtures as fx
 from areaweave.plans.pipeline import export_layers, extract_lgas
 from areaweave.settings import DEFAULT_RULES
-from areaweave.sinks import files, snapshots
+from areaweave.sinks import files, increments, snapshots
 from areaweave.sources import elements as el
 from areaweave.sources import ledger
 from areaweave.sources.geojson import encode, read_layers, read_manual
@@ -717,6 +718,38 @@ def run_reuse(spark, d):
     return audit.pending_requests(fx.requests(spark, d), runs).select("lga_name", "state_name")
 
 
+@query
+def run_reuse_by_content(spark, d):
+    """Places to run again a day later; one in four has a record under other rules, one in five has none."""
+    found = accepted(spark, d)
+    runs = content_fingerprints(layers.extract_features(fx.points(spark, d), found), found).join(found, "lga_id").select(
+        "lga_id",
+        "content_hash",
+        F.expr(f"CASE WHEN CAST(substr(lga_name, 5) AS INT) % 4 = 3 THEN 'other' ELSE '{audit.rules_hash()}' END").alias("rules_hash"),
+    )
+    known = runs.join(found.where("CAST(substr(lga_name, 5) AS INT) % 5 = 2"), "lga_id", "left_anti")
+    later = content_fingerprints(layers.extract_features(fx.changed_points(spark, d), found), found)
+    return pending_areas(later, known).join(found, "lga_id").select("lga_id", "lga_name", "state_name")
+
+
+@query
+def streamed_layers(spark, d):
+    """Elements in three batches: a third elsewhere at first, a third delivered again, a batch tried again; published after each."""
+    path, found = _folder(spark), accepted(spark, d)
+    turn = F.expr("CAST(osmid % 3 AS INT)")
+    elements = through_table(fx.features(spark, d))
+    north = F.transform("geom.parts", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: v.withField("y", v["y"] + 0.3))))
+    early = elements.where(turn == 1).withColumn("geom", F.col("geom").withField("parts", north))
+    feeds = (elements.where(turn == 0).unionByName(early), elements.where(turn == 2), elements.where(turn > 0))
+    for i, feed in enumerate(feeds):
+        feed.write.mode("append").parquet(f"{path}/feed")
+        arriving = spark.readStream.schema(elements.schema).parquet(f"{path}/feed")
+        increments.stream_layers(arriving, found, path, f"{path}/progress").awaitTermination()
+        assert not increments.record_batch(feed, found, path, i)
+        assert increments.publish(spark, path, found) and increments.publish(spark, path, found) is None
+    return vertex_rows(snapshots.read_snapshot(spark, path, "layers"), 1000, "lga_id", "layer", "element_type", "osmid")
+
+
 @query
 def redact_tokens(spark, d):
     done = report.redact_tokens(fx.texts(spark, d), "text")

@@ -14,7 +14,7 @@ _RUN_SCHEMA = (
     "boundary_source STRING, target_crs STRING, tag_config STRING, rules_hash STRING, "
     "warnings ARRAY<STRING>, "
     "exported_layers MAP<STRING, STRUCT<geojson: STRING, parts: MAP<STRING, STRING>>>, "
-    "skipped_layers ARRAY<STRING>, split_layers MAP<STRING, ARRAY<STRING>>"
+    "skipped_layers ARRAY<STRING>, split_layers MAP<STRING, ARRAY<STRING>>, content_hash STRING"
 )
 
 
