@@ -14,11 +14,13 @@ plainly the longer it is.  Fisher's method combines the three; within each encod
 and length group the Benjamini-Hochberg rule then holds the share of false finds, over all
 candidates of the table, at a given rate.
 
-Only built-in functions; texts are read once and never shuffled.
+Only built-in functions; texts are read once and never shuffled.  Two scans of every text tell
+which patterns can match in it at all; the others, several times dearer, run where they can.
 """
 
 from __future__ import annotations
 
+import string
 from math import pi
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,8 +35,13 @@ ASSIGN_VALUE = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
+#: Characters of encodings.  Java looks listed ones up in a table and compares ranges one by one.
+_LETTERS = f"[{string.ascii_lowercase}{string.ascii_uppercase}{string.digits}+/_-]"
 #: What may be an encoded secret; it must hold a letter as well (digits alone are hex runs).
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
+CANDIDATE = f"(?<!{_LETTERS}){_LETTERS}{{16,}}+={{0,2}}"
+#: Found in every text with a candidate, an access key or a hex run, and in every text with an assignment that is kept.
+LONG = _LETTERS + "{16}"
+SIGNED = rf"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{{{ASSIGN_VALUE}}}"""
 #: Highest share of false finds among the strings that the tests find.
 FALSE_RATE = 0.01
 #: Candidates are grouped by length in steps of this many characters, up to LAST_GROUP steps.
@@ -70,10 +77,14 @@ def _before(values: str, op) -> Column:
     return F.when(F.size(values) > 0, F.flatten(each)).otherwise(none)
 
 
-def _with_places(df: DataFrame, name: str, pattern: str) -> DataFrame:
-    """Adds ``name``: start and string of all matches, leftmost, not overlapping, in code points."""
+def _with_places(df: DataFrame, name: str, pattern: str, maybe: str) -> DataFrame:
+    """Adds ``name``: start and string of all matches, leftmost, not overlapping, in code points.
+
+    Texts of which the column ``maybe`` is false are not looked at.
+    """
     value = F.lit(pattern)
-    hit = F.rlike("text", value)
+    df = compute_once(df, _hit=F.when(F.col(maybe), F.rlike("text", value)).otherwise(F.lit(False)))
+    hit = F.col("_hit")
     df = compute_once(
         df,
         _pieces=F.when(hit, F.transform(F.split("text", value, -1), lambda x: F.length(x))).otherwise(F.array().cast("array<int>")),
@@ -83,7 +94,7 @@ def _with_places(df: DataFrame, name: str, pattern: str) -> DataFrame:
     df = compute_once(df, _steps=F.zip_with("_found", "_pieces", lambda m, p: F.coalesce(F.length(m), F.lit(0)) + p))
     df = compute_once(df, _at=_before("_steps", lambda a, b: a + b))
     each = F.transform("_found", lambda m, i: F.struct((F.get("_at", i) + F.get("_pieces", i)).alias("start"), m.alias("value")))
-    return compute_once(df, **{name: each}).drop("_pieces", "_found", "_steps", "_at")
+    return compute_once(df, **{name: each}).drop("_hit", "_pieces", "_found", "_steps", "_at")
 
 
 def _spans(places: str, kind: str, keep=None) -> Column:
@@ -105,10 +116,19 @@ def _below(z: Column) -> Column:
     return F.when(z < -2.5, tail).otherwise(1 / (1 + F.exp(-z * (1.5976 + 0.070566 * z * z))))
 
 
+def _let(of, **values: Column) -> Column:
+    """``of`` a struct of the values, each computed once however often ``of`` names it."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(name) for name, v in values.items()])), of), F.lit(0))
+
+
 def _tested(value: Column) -> Column:
     """Encoding, length group and step of the combined p-value of a candidate string."""
-    core = F.rtrim(value, F.lit("="))
-    n = F.length(core).cast("double")
+    return _let(lambda s: _let(_of_core, core=s["core"], n=F.length(s["core"]).cast("double")), core=F.rtrim(value, F.lit("=")))
+
+
+def _of_core(s: Column) -> Column:
+    """What the three statistics are made of."""
+    core, n = s["core"], s["n"]
     is_hex = core.rlike("^([0-9a-f]+|[0-9A-F]+)$")
     size = (
         F.when(is_hex, 16)
@@ -120,30 +140,55 @@ def _tested(value: Column) -> Column:
     chars = F.split(core, "")
     counts = F.transform(F.array_distinct(chars), lambda c: n - F.length(F.replace(core, c, F.lit(""))))
     squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-    chi = size / n * squares - n
-    p_even = _below((chi - (size - 1 + n * UNEVEN)) / F.sqrt(2 * (size - 1) + 4 * n * UNEVEN))
-
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
         core, "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "[^lud]", "o")
+    vowel = F.regexp_replace(F.regexp_replace(core, "[aeiouAEIOU]", "~"), "[^~]", ".")
+    return _let(_of_strings, n=n, size=size, squares=squares, classes=classes, vowel=vowel)
+
+
+def _of_strings(s: Column) -> Column:
+    n, classes, vowel = s["n"], s["classes"], s["vowel"]
     shares = [(n - F.length(F.replace(classes, F.lit(c), F.lit("")))) / n for c in "ludo"]
-    chance = (1 - STICKY) * (1 - sum(s * s for s in shares))
-    changes = F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1
-    p_runs = _below(((n - 1) * chance - changes) / F.sqrt(F.greatest((n - 1) * chance * (1 - chance), F.lit(0.1))))
+    return _let(
+        _of_counts,
+        n=n,
+        size=s["size"],
+        squares=s["squares"],
+        **{c: share for c, share in zip("ludo", shares, strict=True)},
+        changes=F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1,
+        share=(n - F.length(F.replace(vowel, F.lit("~"), F.lit("")))) / n,
+        pairs=F.length(F.regexp_replace(vowel, "~(?!~)|[.]", "")).cast("double"),  # vowels before a vowel
+    )
+
+
+def _of_counts(s: Column) -> Column:
+    n, size, changes, share, pairs = (s[c] for c in ("n", "size", "changes", "share", "pairs"))
+    chi = size / n * s["squares"] - n
+    even = (chi - (size - 1 + n * UNEVEN)) / F.sqrt(2 * (size - 1) + 4 * n * UNEVEN)
+
+    chance = (1 - STICKY) * (1 - sum(s[c] * s[c] for c in "ludo"))
+    runs = ((n - 1) * chance - changes) / F.sqrt(F.greatest((n - 1) * chance * (1 - chance), F.lit(0.1)))
 
-    vowel = F.regexp_replace(F.regexp_replace(core, "[aeiouAEIOU]", "~"), "[^~]", ".")
-    share = (n - F.length(F.replace(vowel, F.lit("~"), F.lit("")))) / n
-    pairs = F.length(F.regexp_replace(vowel, "~(?!~)|[.]", "")).cast("double")  # vowels before a vowel
     spread = F.greatest(share * (1 - share), F.lit(0.01))
     serial = F.greatest(F.lit(-0.9), F.least(F.lit(0.9), (pairs / (n - 1) - share * share) / spread))
-    p_serial = _below((F.atanh(F.lit(VOWELS)) - F.atanh(serial)) * F.sqrt(n - 3))
+    z_serial = (F.atanh(F.lit(VOWELS)) - F.atanh(serial)) * F.sqrt(n - 3)
     # One class and only vowels, or none (xxxx...): nothing that could correlate.
-    p_serial = F.when((changes == 0) & ((share == 0) | (share == 1)), 1.0).otherwise(p_serial)
+    alike = (changes == 0) & ((share == 0) | (share == 1))
+    return _let(_of_scores, n=n, size=size, even=even, runs=runs, serial=z_serial, alike=alike)
+
+
+def _of_scores(s: Column) -> Column:
+    n, size = s["n"], s["size"]
+    ps = _below(s["even"]), _below(s["runs"]), F.when(s["alike"], 1.0).otherwise(_below(s["serial"]))
+
+    def result(t):
+        x = t["x"]
+        combined = F.exp(-x) * (1 + x + x * x / 2)
+        step = F.least(F.lit(STEPS), F.floor(-10 * F.log10(combined) + 1e-9)).cast("int")
+        group = F.least(F.lit(LAST_GROUP), F.floor(n / GROUP)).cast("int")
+        return F.struct((size * 100 + group).cast("int").alias("group"), step.alias("step"))
 
-    x = -sum(F.ln(F.greatest(p, F.lit(1e-12))) for p in (p_even, p_runs, p_serial))
-    combined = F.exp(-x) * (1 + x + x * x / 2)
-    step = F.least(F.lit(STEPS), F.floor(-10 * F.log10(combined) + 1e-9)).cast("int")
-    group = F.least(F.lit(LAST_GROUP), F.floor(n / GROUP)).cast("int")
-    return F.struct((size * 100 + group).cast("int").alias("group"), step.alias("step"))
+    return _let(result, x=-sum(F.ln(F.greatest(p, F.lit(1e-12))) for p in ps))
 
 
 def _thresholds(found: DataFrame, rate: float) -> Column:
@@ -170,8 +215,10 @@ def find_secrets(docs: DataFrame, rate: float = FALSE_RATE) -> DataFrame:
     other columns do not count; repeated rows are scanned each, and all count as candidates.
     """
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    for name, pattern in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX), ("_maybe", CANDIDATE)):
-        df = _with_places(df, name, pattern)
+    df = compute_once(df, _signed=F.rlike("text", F.lit(SIGNED)), _long=F.rlike("text", F.lit(LONG)))
+    df = _with_places(df, "_assign", ASSIGN, "_signed")
+    for name, pattern in (("_access", ACCESS), ("_hex", HEX), ("_maybe", CANDIDATE)):
+        df = _with_places(df, name, pattern, "_long")
     # Of an assignment the value counts: what is left without the word, the sign and the quote.
     long_value = lambda p: F.length(F.regexp_extract(p["value"], ASSIGN, 2)) >= ASSIGN_VALUE
     base = F.concat(_spans("_assign", "assign", long_value), _spans("_access", "access"), _spans("_hex", "hex"))

@@ -84,3 +84,24 @@ def test_statistics_are_defined(spark, value):
 def test_no_python_in_the_plan(spark, awkward):
     plan = S.find_secrets(awkward[1])._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
+
+
+def test_each_statistic_of_a_candidate_is_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    plan = spark.range(1).select(S._tested(F.col("id").cast("string")).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == 8
+
+
+def test_texts_that_a_scan_leaves_out_hold_no_find(spark):
+    """Whatever a base pattern or the method may find, one of the two scans of all texts lets through."""
+    r = random.Random(5)
+    texts = ["".join(r.choices("ab0f+/_-= :.'\"é\n", k=40)) + r.choice(["", "AKIA" + "A1" * 8, "tOKEN='", "secret : ", "api_key="]) for _ in range(400)]
+    texts += [t + v for t in texts[:100] for v in ("abcdef.=/_12", "abcdef.=/_1", "0" * 16, "f" * 15, "=" * 12)]
+    for text in texts:
+        if brute(text):
+            assert re.search(S.LONG, text) or re.search(S.SIGNED, text), text
+        assert not any(k == 0 for _, k, _ in brute(text)) or re.search(S.SIGNED, text)
+        assert not any(k in (1, 2) for _, k, _ in brute(text)) or re.search(S.LONG, text)
+    for row in S.find_secrets(frame(spark, list(enumerate(texts)))).collect():
+        assert base(row) == brute(texts[row.doc_id])
