@@ -10,6 +10,9 @@ of a cycle know the same least one, and their distances to it are their order.
 equi-join of small rows on keys that hold the way's own place, so a relation of any number of members
 never meets in one row before it is rings, and the number of rounds grows with the logarithm of the
 longest ring.
+
+Both sides of these joins grow with the data, and packed files say little of the rows in memory, so
+they are merge joins by hint: Spark's own size check would send many of them through the driver.
 """
 
 from __future__ import annotations
@@ -64,7 +67,7 @@ def ordered_cycles(directed: DataFrame) -> DataFrame:
         )
         nearer = F.col("_lead") < F.col("lead")
         state = through_table(
-            state.join(there, ["relation_id", "role", "next"]).select(
+            state.join(there.hint("merge"), ["relation_id", "role", "next"]).select(
                 "relation_id", "role", "pos", "dir", F.col("_next").alias("next"),
                 F.when(nearer, F.col("_lead")).otherwise(F.col("lead")).alias("lead"),
                 F.when(nearer, F.col("_ahead")).otherwise(F.col("ahead")).alias("ahead"),
@@ -94,10 +97,10 @@ def stitch(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = unfit.where("open OR branches").select(
         "relation_id", F.when(F.col("open"), "member_not_closed").otherwise("ring_branches").alias("reason")
     )
-    sound = met.join(bad.select("relation_id"), "relation_id", "left_anti")
+    sound = met.join(bad.select("relation_id").hint("merge"), "relation_id", "left_anti")
     # Of a ring's two cycles the one counts that takes its first way as drawn.
     cycles = ordered_cycles(_directed(sound)).where("lead.dir = 0")
-    taken = ways.join(cycles, _WAY)
+    taken = ways.join(cycles.hint("merge"), _WAY)
     turned = F.when(F.col("dir") == 0, F.col("path")).otherwise(F.reverse("path"))
     # The leader comes first; who is one step before it has the greatest place.  Each way brings all its vertices but the last.
     place = F.when(F.col("ahead") == 0, F.lit(0).cast("bigint")).otherwise(-F.col("ahead"))
@@ -110,4 +113,4 @@ def stitch(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
     rings = joined.select("relation_id", "role", F.col("lead_pos").alias("pos"), "way_id", closed.alias("path"))
     rings = through_table(rings)
     short = rings.where(F.size("path") < 4).select("relation_id", F.lit("ring_too_short").alias("reason")).distinct()
-    return rings.join(short.select("relation_id"), "relation_id", "left_anti"), bad.unionByName(short)
+    return rings.join(short.select("relation_id").hint("merge"), "relation_id", "left_anti"), bad.unionByName(short)

@@ -1,5 +1,6 @@
 import pytest
 
+from areaweave.operators.scale import through_table
 from areaweave.sources import elements as el, rings
 
 
@@ -85,3 +86,17 @@ def test_a_ring_of_many_ways_takes_few_rounds(spark, monkeypatch):
     assert rejects == []
     assert shapes[1] == [[[(x, y) for _, x, y in spots] + [(0.0, 0.0)]]]
     assert len(rounds) <= 16  # about log2(700), and the tables before and after
+
+
+def test_no_side_goes_through_the_driver(spark, monkeypatch):
+    """Tables of ways look small by their packed files, so Spark would broadcast them in every round."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return through_table(df)
+
+    monkeypatch.setattr(rings, "through_table", kept)
+    shapes, rejects = assembled(spark, SQUARE, [(1, 0, 1, "outer"), (1, 1, 2, "outer"), (1, 2, 3, "inner"), (1, 3, 4, "inner"), (1, 4, 5, "inner")])
+    assert len(shapes[1]) == 1 and rejects == []
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
