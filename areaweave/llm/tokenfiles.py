@@ -51,6 +51,11 @@ def _widths(values: np.ndarray) -> np.ndarray:
     return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
+def _holding(width: int) -> np.dtype:
+    """The least whole type that holds ``width`` bits, up to 32."""
+    return np.dtype("u1" if width <= 8 else "<u2" if width <= 16 else "<u4")
+
+
 def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     """Start of each block, and all blocks."""
     n = len(ids)
@@ -70,7 +75,10 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         plain = np.where(odd[rows], 0, grid[rows])
-        each = ((plain[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
+        # A number is read as the least whole type that holds the width; its first bits are kept.
+        type_ = _holding(int(w))
+        each = np.unpackbits(plain.astype(type_).view(np.uint8).ravel(), bitorder="little")
+        each = each.reshape(len(rows), BLOCK, 8 * type_.itemsize)[:, :, : int(w)]
         packed = np.packbits(each.reshape(len(rows), BLOCK * int(w)), axis=1, bitorder="little")
         for row, data in zip(rows, packed, strict=True):
             out[row] = data.tobytes()
@@ -108,10 +116,10 @@ def unpack_blocks(data: bytes, start: np.ndarray, n: int) -> np.ndarray:
             size = int(held[rows[0]])
             packed = raw[start[rows][:, None] + 6 + np.arange(-(-size * w // 8))]
             each = np.unpackbits(packed, axis=1, count=size * w, bitorder="little").reshape(len(rows), size, w)
-            total = np.zeros((len(rows), size), np.uint32)
-            for k in range(w):
-                total |= each[:, :, k].astype(np.uint32) << np.uint32(k)
-            grid[rows, :size] = total
+            type_ = _holding(int(w))
+            whole = np.zeros((len(rows), size, 8 * type_.itemsize), np.uint8)
+            whole[:, :, :w] = each
+            grid[rows, :size] = np.packbits(whole.ravel(), bitorder="little").view(type_).reshape(len(rows), size)
     after = start + 6 + -(-held * width // 8)
     for i in np.flatnonzero(odd):
         a, k = after[i], odd[i]
@@ -220,7 +228,7 @@ def _write(tokenizer: str, end: int):
                 [pa.array([_segment(shard, docs, sizes, np.concatenate(parts))], pa.binary())], ["segment"]
             )
 
-        for batch in W.slices(batches, most=1 << 20):
+        for batch in W.slices(batches, most=2 << 20):
             ids, first = encode(batch.column("text"))
             shard = batch.column("shard")[0].as_py()
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):

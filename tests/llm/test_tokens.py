@@ -105,3 +105,15 @@ def test_no_documents_no_segments(spark, empty, tmp_path):
     path = str(tmp_path / "none")
     T.write_token_files(empty, path, BYTE_FILE)
     assert T.read_token_files(spark, path).collect() == []
+
+
+@pytest.mark.parametrize("width", range(33))
+def test_bits_are_read_as_the_least_type_that_holds_them(width):
+    type_ = T._holding(width)
+    assert type_.itemsize * 8 >= width and (type_.itemsize == 1 or type_.itemsize * 4 < width)
+    ids = np.random.default_rng(width).integers(0, 2**width, 1000, dtype=np.uint64).astype(np.uint32)
+    start, blocks = T.pack_blocks(ids)
+    bits = "".join(f"{x - ids[:128].min():032b}"[::-1][: blocks[4]] for x in ids[:128])
+    if not blocks[5]:  # no exceptions in the first block: its bits, one number after the other, lowest first
+        assert blocks[6 : 6 + len(bits) // 8] == bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+    assert T.unpack_blocks(blocks, start, len(ids)).tolist() == ids.tolist()
