@@ -71,30 +71,32 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     odd = bits > width[:, None]
     if blocks * BLOCK > n:
         odd[-1, n - (blocks - 1) * BLOCK :] = False
-    out: list[bytes] = [b""] * blocks
-    for w in np.unique(width):
+    counts = odd.sum(1)
+    held = np.full(blocks, BLOCK)
+    held[-1] = n - (blocks - 1) * BLOCK
+    after = 6 + -(-held * width // 8)
+    size = after + 5 * counts
+    start = np.cumsum(size) - size
+    after += start
+    # The short last block is written as if it were full, so there is room behind it.
+    out = np.zeros(int(start[-1] + size[-1]) + 4 * BLOCK, np.uint8)
+    head = np.zeros(blocks, [("low", "<u4"), ("width", "u1"), ("odd", "u1")])
+    head["low"], head["width"], head["odd"] = low, width, counts
+    out[start[:, None] + np.arange(6)] = head.view(np.uint8).reshape(blocks, 6)
+    for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         plain = np.where(odd[rows], 0, grid[rows])
         # A number is read as the least whole type that holds the width; its first bits are kept.
-        type_ = _holding(int(w))
+        type_ = _holding(w)
         each = np.unpackbits(plain.astype(type_).view(np.uint8).ravel(), bitorder="little")
-        each = each.reshape(len(rows), BLOCK, 8 * type_.itemsize)[:, :, : int(w)]
-        packed = np.packbits(each.reshape(len(rows), BLOCK * int(w)), axis=1, bitorder="little")
-        for row, data in zip(rows, packed, strict=True):
-            out[row] = data.tobytes()
-    counts = odd.sum(1)
-    held = np.full(blocks, BLOCK)
-    held[-1] = n - (blocks - 1) * BLOCK
-    out[-1] = out[-1][: -(-int(held[-1]) * int(width[-1]) // 8)]
-    place, value = np.nonzero(odd)[1].astype(np.uint8), grid[odd].astype("<u4")
-    at = np.cumsum(counts) - counts
-    made = []
-    for i in range(blocks):
-        a, b = at[i], at[i] + counts[i]
-        head = struct.pack("<IBB", low[i], width[i], counts[i])
-        made.append(head + out[i] + (place[a:b].tobytes() + value[a:b].tobytes() if b > a else b""))
-    size = np.fromiter(map(len, made), np.int64, blocks)
-    return (np.cumsum(size) - size).astype("<u4"), b"".join(made)
+        each = each.reshape(len(rows), BLOCK, 8 * type_.itemsize)[:, :, :w]
+        packed = np.packbits(each.reshape(len(rows), BLOCK * w), axis=1, bitorder="little")
+        out[start[rows][:, None] + 6 + np.arange(packed.shape[1])] = packed
+    row, place = np.nonzero(odd)
+    rank = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+    out[after[row] + rank] = place
+    out[(after[row] + counts[row] + 4 * rank)[:, None] + np.arange(4)] = grid[odd].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return start.astype("<u4"), out[: int(start[-1] + size[-1])].tobytes()
 
 
 def unpack_blocks(data: bytes, start: np.ndarray, n: int) -> np.ndarray:
@@ -176,27 +178,33 @@ def library_encoder(path: str, whole: list[bytes] = (b"<|endoftext|>",)):
         def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             # In one text the library is called once.  A unit that begins with a space is a piece of
             # its own there; before any other stands a line feed, which no token of a unit holds.
-            blank = np.array([u.isspace() or (u[0] in _BLANK and u.decode("utf-8").isspace()) for u in units], bool)
-            if blank.any():
+            odd = [i for i, u in enumerate(units) if u.isspace() or (u[0] in _BLANK and u.decode("utf-8").isspace())]
+            blank = np.zeros(len(units), bool)
+            blank[odd] = True
+            if odd:
                 split = [[units[i] for i in np.flatnonzero(mask).tolist()] for mask in (~blank, blank)]
                 ids, count = (np.concatenate(x) for x in zip(encode(split[0]), alone(split[1]), strict=True))
                 order = np.argsort(np.argsort(blank, kind="stable"))
                 begin, count = (np.cumsum(count) - count)[order], count[order]
                 return ids[np.arange(len(ids)) + np.repeat(begin - np.cumsum(count) + count, count)], count
             all_ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+            length = np.fromiter(map(len, units), np.int64, len(units))
+            data, begin = np.frombuffer(b"".join(units), np.uint8), np.cumsum(length) - length
+            feed = data[begin] != 32
+            data = np.insert(data, begin[feed], 10)
+            length += feed
+            begin = np.cumsum(length) - length
             for a in range(0, len(units), JOINED):
-                part = [u if u[:1] == b" " else b"\n" + u for u in units[a : a + JOINED]]
-                found = model.encode_batch_fast([b"".join(part).decode("utf-8")], add_special_tokens=False)[0]
+                part = slice(a, a + JOINED)
+                text = data[begin[a] : begin[part][-1] + length[part][-1]]
+                found = model.encode_batch_fast([text.tobytes().decode("utf-8")], add_special_tokens=False)[0]
                 ids = np.array(found.ids, np.uint32)
-                stop = np.cumsum(size[ids])
-                length = np.fromiter(map(len, part), np.int64, len(part))
-                first = np.searchsorted(stop, np.cumsum(length) - length, "right")
+                first = np.searchsorted(np.cumsum(size[ids]), begin[part] - begin[a], "right")
                 count = np.diff(first, append=len(ids))
-                feed = np.array([u[:1] == b"\n" for u in part])
                 keep = np.ones(len(ids), bool)
-                keep[first[feed]] = False
+                keep[first[feed[part]]] = False
                 all_ids.append(ids[keep])
-                counts.append(count - feed)
+                counts.append(count - feed[part])
             return np.concatenate(all_ids), np.concatenate(counts)
 
         _ENCODERS[path] = (Encoder(encode, classes=True), alone)

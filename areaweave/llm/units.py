@@ -97,6 +97,20 @@ def cut_classes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     return begin, np.concatenate([begin[1:], end[-1:]])
 
 
+def distinct_rows(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each distinct value, any one, in ascending order of values; and for each row the place in that list.
+
+    ``np.unique`` gives the first row, for which it needs the slower stable sort.
+    """
+    order = np.argsort(values)
+    held = values[order]
+    begins = np.ones(len(values), bool)
+    begins[1:] = held[1:] != held[:-1]
+    which = np.empty(len(values), np.int64)
+    which[order] = np.cumsum(begins) - 1
+    return order[begins], which
+
+
 class _Store:
     """Units with their ids: one array of all ids, and where those of each unit begin."""
 
@@ -158,7 +172,7 @@ class Encoder:
         if self._classes:
             start, end = cut_classes(data, start, end)
         units = W.Words(data, start, end, offset)
-        _, sample, which = np.unique(W.word_hashes(units), return_index=True, return_inverse=True)
+        sample, which = distinct_rows(W.word_hashes(units))
         odd = np.flatnonzero(W.differ(units, np.arange(len(which)), sample[which]))
         if len(odd):  # other bytes under the same hash: each stands for itself
             which[odd] = len(sample) + np.arange(len(odd))
@@ -178,6 +192,7 @@ class Encoder:
             new = [missing[i] for i in np.flatnonzero(before < 0).tolist()]
             if new:
                 known.add(new, *self._encode(new))
-            place = known.find(distinct)
+            unknown = np.flatnonzero(place < 0)
+            place[unknown] = known.find([distinct[i] for i in unknown.tolist()])
         ids, count = known.ids(place[which])
         return ids, np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, offset)]

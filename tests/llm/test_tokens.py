@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from areaweave.llm import bpe, tokenfiles as T
+from areaweave.llm import bpe, tokenfiles as T, units
 from tests.llm.conftest import frame, prose
 
 WORD_FILE, BYTE_FILE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -117,3 +117,14 @@ def test_bits_are_read_as_the_least_type_that_holds_them(width):
     if not blocks[5]:  # no exceptions in the first block: its bits, one number after the other, lowest first
         assert blocks[6 : 6 + len(bits) // 8] == bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
     assert T.unpack_blocks(blocks, start, len(ids)).tolist() == ids.tolist()
+
+
+def test_known_units_are_looked_up_once_a_batch(monkeypatch):
+    looked = []
+    find = units._Store.find
+    monkeypatch.setattr(units._Store, "find", lambda self, asked: looked.append(len(asked)) or find(self, asked))
+    encoder = T.Encoder(lambda new: (np.arange(len(new), dtype=np.uint32), np.ones(len(new), np.int64)))
+    encoder.ids(pa.array([" ".join(f"w{k}" for k in range(1000))]))
+    looked.clear()
+    ids, _ = encoder.ids(pa.array([" ".join(f"w{k}" for k in range(1001))]))
+    assert len(ids) == 1001 and sum(looked) <= 1001 + 3
