@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from areaweave.functions import geometry as g
 from areaweave.operators.scale import compute_once, through_table
+from areaweave.operators.totals import cell_totals, summed
 from areaweave.settings import BROADCAST_BYTES, CELL_DEGREES, FIXED_POINT, SALTS
 
 # Each grid level is this much coarser than the one before.
@@ -112,9 +113,9 @@ class _Measured:
     extent: tuple[int, int, int, int] | None
 
 
-def _measure(prepared: DataFrame, size: int) -> _Measured:
+def _measure(prepared: DataFrame, size: int, kinds: dict[int, int] = _SPANS) -> _Measured:
     counts, widest = [], []
-    for span in _SPANS.values():
+    for span in kinds.values():
         (x0, x1), (y0, y1) = (_cell_range(axis, f"{size}L", f"{span}L") for axis in "xy")
         across, up = f"({x1} - ({x0}) + 1D)", f"({y1} - ({y0}) + 1D)"
         counts.append(f"{across} * {up}")
@@ -151,9 +152,9 @@ def _scan_boxes(prepared: DataFrame, features: DataFrame, extent: tuple | None)
     return few if 0 < len(few) <= _SCAN_BOXES else [extent]
 
 
-def _roots(prepared: DataFrame, size: int) -> DataFrame:
+def _roots(prepared: DataFrame, size: int, kinds: dict[int, int] = _SPANS) -> DataFrame:
     """One tree for each boundary and kind of block: a square of cells around the boundary, with all its edges."""
-    kinds = ", ".join(f"named_struct('level', {level}, 'span', {span}L)" for level, span in _SPANS.items())
+    kinds = ", ".join(f"named_struct('level', {level}, 'span', {span}L)" for level, span in kinds.items())
     (x0, x1), (y0, y1) = (_cell_range(axis, f"{size}L", "_kind.span") for axis in "xy")
     widest = f"greatest({x1} - ({x0}), {y1} - ({y0})) + 1"
     trees = prepared.withColumn("_kind", F.expr(f"explode(array({kinds}))"))
@@ -223,14 +224,14 @@ def _divided(nodes: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _block_index(prepared: DataFrame, size: int, rounds: int, tasks: int = 0) -> DataFrame:
+def _block_index(prepared: DataFrame, size: int, rounds: int, tasks: int = 0, kinds: dict[int, int] = _SPANS) -> DataFrame:
     """One row per boundary and block it reaches, from a tree of boxes that is divided from the top.
 
     An edge is read only by the boxes it reaches and their parents, so the work grows with the edges
     times the depth, and boxes without edges are divided no further.  With ``tasks`` the boxes are spread
     over so many once, when each boundary has become some hundred of them.
     """
-    nodes = _roots(prepared, size)
+    nodes = _roots(prepared, size, kinds)
     for k in range(rounds):
         if tasks and k == min(_SPREAD_ROUND, rounds - 1):
             nodes = nodes.repartition(tasks)
@@ -308,13 +309,38 @@ def _large_pairs(large: DataFrame, prepared: DataFrame, index: DataFrame, size:
     held = _spots(large, size, *ids).join(point_blocks, cell).where(inside).select(*pair)
     # Areas of the features become boundaries, of which the vertices of the others are inside or not.
     areas = prepare_boundaries(large.where(g.is_area("geom")).select(*ids, "geom")).drop("_bid")
-    measured = _measure(areas, size)
+    kinds = {_POINT_LEVEL: _SPANS[_POINT_LEVEL]}
+    measured = _measure(areas, size, kinds)
     tasks = max(1, measured.index_bytes // _BYTES_PER_TASK) if measured.index_bytes > limit else 0
-    blocks = _block_index(areas, size, measured.rounds, int(tasks)).where(f"_level = {_POINT_LEVEL}")
+    blocks = _block_index(areas, size, measured.rounds, int(tasks), kinds)
     holding = _spots(prepared, size, "_bid").join(blocks.select(*ids, *cell, "_local", "_flips", "_base"), cell).where(inside)
     return crossing.unionByName(held).unionByName(holding.select(*pair)).distinct()
 
 
+def _wide(features: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Features wider than a cell, which are few; what they meet is told by cells, and then they are fetched once."""
+    carried = [c for c in features.columns if c not in BOX_COLUMNS]
+    wide = keyed.where("_level > 0").withColumn("_fid", F.xxhash64("geom")).withColumn("_fid2", F.xxhash64(F.lit(1), "geom"))
+    return through_table(wide.select(*carried, "_fid", "_fid2", F.expr(g.part_anchors("geom")).alias("_anchors")))
+
+
+def _totals(
+    features: DataFrame, keyed: DataFrame, prepared: DataFrame, index: DataFrame, index_bytes: int, size: int, totals: dict, limit: int
+) -> DataFrame:
+    """Boundary columns, ``n`` and the sums of ``totals``, several rows for a boundary."""
+    aggregates = summed(features, totals)
+    result = cell_totals(keyed.where("_level <= 0"), index, totals, limit)
+    large = _wide(features, keyed)
+    if not large.limit(1).count():
+        return result
+    met = _large_pairs(large, prepared, index, size, limit, index_bytes <= limit)
+    # Copies of a feature share their id, so they are added up before they meet.
+    folded = large.groupBy("_fid", "_fid2").agg(*aggregates)
+    added = [F.sum(c).alias(c) for c in ("n", *totals)]
+    by_boundary = met.join(folded, ["_fid", "_fid2"]).groupBy("_bid").agg(*added)
+    return result.unionByName(prepared.drop("_edges", "_anchors", "_bbox").join(by_boundary, "_bid").select(*result.columns))
+
+
 def _salts(spark: SparkSession) -> int:
     """No salts while adaptive execution splits skewed join partitions itself."""
     switches = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
@@ -327,6 +353,7 @@ def spatial_join(
     cell_degrees: float = CELL_DEGREES,
     broadcast_bytes: int = BROADCAST_BYTES,
     salts: int | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Features (WGS84 ``geom``) with the columns of each boundary they intersect.
 
@@ -338,24 +365,40 @@ def spatial_join(
     A crowded cell is then split by adaptive execution, or, where the session has
     that turned off, by ``salts`` replicas of the index.  Streaming ``features`` keep no state, so
     there those wider than a cell are held against whole boundaries.
+
+    With ``totals`` (result name -> integer column of the features) the pairs are added up
+    where they are found: the result has the boundary columns, the number ``n`` of features and
+    these sums, in several rows for a boundary, to be added up (see totals.py).  Both sides shuffle by cell then.
     """
+    if totals is not None and features.isStreaming:
+        raise ValueError("totals need features that end")
     sizes = _sizes(cell_degrees)
     prepared = prepare_boundaries(boundaries)
-    found = _measure(prepared, sizes[0])
+    found, kinds = _measure(prepared, sizes[0]), _SPANS
     nearby = within_extent(features, *_scan_boxes(prepared, features, found.extent)).where(g.usable("geom"))
     keyed = _with_grid_key(nearby, sizes)
+    if totals is not None:
+        # Only the kinds of blocks that these features need.
+        levels = {min(row["_level"], 1) for row in keyed.select("_level").distinct().collect()}
+        kinds = {k: v for k, v in _SPANS.items() if k in levels or (k == _POINT_LEVEL and levels != {0})}
+        found = _measure(prepared, sizes[0], kinds)
 
-    index, index_bytes = _block_index(prepared, sizes[0], found.rounds), found.index_bytes
+    index, index_bytes = _block_index(prepared, sizes[0], found.rounds, kinds=kinds), found.index_bytes
     if index_bytes > broadcast_bytes:
         # The bound counts every edge in every block; see what it really takes.
         # Boundaries often sit in one small file, so they are spread out.
         tasks = max(1, index_bytes // _BYTES_PER_TASK)
-        index = through_table(_block_index(prepared.repartition(int(tasks), "lga_id"), sizes[0], found.rounds, int(tasks)))
+        index = through_table(_block_index(prepared.repartition(int(tasks), "lga_id"), sizes[0], found.rounds, int(tasks), kinds))
         arrays = ((_EDGE_BYTES, "_local"), (_FLIP_BYTES, "_flips"), (_ANCHOR_BYTES, "_anchors"))
         row = f"{_ROW_BYTES}L + " + " + ".join(f"{b}L * greatest(coalesce(size({c}), 0), 0)" for b, c in arrays)
         index_bytes = index.selectExpr(f"coalesce(sum({row}), 0L)").head()[0]
 
+    elif totals is not None:
+        index = through_table(index)
+
     keys, small = ["_level", "_cx", "_cy"], keyed.where("_level <= 0")
+    if totals is not None:
+        return _totals(features, keyed, prepared, index, index_bytes, sizes[0], totals, broadcast_bytes)
     if features.isStreaming:
         small, index = keyed, index.unionByName(_coarse_index(prepared, sizes))
     blocks = index
@@ -374,10 +417,7 @@ def spatial_join(
 
     if features.isStreaming:
         return result
-    # Features wider than a cell are few; what they meet is told by cells, and then they are fetched once.
-    carried = [c for c in features.columns if c not in BOX_COLUMNS]
-    wide = keyed.where("_level > 0").withColumn("_fid", F.xxhash64("geom")).withColumn("_fid2", F.xxhash64(F.lit(1), "geom"))
-    large = through_table(wide.select(*carried, "_fid", "_fid2", F.expr(g.part_anchors("geom")).alias("_anchors")))
+    large = _wide(features, keyed)
     if not large.limit(1).count():
         return result
     met = _large_pairs(large, prepared, index, sizes[0], broadcast_bytes, index_bytes <= broadcast_bytes)

@@ -328,20 +328,23 @@ def polygon_intersects_join(spark, d):
     return spatial_join(fx.polygons(spark, d), areas(spark, d)).select("k", "osmid")
 
 
+def _by_place(spark, d, features, **join):
+    """Features per place of the gazetteer, where both sides grow with the data."""
+    places = fx.gazetteer(spark, d).select("k", F.col("k").cast("string").alias("lga_id"), "geom")
+    found = spatial_join(features.select("osmid", "geom"), places, totals={"osmid_sum": "osmid"}, **join)
+    return found.groupBy("k").agg(F.sum("n").alias("n"), F.sum("osmid_sum").alias("osmid_sum"))
+
+
 @query
 def pip_bucketed_equals_brute(spark, d):
     """Points per place of the gazetteer, where both sides grow with the data."""
-    places = fx.gazetteer(spark, d).select("k", F.col("k").cast("string").alias("lga_id"), "geom")
-    found = spatial_join(fx.points(spark, d).select("osmid", "geom"), places)
-    return found.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("osmid").alias("osmid_sum"))
+    return _by_place(spark, d, fx.points(spark, d))
 
 
 @query
 def pip_shuffled(spark, d):
     """The same where nothing may be broadcast, so the join shuffles by cell."""
-    places = fx.gazetteer(spark, d).select("k", F.col("k").cast("string").alias("lga_id"), "geom")
-    found = spatial_join(fx.points(spark, d).select("osmid", "geom"), places, broadcast_bytes=0)
-    return found.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("osmid").alias("osmid_sum"))
+    return _by_place(spark, d, fx.points(spark, d), broadcast_bytes=0)
 
 
 @query
@@ -354,13 +357,6 @@ def polygon_join_shuffled(spark, d):
     return spatial_join(fx.polygons(spark, d), areas(spark, d), broadcast_bytes=0).select("k", "osmid")
 
 
-def _by_place(spark, d, features, **join):
-    """Features per place of the gazetteer, where both sides grow with the data."""
-    places = fx.gazetteer(spark, d).select("k", F.col("k").cast("string").alias("lga_id"), "geom")
-    found = spatial_join(features.select("osmid", "geom"), places, **join)
-    return found.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("osmid").alias("osmid_sum"))
-
-
 @query
 def line_join_places(spark, d):
     return _by_place(spark, d, fx.lines(spark, d), broadcast_bytes=0)

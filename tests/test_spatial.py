@@ -214,3 +214,33 @@ def test_wide_features_never_carry_a_boundary(spark, no_auto_broadcast):
     assert sorted(r["fid"] for r in joined.collect()) == [1, 2]
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "_whole" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}, {"cell_degrees": 3.0, "broadcast_bytes": 0}])
+def test_totals_equal_brute_force(spark, options, monkeypatch):
+    """Small groups deal every crowded cell; equal boundaries count each, null values do not."""
+    monkeypatch.setattr("areaweave.operators.totals.GROUP_FEATURES", 40)
+    monkeypatch.setattr("areaweave.operators.totals.GROUP_BLOCKS", 3)
+    monkeypatch.setattr("areaweave.operators.totals._AT_ONCE", 500)
+    areas, features = world(3)
+    value = {fid: None if fid % 7 == 0 else (fid - 450) * 2**50 for fid, _, _ in features}
+    left = frame(spark, [(fid, value[fid], (kind, 4326, degrees(geom))) for fid, kind, geom in features], "fid INT, v BIGINT")
+    right = frame(spark, [(aid, polygon(degrees(geom))) for aid, geom in [*areas, areas[0]]], "lga_id STRING")
+    added = spatial_join(left, right, totals={"s": "v"}, **options).groupBy("lga_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    want = []
+    for aid, area in areas:
+        met = [value[fid] for fid, kind, geom in features if intersects(kind, geom, area)]
+        known, times = [v for v in met if v is not None], 2 if aid == "0" else 1
+        if met:
+            want.append((aid, times * len(met), times * sum(known) if known else None))
+    assert sorted(map(tuple, added.collect())) == sorted(want)
+
+
+def test_totals_move_no_pairs(spark):
+    """200 features in 300 boundaries are 60,000 pairs; what the tests return has a row a boundary and cell at most."""
+    areas = frame(spark, [(str(i), polygon(box(1.0, 1.0, 1.1, 1.1))) for i in range(300)], "lga_id STRING")
+    dots = frame(spark, [(i, point(1.05, 1.05)) for i in range(200)], "fid INT")
+    found = spatial_join(dots, areas, totals={"s": "fid"})
+    assert found.count() <= 300 and found.selectExpr("sum(n)", "sum(s)").head()[:] == (60_000, 300 * 199 * 100)
+    with pytest.raises(ValueError):
+        spatial_join(dots.selectExpr("CAST(fid AS DOUBLE) AS fid", "geom"), areas, totals={"s": "fid"})
