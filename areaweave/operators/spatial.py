@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from areaweave.functions import geometry as g
 from areaweave.operators.scale import compute_once, through_table
-from areaweave.operators.totals import cell_totals, summed
+from areaweave.operators.totals import shapes_of, tile_totals
 from areaweave.settings import BROADCAST_BYTES, CELL_DEGREES, FIXED_POINT, SALTS
 
 # Each grid level is this much coarser than the one before.
@@ -324,21 +324,17 @@ def _wide(features: DataFrame, keyed: DataFrame) -> DataFrame:
     return through_table(wide.select(*carried, "_fid", "_fid2", F.expr(g.part_anchors("geom")).alias("_anchors")))
 
 
-def _totals(
-    features: DataFrame, keyed: DataFrame, prepared: DataFrame, index: DataFrame, index_bytes: int, size: int, totals: dict, limit: int
-) -> DataFrame:
+def _totals(features: DataFrame, boundaries: DataFrame, cell: int, totals: dict[str, str], limit: int) -> DataFrame:
     """Boundary columns, ``n`` and the sums of ``totals``, several rows for a boundary."""
-    aggregates = summed(features, totals)
-    result = cell_totals(keyed.where("_level <= 0"), index, totals, limit)
-    large = _wide(features, keyed)
-    if not large.limit(1).count():
-        return result
-    met = _large_pairs(large, prepared, index, size, limit, index_bytes <= limit)
-    # Copies of a feature share their id, so they are added up before they meet.
-    folded = large.groupBy("_fid", "_fid2").agg(*aggregates)
-    added = [F.sum(c).alias(c) for c in ("n", *totals)]
-    by_boundary = met.join(folded, ["_fid", "_fid2"]).groupBy("_bid").agg(*added)
-    return result.unionByName(prepared.drop("_edges", "_anchors", "_bbox").join(by_boundary, "_bid").select(*result.columns))
+    places = shapes_of(boundaries.where(g.usable("geom")), cell)
+    boxes = []
+    if set(BOX_COLUMNS) <= set(features.columns):
+        boxes = [tuple(row) for row in places.select("_x0", "_y0", "_x1", "_y1").limit(_SCAN_BOXES + 1).collect()]
+        if not 0 < len(boxes) <= _SCAN_BOXES:
+            extent = places.selectExpr("min(_x0)", "min(_y0)", "max(_x1)", "max(_y1)").head()
+            boxes = [None if extent[0] is None else tuple(extent)]
+    nearby = within_extent(features, *boxes).where(g.usable("geom"))
+    return tile_totals(nearby, places, cell, totals, limit)
 
 
 def _salts(spark: SparkSession) -> int:
@@ -368,37 +364,28 @@ def spatial_join(
 
     With ``totals`` (result name -> integer column of the features) the pairs are added up
     where they are found: the result has the boundary columns, the number ``n`` of features and
-    these sums, in several rows for a boundary, to be added up (see totals.py).  Both sides shuffle by cell then.
+    these sums, in several rows for a boundary, to be added up (see totals.py).  Both sides shuffle by tile then.
     """
     if totals is not None and features.isStreaming:
         raise ValueError("totals need features that end")
     sizes = _sizes(cell_degrees)
+    if totals is not None:
+        return _totals(features, boundaries, sizes[0], totals, broadcast_bytes)
     prepared = prepare_boundaries(boundaries)
-    found, kinds = _measure(prepared, sizes[0]), _SPANS
+    found = _measure(prepared, sizes[0])
     nearby = within_extent(features, *_scan_boxes(prepared, features, found.extent)).where(g.usable("geom"))
     keyed = _with_grid_key(nearby, sizes)
-    if totals is not None:
-        # Only the kinds of blocks that these features need.
-        levels = {min(row["_level"], 1) for row in keyed.select("_level").distinct().collect()}
-        kinds = {k: v for k, v in _SPANS.items() if k in levels or (k == _POINT_LEVEL and levels != {0})}
-        found = _measure(prepared, sizes[0], kinds)
-
-    index, index_bytes = _block_index(prepared, sizes[0], found.rounds, kinds=kinds), found.index_bytes
+    index, index_bytes = _block_index(prepared, sizes[0], found.rounds), found.index_bytes
     if index_bytes > broadcast_bytes:
         # The bound counts every edge in every block; see what it really takes.
         # Boundaries often sit in one small file, so they are spread out.
         tasks = max(1, index_bytes // _BYTES_PER_TASK)
-        index = through_table(_block_index(prepared.repartition(int(tasks), "lga_id"), sizes[0], found.rounds, int(tasks), kinds))
+        index = through_table(_block_index(prepared.repartition(int(tasks), "lga_id"), sizes[0], found.rounds, int(tasks)))
         arrays = ((_EDGE_BYTES, "_local"), (_FLIP_BYTES, "_flips"), (_ANCHOR_BYTES, "_anchors"))
         row = f"{_ROW_BYTES}L + " + " + ".join(f"{b}L * greatest(coalesce(size({c}), 0), 0)" for b, c in arrays)
         index_bytes = index.selectExpr(f"coalesce(sum({row}), 0L)").head()[0]
 
-    elif totals is not None:
-        index = through_table(index)
-
     keys, small = ["_level", "_cx", "_cy"], keyed.where("_level <= 0")
-    if totals is not None:
-        return _totals(features, keyed, prepared, index, index_bytes, sizes[0], totals, broadcast_bytes)
     if features.isStreaming:
         small, index = keyed, index.unionByName(_coarse_index(prepared, sizes))
     blocks = index

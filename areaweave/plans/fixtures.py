@@ -82,7 +82,7 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One place per customer: many sizes, shared names, some bad geometries."""
-    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("k"))
+    base = keys(spark, sf_dir, "customer", "c_custkey", "k")
     sized = (
         base.withColumn("lga_name", F.expr("concat('Lga ', k div 3)"))
         .withColumn("state_name", F.expr("concat('State ', k % 7)"))
@@ -466,8 +466,7 @@ _WIDE_LINE = (("x0", "y0"), ("x0 + 3500", "y0 + 900"), ("x0 + 300", "y0 + 2500")
 def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features much wider than a grid cell, one per supplier: squares, long lines and open frames by turns."""
     base = (
-        table(spark, sf_dir, "supplier")
-        .select(F.col("s_suppkey").cast("bigint").alias("osmid"))
+        keys(spark, sf_dir, "supplier", "s_suppkey", "osmid")
         .withColumn("x0", F.expr("2300 + (osmid * 7919) % 9000"))
         .withColumn("y0", F.expr("3900 + (osmid * 4729) % 7000"))
     )

@@ -244,3 +244,20 @@ def test_totals_move_no_pairs(spark):
     assert found.count() <= 300 and found.selectExpr("sum(n)", "sum(s)").head()[:] == (60_000, 300 * 199 * 100)
     with pytest.raises(ValueError):
         spatial_join(dots.selectExpr("CAST(fid AS DOUBLE) AS fid", "geom"), areas, totals={"s": "fid"})
+
+
+def test_wide_totals_bring_no_pairs_together(spark, monkeypatch):
+    """Wide and small shapes, lines among them, are added up on both sides without a table of pairs."""
+    monkeypatch.setattr(spatial, "_large_pairs", None)
+    monkeypatch.setattr("areaweave.operators.totals.GROUP_PAIRS", 50)
+    rng = random.Random(7)
+    areas = [(i, [[star(rng, rng.randrange(3000, 9000), rng.randrange(5000, 9000), rng.choice([40, 300, 2500]), 7)]]) for i in range(60)]
+    features = [(i, "Polygon", [[star(rng, rng.randrange(3000, 9000), rng.randrange(5000, 9000), rng.choice([200, 2000]), 6)]]) for i in range(60)]
+    for i in range(60, 90):
+        at = [(rng.randrange(2000, 10000), rng.randrange(4000, 10000)) for _ in range(4)]
+        features.append((i, "LineString", [[at]]) if i % 3 else (i, "MultiPoint", [[[p]] for p in at]))
+    left = frame(spark, [(i, (kind, 4326, degrees(geom))) for i, kind, geom in features], "fid INT")
+    right = frame(spark, [(str(i), polygon(degrees(geom))) for i, geom in areas], "lga_id STRING")
+    added = spatial_join(left, right, totals={"s": "fid"}).groupBy("lga_id").agg(F.sum("n"), F.sum("s"))
+    want = {str(i): [fid for fid, kind, geom in features if intersects(kind, geom, area)] for i, area in areas}
+    assert sorted(map(tuple, added.collect())) == sorted((i, len(met), sum(met)) for i, met in want.items() if met)
