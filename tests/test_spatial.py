@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from areaweave.operators import spatial
+from areaweave.operators import spatial, totals
 from areaweave.operators.spatial import spatial_join
 from tests.conftest import box, frame, line, point, polygon
 
@@ -246,6 +248,55 @@ def test_totals_move_no_pairs(spark):
         spatial_join(dots.selectExpr("CAST(fid AS DOUBLE) AS fid", "geom"), areas, totals={"s": "fid"})
 
 
+def shapes(geoms, closed):
+    """Geometries (kind, parts) as the tables that totals.py works on."""
+    parts = [[[[{"x": x, "y": y} for x, y in ring] for ring in part] for part in degrees(geom)] for _, geom in geoms]
+    rows = [{"gtype": kind, "srid": 4326, "parts": p} for (kind, _), p in zip(geoms, parts, strict=True)]
+    kind = pa.struct([("gtype", pa.string()), ("srid", pa.int32()), ("parts", pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))])
+    at, columns = totals._shape(pa.array(rows, kind), 1_250_000, closed)
+    names = ["_size", "_x0", "_y0", "_x1", "_y1", "_own", "_spots", "_area"]
+    return pa.Table.from_arrays([pa.array(at), *columns], ["id", *names])
+
+
+@pytest.mark.parametrize("kind", ["Point", "LineString", "Polygon"])
+@pytest.mark.parametrize("by_large", [True, False])
+def test_exact_tests_grow_slower_than_pairs(kind, by_large, monkeypatch):
+    """One tile: what is told pair by pair is a small part of the pairs, and both sides' totals are those of brute force."""
+    rng = random.Random(5)
+    areas = [("Polygon", [[star(rng, rng.randrange(-400, 900), rng.randrange(-400, 900), 600, rng.randrange(4, 9))]]) for _ in range(40)]
+    features = []
+    for _ in range(3000):
+        x, y = rng.randrange(0, 500), rng.randrange(0, 500)
+        if kind == "Point":
+            features.append((kind, [[[(x, y)]]]))
+        elif kind == "LineString":
+            features.append((kind, [[[(x, y), (x + rng.randrange(5), y + rng.randrange(5)), (x + 4, y + rng.randrange(5))]]]))
+        else:
+            features.append((kind, [[[(x, y), (x + 3, y), (x + rng.randrange(4), y + 3), (x, y)]]]))
+    small, told, tell = shapes(features, False), [], totals._hits
+    large = next(t for t in totals._cut(shapes(areas, True), ["id"], 0, 1_250_000))
+    large = large.take(pa.array(np.flatnonzero((large["_tx"].to_numpy() == 0) & (large["_ty"].to_numpy() == 0))))
+    monkeypatch.setattr(totals, "_hits", lambda small, s, *more: told.append(len(s)) or tell(small, s, *more))
+    smalls, known = totals._Smalls(small), totals._Larges(large, kind == "Polygon")
+    weight = np.arange(large.num_rows) if not by_large else np.arange(small.num_rows)
+    added = [np.zeros(large.num_rows if by_large else small.num_rows, np.int64) for _ in range(2)]
+    for path in (False, True):
+        members = np.flatnonzero(smalls.path == path)
+        if len(members):
+            totals._along(smalls, members, [np.ones_like(weight), weight], known, by_large, added)
+    met = np.array([[intersects(k, geom, areas[i][1]) for k, geom in features] for i in large["id"].to_pylist()])
+    met = met if by_large else met.T
+    assert added[0].tolist() == met.sum(1).tolist() and added[1].tolist() == (met @ weight).tolist()
+    assert 0 < sum(told) < met.size / 8
+
+
+def test_places_are_cut_into_few_tiles(spark):
+    """A place of two degrees had 545 blocks; what is cut grows with the tiles, and wholly covered ones have one edge."""
+    places = totals.shapes_of(frame(spark, [("a", polygon(box(1.0, 1.0, 3.0, 3.0)))], "lga_id STRING"), spatial._sizes(0.125)[0])
+    cut = totals._large(places, ["lga_id"], [0], spatial._sizes(0.125)[0], same=True)
+    assert cut.count() <= 36 and cut.where("size(_own) = 1").count() >= 9
+
+
 def test_wide_totals_bring_no_pairs_together(spark, monkeypatch):
     """Wide and small shapes, lines among them, are added up on both sides without a table of pairs."""
     monkeypatch.setattr(spatial, "_large_pairs", None)
