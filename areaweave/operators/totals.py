@@ -644,9 +644,11 @@ def tile_totals(features: DataFrame, places: DataFrame, cell: int, sums: dict[st
 
     shape = through_table(weighed(small, "f").join(weighed(large, "b"), _TILE).withColumn("_pairs", F.expr("_f_rows * _b_rows")))
     pairs = shape.agg(F.sum("_pairs")).head()[0] or 0
-    share = f"ceil(sqrt(_pairs / {max(GROUP_PAIRS, pairs // _GROUPS)}D))"
-    for count, weight, most in (("_nf", "_f_weight", GROUP_FEATURES), ("_nb", "_b_weight", GROUP_BLOCKS)):
-        shape = shape.withColumn(count, F.expr(f"greatest(ceil({weight} / {most}), {share})"))
+    # Features narrower than the places are told in few tests, so only much larger tiles than others are dealt there.
+    most = [max(GROUP_PAIRS, pairs // parts) for parts in (_GROUPS // 8, _GROUPS)]
+    share = f"ceil(sqrt(_pairs / CASE WHEN _by_feature THEN {most[0]}D ELSE {most[1]}D END))"
+    for count, weight, limit in (("_nf", "_f_weight", GROUP_FEATURES), ("_nb", "_b_weight", GROUP_BLOCKS)):
+        shape = shape.withColumn(count, F.expr(f"greatest(ceil({weight} / {limit}), {share})"))
     # Most tiles are one group.
     crowded = shape.where("_nf * _nb > 1").select(*_TILE, "_nf", "_nb")
     rows, groups = shape.selectExpr("sum(_f_rows * _nb + _b_rows * _nf)", "sum(CASE WHEN _nf * _nb > 1 THEN _nf * _nb ELSE 0 END)").head()
